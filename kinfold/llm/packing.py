@@ -12,67 +12,84 @@ table gives an empty result. Extra columns aren't read. The order of ranks withi
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .pretokens import Known, groups, in_letters, split
+
 SIZE, END_ID = 2048, 0
-#: Fixed: the pattern that byte-level BPE of this kind splits texts with.
-SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Distinct words whose ids a task remembers, at most; beyond that it forgets and starts anew.
-REMEMBER = 300_000
-#: Of texts with other characters the classes may differ between libraries: those go to the tokenizer whole.
-PLAIN = r"[^\x00-\x1b -\x84\x86-\x9f\xa1-ɏ‐-‧‰-⁞€]"
+#: Distinct pre-tokens whose ids a Python worker remembers, at about 30 bytes; beyond that it forgets and starts anew.
+REMEMBER = 2_000_000
 #: Salts that spread the pieces of one length over tasks for ranking.
 SALTS = 64
 
 
-class Encoder(dict):
-    """Ids of a text as little-endian 32-bit numbers: the tokenizer runs once for each distinct word it remembers."""
+class Encoder:
+    """Ids of texts: the tokenizer's merges run once for each distinct pre-token that is remembered."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words = regex.compile(SPLIT).findall
-        self.odd = regex.compile("|".join([PLAIN, *map(regex.escape, added)])).search
-
-    def whole(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return b"".join([x.to_bytes(4, "little") for x in ids])
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= REMEMBER:
-            self.clear()
-        out = self.whole(word)
-        if len(word) < 64:
-            self[word] = out
+        self.merges = self.tokenizer.model.tokenize
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.size, self.flat = Known(), np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+    def numbers(self, joined: str, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """For sorted distinct hashes of the pre-tokens at start to end: their numbers in size and flat."""
+        out = self.known.find(hashes)
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            tokens = [self.merges(in_letters(joined[a:b])) for a, b in zip(start[new].tolist(), end[new].tolist(), strict=True)]
+            self.size = np.concatenate([self.size, np.fromiter(map(len, tokens), np.int64, len(tokens))])
+            self.flat = np.concatenate([self.flat, np.array([t.id for word in tokens for t in word], "<u4")])
+            out[new] = self.known.add(hashes[new])
         return out
 
-    def encode(self, text: str) -> bytes:
-        return self.whole(text) if self.odd(text) else b"".join(map(self.__getitem__, self.words(text)))
+    def encode(self, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray]]:
+        """Row and ids of each text, in any order."""
+        for rows, held in groups(texts, self.added):
+            if rows[0] < 0:
+                yield -1 - rows[0], np.array(self.tokenizer.encode(held[0], add_special_tokens=False).ids, "<u4")
+                continue
+            if self.known.n >= REMEMBER:
+                self.forget()
+            joined, start, end, hashes, first = split(held, True)
+            distinct, at, which = np.unique(hashes, return_index=True, return_inverse=True)
+            number = self.numbers(joined, start[at], end[at], distinct)[which]
+            n = self.size[number]
+            ends = np.cumsum(n)
+            begin = np.cumsum(self.size) - self.size
+            ids = self.flat[np.repeat(begin[number] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+            cut = np.concatenate([[0], ends])[first]
+            for row, a, b in zip(rows, cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                yield row, ids[a:b]
+
+
+#: One for each Python worker, kept from task to task.
+encoder = lru_cache(maxsize=1)(Encoder)
 
 
 def pieces(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", size: int = SIZE) -> DataFrame:
     """key, piece, start, length and ids_crc32 of every piece. One narrow stage."""
-    end = END_ID.to_bytes(4, "little")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
         for batch in batches:
             at, piece, start, length, crc = [], [], [], [], []
-            for row, value in enumerate(batch.column(1)):
-                ids = encoder.encode(value.as_py() or "") + end
-                n, done, k = len(ids) // 4, 0, 0
+            for row, ids in encoder(path).encode(batch.column(1).to_pylist()):
+                ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
+                n, done, k = len(ids), 0, 0
                 while done < n:
                     take = (n - done - 1) % size + 1 if not k else size
                     at.append(row), piece.append(k), start.append(done), length.append(take)
-                    crc.append(zlib.crc32(ids[4 * done : 4 * (done + take)]))
+                    crc.append(zlib.crc32(ids[done : done + take]))
                     done, k = done + take, k + 1
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["k", "piece", "start", "length", "ids_crc32"])
 

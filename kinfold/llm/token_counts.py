@@ -13,17 +13,21 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .pretokens import Known, groups, in_letters, split
+
 #: Fixed: this vocabulary's pattern for pre-tokens, after lower-casing.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Characters for which the libraries might class or lower-case differently, or that are composed anew.
-ODD = r"[^\x00-\x1b -\x84\x86-\x9f\xa1-įı-ɏ‐-‧‰-⁞€]"
-REMEMBER = 500_000
+#: Distinct pre-tokens that a Python worker remembers beside the whole tokens, at about 20 bytes; beyond that it forgets
+#: and starts anew.
+REMEMBER = 3_000_000
 
 
 def whole_tokens(path: str) -> set[str]:
@@ -38,47 +42,59 @@ def whole_tokens(path: str) -> set[str]:
     return {w for w, e in zip(words, tokenizer.encode_batch(words, add_special_tokens=False), strict=True) if len(e.ids) == 1}
 
 
-class Counter(dict):
-    """Tokens of a pre-token. Whole tokens are there from the start and stay."""
+class Counter:
+    """Tokens of texts. A pre-token among the whole tokens counts 1 without merges; others are merged once."""
 
-    def __init__(self, path: str, whole: set[str]):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.whole = whole
-        super().__init__(dict.fromkeys(whole, 1))
+        self.whole = whole_tokens(path)
         self.tokenizer = Tokenizer.from_file(path)
-        added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words = regex.compile(SPLIT).findall
-        self.odd = regex.compile("|".join([ODD, *map(regex.escape, added)])).search
-
-    def merged(self, text: str) -> int:
-        return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= REMEMBER:
-            self.clear()
-            self.update(dict.fromkeys(self.whole, 1))
-        n = self.merged(word)
-        if len(word) < 64:
-            self[word] = n
-        return n
-
-    def count(self, text: str) -> int:
-        if self.odd(text):
-            return self.merged(text)
-        return sum(map(self.__getitem__, self.words(text.lower())))
+        self.merges = self.tokenizer.model.tokenize
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.size = Known(), np.zeros(0, np.int64)
+
+    def numbers(self, joined: str, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        out = self.known.find(hashes)
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            words = [joined[a:b] for a, b in zip(start[new].tolist(), end[new].tolist(), strict=True)]
+            n = [1 if w in self.whole else len(self.merges(in_letters(w))) for w in words]
+            self.size = np.concatenate([self.size, np.array(n, np.int64)])
+            out[new] = self.known.add(hashes[new])
+        return out
+
+    def count(self, texts: list[str | None]) -> list[int]:
+        out = [0] * len(texts)
+        for rows, held in groups(texts, self.added):
+            if rows[0] < 0:
+                out[-1 - rows[0]] = len(self.tokenizer.encode(held[0], add_special_tokens=False).ids)
+                continue
+            if self.known.n >= REMEMBER:
+                self.forget()
+            joined, start, end, hashes, first = split([t.lower() for t in held], False)
+            distinct, at, which = np.unique(hashes, return_index=True, return_inverse=True)
+            number = self.numbers(joined, start[at], end[at], distinct)[which]
+            total = np.concatenate([[0], np.cumsum(self.size[number])])[first]
+            for row, k in zip(rows, np.diff(total).tolist(), strict=True):
+                out[row] = k
+        return out
+
+
+#: One for each Python worker, kept from task to task.
+counter = lru_cache(maxsize=1)(Counter)
 
 
 def counts(df: DataFrame, path: str, text: str = "text", limit: int = 2048, keep: list[str] | None = None) -> DataFrame:
     """The columns in keep (all but the text, by default), n_bytes, n_tokens, over_limit. One narrow stage, no shuffle."""
     rest = [c for c in df.columns if c != text] if keep is None else keep
-    # of the vocabulary's size at most, whatever the input
-    whole = df.sparkSession.sparkContext.broadcast(whole_tokens(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(path, whole.value)
         for batch in batches:
-            n = [counter.count(x.as_py() or "") for x in batch.column(batch.num_columns - 2)]
+            n = counter(path).count(batch.column(batch.num_columns - 2).to_pylist())
             arrays = [*batch.columns[:-2], batch.columns[-1], pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())]
             yield pa.RecordBatch.from_arrays(arrays, names=[f"c{i}" for i in range(len(arrays))])
 
