@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
-from . import ann, chat, decontaminate, langid, packing, quality_fm, shuffle_shards, token_counts
+from . import ann, chat, decontaminate, langid, packing, quality_fm, shuffle_shards, token_counts, trie_join
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op1_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op2_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_join.groups(_table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
 def op4_adaptive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
@@ -67,6 +71,7 @@ ORACLE_SQL: dict[str, str] = {}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_fm": op1_quality_fm,
+    "op2_trie_join": op2_trie_join,
     "op4_adaptive_ann": op4_adaptive_ann,
     "op5_chat_format": op5_chat_format,
     "op6_language_id": op6_language_id,

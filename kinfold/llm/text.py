@@ -105,7 +105,7 @@ def windows(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     if len(short):
         alone = []
         for r in short:
-            x = np.full(1, U64(counts[r]) * U64(_BASE), U64)
+            x = np.full(1, int(counts[r]) * _BASE % (1 << 64), U64)
             for i in range(words.first[r], words.first[r + 1]):
                 x = mix(x + h[i : i + 1])
             alone.append(x[0])
