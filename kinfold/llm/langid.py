@@ -116,24 +116,27 @@ def fit(df: DataFrame, learn: Column, text: str = "text", lang: str = "lang", ke
     return {k: _unit(out[k]).astype(np.float32) for k in sorted(out)}
 
 
-def predict(df: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """df's columns but text, and out: the language and the cosine, from 0 to 1. One narrow stage, no shuffle."""
+def predict(df: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", out: tuple[str, str] = ("lang_pred", "score"), keep: list[str] | None = None) -> DataFrame:
+    """The columns in keep (all of df's, by default) and out: the language and the cosine, from 0 to 1. Columns of df with
+    the names in out are replaced. One narrow stage, no shuffle."""
     names, table = [*prototypes, "und"], np.array(list(prototypes.values()), np.float32).reshape(-1, DIM).T
-    rest = [c for c in df.columns if c != text]
+    rest = [c for c in (df.columns if keep is None else keep) if c not in out]
+    read = [*rest, *([text] if text not in rest else [])]
+    at, width = read.index(text), len(rest)
 
     def run(batches):
         for batch in batches:
             langs, scores = [], []
-            for _, group in _groups(batch.column(batch.num_columns - 1).to_pylist()):
+            for _, group in _groups(batch.column(at).to_pylist()):
                 vectors = bundle(group)
                 blank = ~vectors.any(axis=1) & np.array([not any(map(str.isalpha, t)) for t in group]) if table.size else np.ones(len(group), bool)
                 cosines = _unit(vectors) @ table if table.size else np.zeros((len(group), 1), np.float32)
                 best = cosines.argmax(axis=1)
                 langs += [names[-1] if x else names[i] for i, x in zip(best, blank, strict=True)]
                 scores.append(np.where(blank, 0.0, np.clip(cosines[np.arange(len(group)), best].astype(np.float64), 0, 1)))
-            arrays = [*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64())]
+            arrays = [*batch.columns[:width], pa.array(langs, pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64())]
             yield pa.RecordBatch.from_arrays(arrays, names=[f"c{i}" for i in range(len(arrays))])
 
-    source = df.select(*(F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(rest)), F.col(text).alias("_text"))
-    schema = ", ".join([*(f"c{i} {t.simpleString()}" for i, t in enumerate(f.dataType for f in source.schema.fields[:-1])), f"c{len(rest)} string", f"c{len(rest) + 1} double"])
+    source = df.select(*(F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(read)))
+    schema = ", ".join([*(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(source.schema.fields[:width])), f"c{width} string", f"c{width + 1} double"])
     return source.mapInArrow(run, schema).toDF(*rest, *out)

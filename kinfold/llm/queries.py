@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
-from . import ann, chat, decontaminate, langid, packing, quality_fm, shuffle_shards, token_counts, trie_join
+from . import ann, chat, decontaminate, langid, line_dedup, packing, quality_fm, shuffle_shards, token_counts, trie_join
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op2_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_join.groups(_table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_adaptive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
@@ -44,7 +48,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = _table(spark, sf_dir, "documents"), _crc() % 5 == 0
-    found = langid.predict(docs.select("doc_id", "text"), langid.fit(docs, ~held))
+    found = langid.predict(docs, langid.fit(docs, ~held), keep=["doc_id"])
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
@@ -72,6 +76,7 @@ ORACLE_SQL: dict[str, str] = {}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_fm": op1_quality_fm,
     "op2_trie_join": op2_trie_join,
+    "op3_line_dedup": op3_line_dedup,
     "op4_adaptive_ann": op4_adaptive_ann,
     "op5_chat_format": op5_chat_format,
     "op6_language_id": op6_language_id,
