@@ -74,8 +74,10 @@ class Encoder:
                 yield row, ids[a:b]
 
 
-#: One for each Python worker, kept from task to task.
-encoder = lru_cache(maxsize=1)(Encoder)
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One for each Python worker, kept from task to task."""
+    return Encoder(path)
 
 
 def pieces(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", size: int = SIZE) -> DataFrame:

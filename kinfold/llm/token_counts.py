@@ -84,8 +84,10 @@ class Counter:
         return out
 
 
-#: One for each Python worker, kept from task to task.
-counter = lru_cache(maxsize=1)(Counter)
+@lru_cache(maxsize=1)
+def counter(path: str) -> Counter:
+    """One for each Python worker, kept from task to task."""
+    return Counter(path)
 
 
 def counts(df: DataFrame, path: str, text: str = "text", limit: int = 2048, keep: list[str] | None = None) -> DataFrame:
