@@ -64,7 +64,7 @@ def removed_lines(df: DataFrame, key: str = "doc_id", text: str = "text", num: i
     prefix = F.expr(f"cast(n - (n * {num}L + {den - 1}L) div {den}L + 1 as int)")
     # the optimiser puts the subquery's value, one array held by each executor, where `rarity` is used; explode() of the
     # one array keeps the filter on its size from computing it twice
-    lines = _lines(df, key, text).withColumn("rarity", sketch.scalar()).select("id", "pos", F.explode(F.array(ordered)).alias("s")).withColumn("n", F.size("s")).where(F.col("n") >= min_words)
+    lines = _lines(df, key, text).withColumn("rarity", sketch.scalar()).select("id", "pos", ordered.alias("all")).select("id", "pos", F.explode(F.array("all")).alias("s")).withColumn("n", F.size("s")).where(F.col("n") >= min_words)
     parity = F.aggregate("s", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))))
     lines = scratch.keep(lines.select("id", "pos", "n", F.xxhash64("s").alias("c"), F.slice("s", F.lit(1), prefix).alias("prefix"), parity.alias("bits")))
     scratch.free()
