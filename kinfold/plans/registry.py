@@ -1,9 +1,148 @@
-"""Queries by name."""
+"""Queries by name: each applies one operator to the whole company records of a data folder."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from kinfold.functions import normalize as N
+from kinfold.operators import entities as E
+from kinfold.operators import matching as M
+from kinfold.operators import quality as Q
+from kinfold.operators import sampling as S
+from kinfold.scratch import Scratch
+from kinfold.sources.companies import company_records
+
+#: The denied hosts and the one host of the fixture that many records share.
+DENIED = (*N.DENIED_HOSTS, "cheap-pills.example.com")
+TARGETS = {"host_target": 40, "name_target": 20, "filler": 30}
+
+
+def _prep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.prepare(company_records(spark, sf_dir))
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.score(M.compare(M.candidate_pairs(_prep(spark, sf_dir), DENIED)), M.FIXED)
+
+
+def _golden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.golden_entities(_prep(spark, sf_dir), _scored(spark, sf_dir))
+
+
+def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.hierarchy(_golden(spark, sf_dir), _prep(spark, sf_dir), DENIED)
+
+
+def _reps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.with_host_parent(E.representatives(_golden(spark, sf_dir), _prep(spark, sf_dir)), DENIED)
+
+
+def _ids(pairs: DataFrame, *more: str) -> DataFrame:
+    return pairs.select("record_id_l", "record_id_r", *more)
+
+
+def _local(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = company_records(spark, sf_dir)
+    return r.select("record_id", N.local_host(F.col("website")).alias("local_host"), N.local_name(F.col("name")).alias("local_name"), N.coarse_key(F.col("name"), F.col("country_code")).alias("coarse_key"))
+
+
+def _normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = company_records(spark, sf_dir)
+    return M.prepare(r).join(r.select("record_id", N.name_norm_ingest(F.col("name")).alias("name_norm_ingest"), N.host_parent_id(N.host(F.col("website")), DENIED).alias("host_parent_id")), "record_id").drop("name", "website", "city", "country_code")
+
+
+def _masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = company_records(spark, sf_dir)
+    return r.select("record_id", N.masked_hash(F.col("name")).alias("name_hash"), N.masked_hash(F.col("website")).alias("website_hash"))
+
+
+def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r, out = company_records(spark, sf_dir), None
+    for name, key in Q.local_keys().items():
+        one = Q.collision_stats(r, key).select(F.lit(name).alias("key_name"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r, out = company_records(spark, sf_dir), None
+    for name, key in Q.local_keys().items():
+        one = Q.masked_example(r, key).select(F.lit(name).alias("key_name"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hosts, names = S.eligible_groups(company_records(spark, sf_dir), denied=DENIED)
+    return hosts.select(F.lit("host").alias("rule"), F.col("host").alias("group_key"), "n").unionByName(names.select(F.lit("name_country").alias("rule"), F.concat_ws("|", "name_norm", "country_norm").alias("group_key"), "n"))
+
+
+def _part_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return Q.collision_groups(part, F.col("p_name"), F.col("p_brand"), most=10)
+
+
+def _filler(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = company_records(spark, sf_dir)
+    picked = S.enriched_sample(r, **(TARGETS | {"filler": 0}), denied=DENIED)
+    return S.filler_rows(r, picked, TARGETS["filler"])
+
+
+def _verified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    golden = Scratch(spark).keep(_golden(spark, sf_dir))
+    return E.verify(company_records(spark, sf_dir), golden, E.hierarchy(golden, _prep(spark, sf_dir), DENIED))
+
+
+def _mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = company_records(spark, sf_dir)
+    return E.id_set_mismatch(r.where(F.col("website").isNotNull()), r.where(F.col("country_code").isNotNull()))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "company_records": company_records,
+    "normalize_keys": _normalized,
+    "normalize_local": _local,
+    "masked_hash": _masked,
+    "null_rates": lambda s, d: Q.null_rates(company_records(s, d)),
+    "exact_duplicates": lambda s, d: Q.exact_duplicates(company_records(s, d).drop("handle", "website")),
+    "country_top20": lambda s, d: Q.country_top(company_records(s, d)),
+    "dq_summary": lambda s, d: Q.summary(company_records(s, d)),
+    "host_collision_groups": lambda s, d: Q.collision_groups(company_records(s, d), N.host(F.col("website"))).withColumnRenamed("k1", "host"),
+    "name_collision_groups": lambda s, d: Q.collision_groups(company_records(s, d), N.name_norm_ingest(F.col("name"))).withColumnRenamed("k1", "name_norm"),
+    "coarse_key_collisions": lambda s, d: Q.collision_groups(company_records(s, d), N.coarse_key(F.col("name"), F.col("country_code"))).withColumnRenamed("k1", "coarse_key"),
+    "collision_stats": _stats,
+    "masked_examples": _examples,
+    "eligible_groups": _eligible,
+    "part_collision_window": _part_groups,
+    "max_host_group": lambda s, d: M.max_host_group(_prep(s, d), DENIED),
+    "hash_topk_sample": lambda s, d: S.hash_sample(company_records(s, d), 100).select("record_id", "name", "website"),
+    "enriched_sample": lambda s, d: S.enriched_sample(company_records(s, d), **TARGETS, denied=DENIED).select("record_id", "name", "website", "country_code"),
+    "filler_antijoin": lambda s, d: _filler(s, d).select("record_id", "name"),
+    "block_host": lambda s, d: _ids(M.block_host(_prep(s, d), DENIED)),
+    "block_prefix_country": lambda s, d: _ids(M.block_prefix_country(_prep(s, d))),
+    "block_dedup_union": lambda s, d: _ids(M.candidate_pairs(_prep(s, d), DENIED), "match_key"),
+    "pair_counts_by_rule": lambda s, d: M.pair_counts(_prep(s, d), DENIED),
+    "deterministic_pairs": lambda s, d: M.deterministic_pairs(_prep(s, d), DENIED),
+    "lambda_estimate": lambda s, d: M.lambda_estimate(_prep(s, d), denied=DENIED).withColumn("lam", F.round("lam", 9)),
+    "u_exact": lambda s, d: M.u_exact(_prep(s, d)).withColumn("u", F.round("u", 9)),
+    "comparison_vectors": lambda s, d: _ids(M.compare(M.candidate_pairs(_prep(s, d), DENIED)), *M.GAMMAS),
+    "gamma_patterns": lambda s, d: M.gamma_patterns(M.compare(M.candidate_pairs(_prep(s, d), DENIED))),
+    "score_pairs_fixed": lambda s, d: _ids(_scored(s, d), F.round("match_weight", 6).alias("match_weight"), F.round("match_probability", 6).alias("match_probability"), "disposition"),
+    "disposition_histogram": lambda s, d: M.histogram(_scored(s, d)),
+    "review_queue": lambda s, d: _ids(_scored(s, d).where("disposition = 'review'"), F.round("match_probability", 6).alias("match_probability")),
+    "em_parameters": lambda s, d: M.parameters(M.train(_prep(s, d), denied=DENIED), s),
+    "golden_entities": _golden,
+    "cluster_stats": lambda s, d: E.cluster_stats(_golden(s, d)),
+    "cluster_review": lambda s, d: E.cluster_review(_golden(s, d), company_records(s, d)),
+    "representatives": lambda s, d: E.representatives(_golden(s, d), _prep(s, d)),
+    "host_parent": lambda s, d: _reps(s, d).select("golden_entity_id", "host_parent_id"),
+    "name_prefix_parent": lambda s, d: E.name_parents(_reps(s, d)),
+    "hierarchy": _tree,
+    "parent_review": lambda s, d: E.parent_review(_tree(s, d)),
+    "funnel": lambda s, d: E.funnel(_tree(s, d)),
+    "verify_hierarchy": _verified,
+    "id_set_mismatch": _mismatch,
+}
