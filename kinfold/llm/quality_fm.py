@@ -6,7 +6,7 @@ in a text) and, one-hot by quantile bins, statistics of the text's structure and
 
 Cases: a null or empty text has no words and zero statistics and gets a score as any other. Null metadata counts as 0.
 Labels other than 0 and 1, and null ones, teach nothing; of contradicting labels of one id the majority counts, and a tie
-teaches nothing. Without usable labels of both kinds the score is the share of label 1 (0.5 without any). Repeated rows
+teaches nothing. Without usable labels the score is 0.5; with those of one kind only it is near 1 or near 0. Repeated rows
 give repeated results, an empty table none. Other columns aren't read.
 """
 
@@ -122,7 +122,7 @@ def train(parts: list[tuple], stats: np.ndarray, labels: np.ndarray) -> Model:
     rng = np.random.default_rng(SEED)
     edges = np.quantile(stats, np.arange(1, BINS) / BINS, axis=0).T if len(stats) else np.zeros((m, BINS - 1))
     share = labels.mean() if len(labels) else 0.5
-    if not 0 < share < 1:
+    if not len(labels) or not 0 < share < 1:
         margin = 0.0 if not len(labels) else 5.0 if share else -5.0
         return Model(edges, margin, np.zeros(size), np.zeros((size, RANK)))
     bias, weight, factors = np.array([np.log(share / (1 - share))]), np.zeros(size), rng.normal(0, 0.02, (size, RANK))
