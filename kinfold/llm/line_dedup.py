@@ -26,6 +26,8 @@ from ..scratch import Scratch
 SKETCH = 1 << 20
 DIRECT = 128
 MIN_WORDS = 5
+#: Ids that are broadcast at most.
+BROADCAST_IDS = 500_000
 OUT = ("n_lines", "n_removed", "removed_share")
 
 
@@ -81,7 +83,8 @@ def removed_lines(df: DataFrame, key: str = "doc_id", text: str = "text", num: i
         n, m, r, q = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.r"), F.col(f"{b}.r")
         need = _needed(n, m, num, den)
         length = den * F.least(n, m) >= num * F.greatest(n, m)
-        position = (num + den) * (F.least(r, q) + F.least(n - r, m - q)) >= need
+        # at the first word that two lines share all of the overlap is still to come; pairs are met there or nowhere
+        position = (num + den) * F.least(n - r, m - q) >= need
         # each word in one set only flips a bit at most, so the overlap is at most (n + m - bits that differ) / 2
         bits = (num + den) * (n + m - F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits")))) >= 2 * need
         return length & position & bits
@@ -113,7 +116,10 @@ def removed_lines(df: DataFrame, key: str = "doc_id", text: str = "text", num: i
 def _verified(df: DataFrame, pairs: DataFrame, key: str, text: str, num: int, den: int) -> DataFrame:
     """Of pairs of places those whose lines are similar: the words come from the texts again, of the lines in question."""
     places = pairs.select("id", "pos").union(pairs.select("id2", "pos2")).distinct()
-    texts = df.select(F.col(key).alias("id"), F.col(text).alias("text")).join(places.select("id").distinct(), "id", "left_semi")
+    ids = places.select("id").distinct()
+    # beyond BROADCAST_IDS ids the texts are joined by a shuffle
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    texts = df.select(F.col(key).alias("id"), F.col(text).alias("text")).join(ids, "id", "left_semi")
     sets = _lines(texts, "id", "text").join(places, ["id", "pos"]).select("id", "pos", F.array_distinct(_hashes(F.col("line"))).alias("s")).dropDuplicates(["id", "pos"])
     both = pairs.join(sets, ["id", "pos"]).join(sets.select(F.col("id").alias("id2"), F.col("pos").alias("pos2"), F.col("s").alias("s2")), ["id2", "pos2"])
     return both.where((num + den) * F.size(F.array_intersect("s", "s2")).cast("long") >= _needed(F.size("s"), F.size("s2"), num, den))
