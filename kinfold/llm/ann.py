@@ -84,8 +84,9 @@ def fit(sample: np.ndarray, largest: float, total: int, k: int, seed: int = 5) -
     return Index(largest, rotation, centers, probes, x[:BOUND_VECTORS])
 
 
-def scan(query: np.ndarray, table: np.ndarray, bound: float) -> np.ndarray:
-    """Rows of the table that no test gave up. bound: a squared distance."""
+def scan(query: np.ndarray, table: np.ndarray, bound: float, least: int) -> np.ndarray:
+    """Rows of the table that no test gave up, but `least` at least: for a short query all distances are nearly equal, and
+    the test can't tell them apart. bound: a squared distance."""
     alive, partial, dim = np.arange(len(table)), np.zeros(len(table)), table.shape[1]
     for d in range(0, dim, BLOCK):
         part = table[alive, d : d + BLOCK] - query[d : d + BLOCK]
@@ -93,6 +94,10 @@ def scan(query: np.ndarray, table: np.ndarray, bound: float) -> np.ndarray:
         seen = min(d + BLOCK, dim)
         slack = (1 + SLACK / np.sqrt(seen)) ** 2 if seen < dim else 1 + 1e-9
         keep = partial * (dim / seen) <= bound * slack
+        if keep.sum() < least < len(keep):
+            keep[np.argpartition(partial, least)[:least]] = True
+        elif len(keep) <= least:
+            keep[:] = True
         alive, partial = alive[keep], partial[keep]
     return alive
 
@@ -170,7 +175,7 @@ def search(df: DataFrame, queries: Column, key: str = "vec_id", vector: str = "e
             for i, (turned, original, bound) in enumerate(zip(q, asked_for, b.column("bound").to_numpy(), strict=True)):
                 found, scores = np.zeros(0, int), np.zeros(0)
                 for first in range(0, len(table), 512):
-                    alive = scan(turned, table[first : first + 512], bound) + first
+                    alive = scan(turned, table[first : first + 512], bound, k + 1) + first
                     found, scores = np.concatenate([found, alive]), np.concatenate([scores, x[alive] @ original])
                     best = np.lexsort((ids[found], -scores))[: k + 1]
                     found, scores = found[best], scores[best]
