@@ -108,21 +108,25 @@ def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[int, int, int,
         left, rank = counts[length], 0
         while left:
             room = (fit & -fit).bit_length() - 1 + length if (fit := free >> length) else size
-            if room < size:
-                first, many = rooms[room].pop()
-                used = min(many, left)
-                if used < many:
-                    rooms[room].append((first + used, many - used))
-                elif not rooms[room]:
-                    free ^= 1 << room
-            else:
-                first, used = opened, -(-left // (size // length))  # as many as will be filled with this length
+            first, many = rooms[room].pop() if room < size else (opened, left)
+            # the fullest one takes more until nothing fits: `full` sequences take as many as fit, one more takes the rest
+            fits = room // length
+            full, rest = divmod(left, fits)
+            full, rest = (many, 0) if full >= many else (full, rest)
+            for begin, used, items in ((first, full, fits), (first + full, min(rest, 1), rest)):
+                if used:
+                    out += [(length, rank + i * used, used, begin, size - room + i * length) for i in range(items)]
+                    rank, left = rank + used * items, left - used * items
+                    if room > items * length:
+                        rooms.setdefault(room - items * length, []).append((begin, used))
+                        free |= 1 << room - items * length
+            used = full + min(rest, 1)
+            if room == size:
                 opened += used
-            out.append((length, rank, used, first, size - room))
-            rank, left = rank + used, left - used
-            if room > length:
-                rooms.setdefault(room - length, []).append((first, used))
-                free |= 1 << room - length
+            elif used < many:
+                rooms[room].append((first + used, many - used))
+            elif not rooms[room]:
+                free ^= 1 << room
     return out
 
 
