@@ -18,12 +18,15 @@ an empty result. All other columns stay as they are, whatever their names but fo
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
 
 SKETCH = 1 << 20
+RARITY_SHIFT = 53
 DIRECT = 128
 MIN_WORDS = 5
 #: Ids that are broadcast at most.
@@ -44,15 +47,22 @@ def _hashes(line: Column) -> Column:
 
 
 def _sketch(df: DataFrame, text: str) -> DataFrame:
-    """One row: an array with the class of rarity of each bucket of words, in the upper ten bits of a long."""
-    words = df.select(F.explode(F.split(text, "\n")).alias("line")).select(F.explode(F.split("line", " ")).alias("w"))
+    """One row: an array with the class of rarity of each bucket of words, in the upper ten bits of a long.
+
+    A bucket's count is that of its words or more, so _beyond() tells for sure that a word is in few lines."""
+    words = df.select(F.explode(F.split(text, "\n")).alias("line")).select(F.explode(_words(F.col("line"))).alias("w"))
     counts = words.groupBy((F.xxhash64("w").bitwiseAND(F.lit(SKETCH - 1))).alias("b")).agg(F.count("*").alias("n"))
     all_of = df.sparkSession.range(SKETCH).select(F.col("id").alias("b")).join(counts, "b", "left")
-    rarity = F.shiftleft(F.floor(F.log2(F.coalesce("n", F.lit(0)) + 1) * 16).cast("long"), 53)
+    rarity = F.shiftleft(F.floor(F.log2(F.coalesce("n", F.lit(0)) + 1) * 16).cast("long"), RARITY_SHIFT)
     # SKETCH rows, whatever the input
     return all_of.agg(F.transform(F.array_sort(F.collect_list(F.struct("b", rarity.alias("r")))), lambda x: x["r"]).alias("rarity"))
 
 
+def _beyond(count: int) -> int:
+    """The least place in the order of words whose bucket's class is above that of this count."""
+    return (math.floor(math.log2(count + 1) * 16) + 1) << RARITY_SHIFT
+
+
 def _needed(n: Column, m: Column, num: int, den: int) -> Column:
     """num * (n + m): the overlap times (num + den) must reach it."""
     return (n + m).cast("long") * num
@@ -71,12 +81,15 @@ def removed_lines(df: DataFrame, key: str = "doc_id", text: str = "text", num: i
     lines = scratch.keep(lines.select("id", "pos", "n", F.xxhash64("s").alias("c"), F.slice("s", F.lit(1), prefix).alias("prefix"), parity.alias("bits")))
     scratch.free()
 
-    place = F.struct("id", "pos")
-    classes = scratch.keep(lines.groupBy("c").agg(F.min(place).alias("first")))
-    reps = lines.join(classes, "c").where(F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.pos") == F.col("pos")))
-    reps = scratch.keep(reps.select("id", "pos", "n", "prefix", "bits"))
-    meet = reps.select("id", "pos", "n", "bits", F.posexplode("prefix").alias("r", "w"))
-    counts = scratch.keep(meet.groupBy("w").agg(F.count("*").alias("f")).where("f > 1"))
+    # of each class the line at its first place, whole: one shuffle
+    reps = scratch.keep(lines.groupBy("c").agg(F.min(F.struct("id", "pos", "n", "prefix", "bits")).alias("x")).select("c", "x.*"))
+    wide, lines = lines, scratch.keep(lines.select("id", "pos", "c"))
+    scratch.drop(wide)
+    # a word that the corpus has once brings no lines together
+    meet = reps.select("id", "pos", "n", "bits", F.posexplode("prefix").alias("r", "w")).where(F.col("w") >= _beyond(1))
+    # only words beyond DIRECT in the sketch can be in more lines than that
+    frequent = meet.where(F.col("w") >= _beyond(DIRECT))
+    hot = scratch.keep(frequent.groupBy("w").agg(F.count("*").alias("f")).where(F.col("f") > DIRECT).select("w"))
     scratch.free()
 
     def alike(a: str, b: str) -> Column:
@@ -91,10 +104,9 @@ def removed_lines(df: DataFrame, key: str = "doc_id", text: str = "text", num: i
 
     later = F.struct("a.id", "a.pos") > F.struct("b.id", "b.pos")
     pair = [F.col("a.id").alias("id"), F.col("a.pos").alias("pos"), F.col("b.id").alias("id2"), F.col("b.pos").alias("pos2")]
-    few = meet.join(counts.where(F.col("f") <= DIRECT), "w")
+    few = meet.join(hot, "w", "left_anti")
     direct = few.alias("a").join(few.alias("b"), "w").where(later & alike("a", "b")).select(*pair)
-    many = meet.join(counts.where(F.col("f") > DIRECT), "w").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num))))
-    many = scratch.keep(many.drop("f"))
+    many = scratch.keep(frequent.join(hot, "w").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)))))
     hubs = many.groupBy("w", "band").agg(F.min(F.struct("id", "pos", "n", "bits", "r")).alias("hub")).select("w", "band", "hub.*")
     star = many.alias("a").join(hubs.alias("b"), ["w", "band"]).where(later & alike("a", "b")).select(*pair)
     tested = scratch.keep(direct.union(star).distinct())
@@ -105,10 +117,10 @@ def removed_lines(df: DataFrame, key: str = "doc_id", text: str = "text", num: i
     rest = scratch.keep(rest)
     if not rest.isEmpty():
         settled = scratch.keep(settled.union(_verified(df, rest, key, text, num, den).select("id", "pos")).distinct())
-    marked = classes.select("c", "first").join(settled.select(F.struct("id", "pos").alias("first"), F.lit(True).alias("all_of")), "first", "left")
+    marked = reps.select("c", F.struct("id", "pos").alias("first")).join(settled.select(F.struct("id", "pos").alias("first"), F.lit(True).alias("all_of")), "first", "left")
     out = lines.select("id", "pos", "c").join(marked, "c").where(F.coalesce("all_of", F.lit(False)) | (F.struct("id", "pos") > F.col("first"))).select("id", "pos")
     out = scratch.keep(out)
-    scratch.drop(sketch, lines, classes, reps, counts, many, tested, settled, rest)
+    scratch.drop(sketch, lines, reps, hot, many, tested, settled, rest)
     scratch.free()
     return out
 
