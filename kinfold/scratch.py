@@ -58,5 +58,7 @@ class Scratch:
 
     def free(self) -> None:
         """Lets Spark's cleaner remove the shuffle files of plans that nothing refers to any more."""
+        # Spark refers to what ran last, so something small runs last
+        self.spark.range(1).count()
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
