@@ -103,38 +103,54 @@ def removed_lines(df: DataFrame, key: str = "doc_id", text: str = "text", num: i
         return length & position & bits
 
     later = F.struct("a.id", "a.pos") > F.struct("b.id", "b.pos")
-    pair = [F.col("a.id").alias("id"), F.col("a.pos").alias("pos"), F.col("b.id").alias("id2"), F.col("b.pos").alias("pos2")]
+    differ = F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))).alias("differ")
+    pair = [F.col("a.id").alias("id"), F.col("a.pos").alias("pos"), F.col("b.id").alias("id2"), F.col("b.pos").alias("pos2"), differ]
     few = meet.join(hot, "w", "left_anti")
     direct = few.alias("a").join(few.alias("b"), "w").where(later & alike("a", "b")).select(*pair)
     many = scratch.keep(frequent.join(hot, "w").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)))))
     hubs = many.groupBy("w", "band").agg(F.min(F.struct("id", "pos", "n", "bits", "r")).alias("hub")).select("w", "band", "hub.*")
     star = many.alias("a").join(hubs.alias("b"), ["w", "band"]).where(later & alike("a", "b")).select(*pair)
     tested = scratch.keep(direct.union(star).distinct())
+    del few, direct, star, hubs
+    scratch.free()
+    # one similar earlier line is enough: first the likeliest of each line, then all the others of those still unsettled
+    sets = scratch.keep(_sets(df, tested, key, text))
+    scratch.free()
+    likeliest = tested.groupBy("id", "pos").agg(F.min(F.struct("differ", "id2", "pos2")).alias("x")).select("id", "pos", "x.id2", "x.pos2")
+    settled = scratch.keep(_verified(sets, likeliest, num, den))
+    scratch.free()
+    others = scratch.keep(tested.join(settled, ["id", "pos"], "left_anti").join(likeliest, ["id", "pos", "id2", "pos2"], "left_anti"))
+    settled = scratch.keep(settled.union(_verified(sets, others, num, den)))
     scratch.free()
-    settled = scratch.keep(_verified(df, tested, key, text, num, den).select("id", "pos").distinct())
     open_ = many.join(settled, ["id", "pos"], "left_anti")
     rest = open_.alias("a").join(many.alias("b"), "w").where(later & alike("a", "b")).select(*pair).distinct().join(tested, ["id", "pos", "id2", "pos2"], "left_anti")
     rest = scratch.keep(rest)
     if not rest.isEmpty():
-        settled = scratch.keep(settled.union(_verified(df, rest, key, text, num, den).select("id", "pos")).distinct())
+        settled = scratch.keep(settled.union(_verified(scratch.keep(_sets(df, rest, key, text)), rest, num, den)).distinct())
     marked = reps.select("c", F.struct("id", "pos").alias("first")).join(settled.select(F.struct("id", "pos").alias("first"), F.lit(True).alias("all_of")), "first", "left")
     out = lines.select("id", "pos", "c").join(marked, "c").where(F.coalesce("all_of", F.lit(False)) | (F.struct("id", "pos") > F.col("first"))).select("id", "pos")
     out = scratch.keep(out)
-    scratch.drop(sketch, lines, reps, hot, many, tested, settled, rest)
+    scratch.drop(sketch, lines, reps, hot, many, tested, sets, others, settled, rest)
     scratch.free()
     return out
 
 
-def _verified(df: DataFrame, pairs: DataFrame, key: str, text: str, num: int, den: int) -> DataFrame:
-    """Of pairs of places those whose lines are similar: the words come from the texts again, of the lines in question."""
+def _sets(df: DataFrame, pairs: DataFrame, key: str, text: str) -> DataFrame:
+    """id, pos, s: the sets of the lines in these pairs; the words come from the texts again."""
     places = pairs.select("id", "pos").union(pairs.select("id2", "pos2")).distinct()
     ids = places.select("id").distinct()
     # beyond BROADCAST_IDS ids the texts are joined by a shuffle
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = df.select(F.col(key).alias("id"), F.col(text).alias("text")).join(ids, "id", "left_semi")
-    sets = _lines(texts, "id", "text").join(places, ["id", "pos"]).select("id", "pos", F.array_distinct(_hashes(F.col("line"))).alias("s")).dropDuplicates(["id", "pos"])
+    return _lines(texts, "id", "text").join(places, ["id", "pos"]).select("id", "pos", F.array_distinct(_hashes(F.col("line"))).alias("s")).dropDuplicates(["id", "pos"])
+
+
+def _verified(sets: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """id, pos of the lines that are similar to the earlier one of a pair of theirs."""
+    pairs = pairs.select("id", "pos", "id2", "pos2")
     both = pairs.join(sets, ["id", "pos"]).join(sets.select(F.col("id").alias("id2"), F.col("pos").alias("pos2"), F.col("s").alias("s2")), ["id2", "pos2"])
-    return both.where((num + den) * F.size(F.array_intersect("s", "s2")).cast("long") >= _needed(F.size("s"), F.size("s2"), num, den))
+    alike = both.where((num + den) * F.size(F.array_intersect("s", "s2")).cast("long") >= _needed(F.size("s"), F.size("s2"), num, den))
+    return alike.select("id", "pos").distinct()
 
 
 def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
