@@ -1,6 +1,7 @@
 """Each operator on small tables with nulls, empty and odd texts, ties, repeated rows and clashing names, against brute force."""
 
 import hashlib
+import itertools
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -183,6 +184,39 @@ def test_decontaminate(spark, docs, none):
     assert decontaminate.contaminated(none, bench).count() == decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_decontaminate_at_the_limit():
+    """Random and periodic substitutions against all stretches of all diagonals."""
+    rng, seen = np.random.default_rng(5), set()
+    for n, misses in [(14, 1), (16, 2), (16, 3), (16, 4), (20, 3), (20, 4), (20, 5), (30, 6), (37, 7), (40, 8), (5, 1), (6, 1), (10, 2), (11, 2), (15, 3), (60, 12)] * 12:
+        item = rng.integers(1, 1 << 60, n).astype(np.uint64)
+        text = np.concatenate([rng.integers(1, 1 << 60, 7).astype(np.uint64), item, rng.integers(1, 1 << 60, 4).astype(np.uint64)])
+        at = rng.permutation(n)[:misses] if rng.random() < 0.7 else (np.arange(misses) * max(1, n // misses) + rng.integers(n)) % n
+        text[7 + at] = 0
+        need, most = decontaminate.needed(n, 13, 0.8), 0
+        same = text[7 : 7 + n] == item
+        for i in range(n):
+            for j in range(i + 1, n + 1):
+                equal = int(same[i:j].sum())
+                most = max(most, equal) if 5 * equal >= 4 * (j - i) else most
+        words = decontaminate.Words(np.zeros(0, np.uint8), np.zeros(2, np.int64))
+        words.hash, words.row, words.first = text, np.zeros(len(text), np.int64), np.array([0, len(text)])
+        got = decontaminate.overlaps(words, decontaminate.Benchmark(["a"], [item]))
+        assert [x[4] for x in got] == ([most] if most >= need else []), (n, at)
+        assert all(5 * e >= 4 * (b - a) and same[a - 7] and same[b - 8] for *_, a, b, e in got)
+        seen.add(most >= need)
+    assert seen == {True, False}
+
+
+def test_masks_hit_every_stretch():
+    for n, m in ((16, 3), (20, 4), (25, 5)):
+        gaps = np.array([sum(1 << i for i in c) for c in itertools.combinations(range(n), m)])
+        hit = np.zeros(len(gaps), bool)
+        for mask in decontaminate.MASKS:
+            for i in range(n - mask[-1]):
+                hit |= gaps & sum(1 << (i + o) for o in mask) == 0
+        assert hit.all()
+
+
 ALPHABET = "abz ABZ''st'll İıßéÉ12½²\t\n\r\x0b\x1c\x1f\x85\xa0|<>…—“”€ñ漢🙂Ως"
 
 
