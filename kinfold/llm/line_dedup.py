@@ -10,8 +10,10 @@ it, whether or not that one is removed itself.
 Where up to DIRECT classes meet, all pairs are tested. Where more do, each is tested against the first one of like length,
 which settles copies of one line, and only those still unsettled against all earlier ones.
 
-Cases: null texts stay null, empty ones empty. Lines of fewer than min_words distinct words stay and are compared with
-nothing: such short sets are alike by chance. A carriage return at the end of a line is no part of its words. Repeated
+Sets so small that no other set is similar (of one to three words at 4 / 5) make no pairs: their classes settle them.
+
+Cases: null texts stay null, empty ones empty. Lines without words stay; with min_words more than 1 so do all of fewer
+distinct words, compared with nothing. A carriage return at the end of a line is no part of its words. Repeated
 rows (equal ids and texts) have lines at equal places, of which none is earlier, so they stay alike. An empty table gives
 an empty result. All other columns stay as they are, whatever their names but for those in OUT.
 """
@@ -28,7 +30,7 @@ from ..scratch import Scratch
 SKETCH = 1 << 20
 RARITY_SHIFT = 53
 DIRECT = 128
-MIN_WORDS = 5
+MIN_WORDS = 1
 #: Ids that are broadcast at most.
 BROADCAST_IDS = 500_000
 OUT = ("n_lines", "n_removed", "removed_share")
@@ -76,7 +78,7 @@ def removed_lines(df: DataFrame, key: str = "doc_id", text: str = "text", num: i
     prefix = F.expr(f"cast(n - (n * {num}L + {den - 1}L) div {den}L + 1 as int)")
     # the optimiser puts the subquery's value, one array held by each executor, where `rarity` is used; explode() of the
     # one array keeps the filter on its size from computing it twice
-    lines = _lines(df, key, text).withColumn("rarity", sketch.scalar()).select("id", "pos", ordered.alias("all")).select("id", "pos", F.explode(F.array("all")).alias("s")).withColumn("n", F.size("s")).where(F.col("n") >= min_words)
+    lines = _lines(df, key, text).withColumn("rarity", sketch.scalar()).select("id", "pos", ordered.alias("all")).select("id", "pos", F.explode(F.array("all")).alias("s")).withColumn("n", F.size("s")).where(F.col("n") >= max(1, min_words))
     parity = F.aggregate("s", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))))
     lines = scratch.keep(lines.select("id", "pos", "n", F.xxhash64("s").alias("c"), F.slice("s", F.lit(1), prefix).alias("prefix"), parity.alias("bits")))
     scratch.free()
@@ -86,7 +88,9 @@ def removed_lines(df: DataFrame, key: str = "doc_id", text: str = "text", num: i
     wide, lines = lines, scratch.keep(lines.select("id", "pos", "c"))
     scratch.drop(wide)
     # a word that the corpus has once brings no lines together
-    meet = reps.select("id", "pos", "n", "bits", F.posexplode("prefix").alias("r", "w")).where(F.col("w") >= _beyond(1))
+    # a set of n words can be similar to another one only if it is to one of n + 1 words that holds it
+    paired = reps.where(F.col("n").cast("long") * den >= (F.col("n") + 1).cast("long") * num)
+    meet = paired.select("id", "pos", "n", "bits", F.posexplode("prefix").alias("r", "w")).where(F.col("w") >= _beyond(1))
     # only words beyond DIRECT in the sketch can be in more lines than that
     frequent = meet.where(F.col("w") >= _beyond(DIRECT))
     hot = scratch.keep(frequent.groupBy("w").agg(F.count("*").alias("f")).where(F.col("f") > DIRECT).select("w"))

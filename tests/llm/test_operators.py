@@ -86,6 +86,22 @@ def test_line_dedup(docs, none):
     assert line_dedup.dedup(none).count() == 0
 
 
+def test_line_dedup_of_short_lines(spark):
+    lines = ["a", "a b", "b a a", "a b c", "c b a", "a b d", "a b c d", "d c b a\r", "a b c d e", "a b c d f", "g h i j k", "j i h g", "", " ", "All rights reserved.", "x x x x x x x x", "x"]
+    rows = [(i, "\n".join(lines[i % 5 :: 2] + lines[:i])) for i in range(6)]
+    for num, den in ((4, 5), (1, 2), (1, 1)):
+        seen, want = [], {}
+        for i, text in rows:
+            kept = []
+            for line in text.split("\n"):
+                w = {x for x in line.rstrip("\r").split(" ") if x}
+                kept += [] if w and any(den * len(w & s) >= num * len(w | s) for s in seen) else [line]
+                seen += [w] if w else []
+            want[i] = "\n".join(kept)
+        got = line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), num=num, den=den).collect()
+        assert {r.doc_id: r.text for r in got} == want
+
+
 def test_language_id(docs, none):
     fitted = langid.fit(docs, F.lit(True))
     got = langid.predict(docs, fitted)
