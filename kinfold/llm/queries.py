@@ -54,8 +54,8 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    docs = _table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    return shuffle_shards.shards(docs)
+    out = shuffle_shards.shards(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), *shuffle_shards.OUT)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

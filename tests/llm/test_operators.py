@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from kinfold.llm import ann, chat, decontaminate, langid, line_dedup, packing, quality_fm, shuffle_shards, token_counts, trie_join
+from kinfold.llm import ann, chat, decontaminate, langid, line_dedup, packing, quality_fm, queries, shuffle_shards, token_counts, trie_join
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 BASE = [f"w{i} und x{i % 7} the y{i % 13} of" for i in range(30)]
@@ -189,6 +189,22 @@ def test_shards(docs, none):
     assert shuffle_shards.shards(none).count() == 0
 
 
+def test_shards_move_whole_records(spark, sf_dir, docs, monkeypatch):
+    given = []
+    real = shuffle_shards.shards
+    monkeypatch.setattr(shuffle_shards, "shards", lambda df, **o: given.append(df.columns) or real(df, **o))
+    source = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    out = queries.op7_shuffle_shards(spark, sf_dir)
+    assert given == [source.columns] and out.columns == ["doc_id", "size", "text_crc32", *shuffle_shards.OUT]
+    want = Counter((r.doc_id, len((r.text or "").encode()) + 16, zlib.crc32((r.text or "").encode())) for r in source.collect())
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in out.collect()) == want
+    # buckets are sized by bytes too
+    names = docs.columns
+    assert shuffle_shards.bucket_count(docs, names, 1000, 1 << 30) == (len(DOCS), 1)
+    assert shuffle_shards.bucket_count(docs, names, 1000, 1000)[1] >= sum(len((d[1] or "").encode()) for d in DOCS) // 1000
+    assert Counter(tuple(r)[: len(names)] for r in real(docs, n_shards=3, bucket_bytes=1000).collect()) == Counter(DOCS)
+
+
 def test_decontaminate(spark, docs, none):
     item = " ".join(LONG.split()[30:60])
     changed = " ".join("other" if i % 9 == 4 else w for i, w in enumerate(item.split()))
