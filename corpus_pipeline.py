@@ -40,7 +40,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cut = packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"))
-    return packing.pack(Scratch(spark).keep(cut))
+    return packing.pack(cut)
 
 
 STAGES = [

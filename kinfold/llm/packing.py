@@ -3,7 +3,8 @@
 Texts are tokenised, cut into pieces of at most `size` tokens (only what is longer is cut, and the first piece takes the
 odd rest), and the pieces are counted by length. Best-fit decreasing runs over those at most `size` counts: of the open
 sequences with room, those with the least room are filled first, many alike at a time. The plan says which ranks within a
-length go to which sequences, and where; pieces get theirs by a join on length and rank.
+length go to which sequences, and where; pieces get theirs by a join on length and rank. Ranks need no tokens: those are
+joined to their places once, by the number a piece has in the written table. sequences() lays the tokens end to end.
 
 Cases: a null text is empty, and an empty one is the end token alone. Repeated rows and ids are packed each; an empty
 table gives an empty result. Extra columns aren't read. The order of ranks within a length is by id, piece and content.
@@ -20,11 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch
 from .pretokens import Known, groups, in_letters, split
 
 SIZE, END_ID = 2048, 0
 #: Distinct pre-tokens whose ids a Python worker remembers, at about 30 bytes; beyond that it forgets and starts anew.
 REMEMBER = 2_000_000
+#: Tokens that a Python worker hands over at once.
+WAITING = 1 << 18
 #: Salts that spread the pieces of one length over tasks for ranking.
 SALTS = 64
 
@@ -81,22 +85,34 @@ def encoder(path: str) -> Encoder:
 
 
 def pieces(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", size: int = SIZE) -> DataFrame:
-    """key, piece, start, length and ids_crc32 of every piece. One narrow stage."""
+    """key, piece, start, length, ids_crc32 and ids (array<int>) of every piece. One narrow stage."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, piece, start, length, crc = [], [], [], [], []
+            rows, tokens = [], []
+
+            def flush(batch=batch, rows=rows, tokens=tokens) -> pa.RecordBatch:
+                at, piece, start, length, crc = zip(*rows, strict=True) if rows else ((),) * 5
+                flat = pa.array(np.concatenate([*tokens, np.zeros(0, "<u4")]).view(np.int32))
+                held = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *length]), pa.int32()), flat)
+                rows.clear(), tokens.clear()
+                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc)), held], names=["k", "piece", "start", "length", "ids_crc32", "ids"])
+
+            waiting = 0
             for row, ids in encoder(path).encode(batch.column(1).to_pylist()):
                 ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
                 n, done, k = len(ids), 0, 0
                 while done < n:
                     take = (n - done - 1) % size + 1 if not k else size
-                    at.append(row), piece.append(k), start.append(done), length.append(take)
-                    crc.append(zlib.crc32(ids[done : done + take]))
-                    done, k = done + take, k + 1
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["k", "piece", "start", "length", "ids_crc32"])
+                    part = ids[done : done + take]
+                    rows.append((row, k, done, take, zlib.crc32(part))), tokens.append(part)
+                    done, k, waiting = done + take, k + 1, waiting + take
+                    if waiting >= WAITING:
+                        yield flush()
+                        waiting = 0
+            yield flush()
 
     source = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    return source.mapInArrow(run, f"k {source.schema[0].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long").withColumnRenamed("k", key)
+    return source.mapInArrow(run, f"k {source.schema[0].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, ids array<int>").withColumnRenamed("k", key)
 
 
 def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[int, int, int, int, int]]:
@@ -140,13 +156,40 @@ def ranked(df: DataFrame, by: str, order: list[str], rank: str) -> DataFrame:
     return inner.join(counts, [by, "_salt"]).withColumn(rank, F.col("_before") + F.col("_at") - 1).drop("_salt", "_before", "_at")
 
 
-def pack(parts: DataFrame, key: str = "doc_id", size: int = SIZE) -> DataFrame:
-    """parts and sequence_id, offset. parts is read twice: hand in a written table."""
+def pack(parts: DataFrame, key: str = "doc_id", size: int = SIZE, scratch: Scratch | None = None) -> DataFrame:
+    """parts (with the ids) and sequence_id, offset. parts is written once and read from there."""
     spark = parts.sparkSession
+    parts = (scratch or Scratch(spark)).keep(parts.withColumn("_place", F.monotonically_increasing_id()))
     counts = {r.length: r.n for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `size` rows
     step = 100_000  # ranks of a plan row that one task lays out
     rows = [(a, b + i, min(step, n - i), s + i, o) for a, b, n, s, o in plan(counts, size) for i in range(0, n, step)]
     slots = spark.createDataFrame(rows, "length long, first long, n long, sequence long, offset long").repartition(max(1, min(len(rows), spark.sparkContext.defaultParallelism)))
     slots = slots.select("length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("_i"), "first", "sequence", "offset")
     slots = slots.select("length", (F.col("first") + F.col("_i")).alias("_rank"), (F.col("sequence") + F.col("_i")).alias("sequence_id"), "offset")
-    return ranked(parts, "length", [key, "piece", "start", "ids_crc32"], "_rank").join(slots, ["length", "_rank"]).drop("_rank")
+    order = [key, "piece", "start", "ids_crc32"]
+    placed = ranked(parts.select("length", *order, "_place"), "length", order, "_rank").join(slots, ["length", "_rank"])
+    # the places are hashed, so the tokens need no sort
+    return parts.join(placed.select("_place", "sequence_id", "offset").hint("shuffle_hash"), "_place").drop("_place")
+
+
+def sequences(packed: DataFrame) -> DataFrame:
+    """sequence_id, ids (the tokens of its pieces end to end) and n_pieces of each sequence."""
+    rows = packed.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("parts"))
+    return rows.select("sequence_id", F.flatten("parts.ids").alias("ids"), F.size("parts").alias("n_pieces"))
+
+
+def digests(packed: DataFrame) -> DataFrame:
+    """packed without ids; ids_crc32 is computed anew from the ids delivered."""
+    names = [c for c in packed.columns if c not in ("ids", "ids_crc32")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(len(names))
+            flat, ends = ids.values.to_numpy(zero_copy_only=False).view("<u4"), ids.offsets.to_pylist()
+            crc = [zlib.crc32(flat[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(crc, pa.int64())], names=[*(f"c{i}" for i in range(len(names))), "crc"])
+
+    source = packed.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), "ids")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema if f.name != "ids") + ", crc long"
+    out = source.mapInArrow(run, schema).toDF(*names, "ids_crc32")
+    return out.select(*(F.col(f"`{c}`") for c in packed.columns if c != "ids"))

@@ -8,7 +8,6 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import Scratch
 from . import ann, chat, decontaminate, langid, line_dedup, packing, quality_fm, shuffle_shards, token_counts, trie_join
 
 
@@ -68,7 +67,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = packing.pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
-    return packing.pack(Scratch(spark).keep(cut))
+    return packing.digests(packing.pack(cut))
 
 
 ORACLE_SQL: dict[str, str] = {}

@@ -289,6 +289,20 @@ def test_packing(docs, none, tmp_path):
     assert packing.pack(docs.sparkSession.read.parquet(str(tmp_path / "e"))).count() == 0
 
 
+def test_packing_delivers_the_tokens(docs):
+    packed = packing.pack(packing.pieces(docs, BYTE, size=64), size=64)
+    tokenizer, got = packing.encoder(BYTE).tokenizer, packed.collect()
+    tokens = {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0] for i, t in enumerate(TEXTS)}
+    assert all(r.ids == tokens[r.doc_id][r.start : r.start + r.length] for r in got)
+    held = {r.sequence_id: r for r in packing.sequences(packed).collect()}
+    assert sum(r.n_pieces for r in held.values()) == len(got) and all(len(r.ids) <= 64 for r in held.values())
+    assert all(held[r.sequence_id].ids[r.offset : r.offset + r.length] == r.ids for r in got)
+    # the digests come from the tokens delivered
+    wrong = packed.withColumn("ids_crc32", F.lit(-1).cast("long"))
+    assert packing.digests(packed).columns == [c for c in packed.columns if c != "ids"]
+    assert Counter(packing.digests(wrong).collect()) == Counter(packed.drop("ids").collect())
+
+
 @given(st.dictionaries(st.integers(1, 50), st.integers(1, 40), max_size=20))
 @settings(max_examples=100, deadline=None)
 def test_plan_is_best_fit_decreasing(counts):
