@@ -28,7 +28,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by five-word shingles with Jaccard 0.8 or more the one with the smallest id stays."""
-    stay = trie_join.groups(docs).where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("stay")).distinct()
+    stay = trie_join.groups(docs, count_links=False).where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("stay")).distinct()
     return docs.join(stay, docs["doc_id"].eqNullSafe(stay["stay"]), "left_semi")
 
 

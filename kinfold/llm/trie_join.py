@@ -11,8 +11,12 @@ it with the overlap so far, leaving every subtree whose remaining length can't b
 
 At a meeting point only classes of different groups are tested: first, in a few turns, each with one class of like length, then
 what is left in full, where a pair goes on only if the parities of the sets' elements in 64 * PARITY buckets allow it: the
-buckets of unlike parity are no more than the elements that only one of the two has. So copies and near copies of one text don't become all their pairs, and no link between groups is
-missed.
+buckets of unlike parity are no more than the elements that only one of the two has. So the groups are found without all
+pairs of near copies, and no link between groups is missed.
+
+The number of links is counted afterwards: every link is within a group, so all pairs of classes of a group are compared
+exactly, in blocks of BLOCK sets by BLOCK sets, of which each counts the links of its classes. Groups of up to BLOCK
+classes go many to a task. No table of pairs is made.
 
 Cases: null texts and texts without words have empty sets, no links, and their own id as component. A text of fewer words
 than an n-gram has its whole sequence as the one n-gram. Repeated rows and ids are rows of their own. Ties of order go by
@@ -34,6 +38,8 @@ from .text import U64, Words, as_signed, chunks, mix, windows
 TREE_SETS = 2000
 #: Longs that hold the parities of a set's elements, by bucket.
 PARITY = 8
+#: Sets on each side of a block of pairs that is compared at once, and elements of theirs.
+BLOCK, COLUMNS = 256, 1 << 13
 
 
 class PrefixTree:
@@ -167,9 +173,75 @@ def _merged(fresh: DataFrame, labels: DataFrame | None, scratch: Scratch) -> Dat
     return base.join(roots.select(F.col("node").alias("label"), F.col("label").alias("root")), "label", "left").select("c", F.coalesce("root", "label").alias("label"))
 
 
-def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, num: int = 4, den: int = 5, scratch: Scratch | None = None) -> DataFrame:
-    """key, n_shingles, component_id (the smallest id reachable by links), n_links (of the row's class, to other classes,
-    among those tested: enough to hold the component together) for every row. Similar: Jaccard >= num / den."""
+def similar_matrix(left: list[np.ndarray], right: list[np.ndarray], num: int, den: int) -> np.ndarray:
+    """Which sets of left and right have Jaccard similarity num / den or more."""
+    n, m = np.array([len(x) for x in left], np.int64), np.array([len(x) for x in right], np.int64)
+    x, y = np.concatenate(left), np.concatenate(right)
+    both = np.intersect1d(x, y)
+    shared = np.zeros((len(n), len(m)), np.int64)
+
+    def cells(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        row, column = np.repeat(np.arange(len(sizes)), sizes), np.minimum(np.searchsorted(both, flat), max(0, len(both) - 1))
+        inside = np.flatnonzero(both[column] == flat) if len(both) else np.zeros(0, np.int64)
+        inside = inside[np.argsort(column[inside], kind="stable")]
+        return row[inside], column[inside]
+
+    (r, a), (q, b) = cells(x, n), cells(y, m)
+    for first in range(0, len(both), COLUMNS):
+        width = min(COLUMNS, len(both) - first)
+        sides = []
+        for row, column, many in ((r, a, len(n)), (q, b, len(m))):
+            lo, hi = np.searchsorted(column, [first, first + width])
+            side = np.zeros((many, width), np.float32)
+            side[row[lo:hi], column[lo:hi] - first] = 1
+            sides.append(side)
+        shared += (sides[0] @ sides[1].T).astype(np.int64)
+    return (num + den) * shared >= num * (n[:, None] + m)
+
+
+def _degrees(labels: DataFrame, sets: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """c, n_links of all classes with links: how many other classes each is similar to."""
+    many = labels.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("m"))
+    members = scratch.keep(labels.join(many, "label").join(sets, "c"))
+    small = max(1, -(-members.where("m = 1").count() // BLOCK))
+    alone = F.col("m") == 1
+    chunk = F.when(alone, F.lit(0)).otherwise(F.pmod(F.xxhash64("c"), F.col("m")).cast("int"))
+    placed = members.select(F.when(alone, F.pmod(F.xxhash64("label"), F.lit(small))).otherwise(F.col("label")).alias("g"), alone.alias("alone"), chunk.alias("own"), "m", "label", "c", "items")
+    left = placed.select("g", "alone", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("m") - 1)).alias("j"), "label", "c", "items")
+    right = placed.where("own > 0").select("g", "alone", F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("i"), F.col("own").alias("j"), "label", "c", "items")
+
+    def unpack(t: pa.Table) -> list[np.ndarray]:
+        items = t.column("items").combine_chunks()
+        items = items.chunk(0) if isinstance(items, pa.ChunkedArray) else items
+        flat, at = items.values.to_numpy(), items.offsets.to_numpy()
+        return [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+    def count(a: pa.Table, b: pa.Table) -> pa.Table:
+        names, n = [], []
+        if a.num_rows and a.column("i")[0].as_py() == a.column("j")[0].as_py():
+            own, c, label = unpack(a), a.column("c").to_numpy(), a.column("label").to_numpy()
+            order = np.argsort(label, kind="stable")
+            for at in np.split(order, np.flatnonzero(np.diff(label[order])) + 1):
+                group = [own[x] for x in at]
+                names.append(c[at]), n.append(similar_matrix(group, group, num, den).sum(1) - 1)
+        elif a.num_rows and b.num_rows:
+            links = similar_matrix(unpack(a), unpack(b), num, den)
+            names += [a.column("c").to_numpy(), b.column("c").to_numpy()]
+            n += [links.sum(1), links.sum(0)]
+        none = np.zeros(0, np.int64)
+        return pa.table({"c": pa.array(np.concatenate([none, *names])), "n": pa.array(np.concatenate([none, *n]).astype(np.int64))})
+
+    by = ["g", "alone", "i", "j"]
+    counted = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(count, "c long, n long")
+    out = scratch.keep(counted.groupBy("c").agg(F.sum("n").alias("n_links")))
+    scratch.drop(members)
+    scratch.free()
+    return out
+
+
+def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, num: int = 4, den: int = 5, count_links: bool = True, scratch: Scratch | None = None) -> DataFrame:
+    """key, n_shingles, component_id (the smallest id reachable by links), n_links (all links of the row's class to other
+    classes) for every row; n_links only with count_links. Similar: Jaccard >= num / den."""
     scratch = scratch or Scratch(docs.sparkSession)
     # the sample holds the whole prefix of all but short sets, with room to put the frequent last
     sample = min(65536, int(65536 * 2.2 * (1 - num / den)))
@@ -203,8 +275,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5,
     # at the first element that two sets share all of the overlap is still to come; pairs are met there or nowhere
     near = F.expr(f"{den}L * least(n, hub.n) >= {num}L * greatest(n, hub.n) and {num + den}L * least(n - r, hub.n - hub.r) >= {num}L * (n + hub.n)")
     parities = reps.select("c", "bits").dropDuplicates(["c"])
-    links = docs.sparkSession.createDataFrame([], "a long, b long")
-    tested = links
+    tested = docs.sparkSession.createDataFrame([], "a long, b long")
     labels = None
     width = np.log(den / num)
     for turn, shift in enumerate((0.0, 0.5, None, None, None, "all")):
@@ -232,15 +303,16 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5,
             continue
         fresh = scratch.keep(_verified(pairs, full, num, den))
         scratch.free()
-        links, tested = links.unionByName(fresh), tested.unionByName(pairs)
+        tested = tested.unionByName(pairs)
         if not fresh.isEmpty():
             labels = scratch.keep(_merged(fresh, labels, scratch))
             scratch.free()
     if labels is None:
-        return rows.select(F.col("id").alias(key), F.col("n").cast("long").alias("n_shingles"), "c").join(classes.withColumnRenamed("id", "least"), "c", "left").select(key, "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col(key)).alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+        return rows.select(F.col("id").alias(key), F.col("n").cast("long").alias("n_shingles"), "c").join(classes.withColumnRenamed("id", "least"), "c", "left").select(key, "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col(key)).alias("component_id"), *([F.lit(0).cast("long").alias("n_links")] if count_links else []))
     named = classes.join(labels, "c", "left").select("c", "id", F.coalesce("label", "c").alias("label"))
     least = named.groupBy("label").agg(F.min("id").alias("component_id"))
-    degree = links.select(F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.count("*").alias("n_links"))
-    named = named.join(least, "label").join(degree, "c", "left").select("c", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    named = named.join(least, "label").select("c", "component_id")
+    if count_links:
+        named = named.join(_degrees(labels, full, num, den, scratch), "c", "left")
     out = rows.join(named, "c", "left")
-    return out.select(F.col("id").alias(key), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select(F.col("id").alias(key), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), *([F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if count_links else []))

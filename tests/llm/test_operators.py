@@ -56,6 +56,26 @@ def test_trie_join(docs, none, k, num, den):
     assert trie_join.groups(none, k=k, num=num, den=den).count() == 0
 
 
+def test_trie_join_counts_all_links(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    base = [[f"{g}v{i}" for i in range(40)] for g in range(4)]
+    texts = []
+    for i in range(90):
+        words = list(base[0] if i < 60 else base[1 + i % 3])
+        for at in rng.integers(0, 40, i % 4):
+            words[at] = f"z{rng.integers(9)}"
+        texts.append(" ".join(words))
+    rows = list(enumerate([*texts, texts[0], None, "alone here"]))
+    sets = {i: frozenset(zip(*(w[j:] for j in range(3)))) if len(w := (t or "").split()) >= 3 else frozenset(w) for i, t in rows}
+    classes = {s for s in sets.values() if s}
+    want = {i: sum(5 * len(s & o) >= 3 * len(s | o) for o in classes if o != s) if s else 0 for i, s in sets.items()}
+    assert max(want.values()) > 10
+    for block in (256, 7):
+        monkeypatch.setattr(trie_join, "BLOCK", block)
+        got = trie_join.groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), k=3, num=3, den=5)
+        assert {r.doc_id: r.n_links for r in got.collect()} == want
+
+
 @given(st.lists(st.frozensets(st.integers(0, 30), min_size=1, max_size=25), min_size=1, max_size=12))
 @settings(max_examples=60, deadline=None)
 def test_prefix_tree(sets):
