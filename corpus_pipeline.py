@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 from kinfold.llm import decontaminate, langid, line_dedup, packing, trie_join
 from kinfold.scratch import Scratch
 
-#: A document that loses this share of its words as repeated lines is a copy of others, and goes.
-COPY_SHARE = 0.8
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no language can be told (null, or without a letter) go."""
@@ -21,8 +18,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines are cut out; documents that were little else go."""
-    cut = line_dedup.dedup(docs).where(~((F.col("n_removed") > 0) & (F.col("removed_share") >= COPY_SHARE)))
+    """Repeated lines are cut out; documents of which no word is left go."""
+    cut = line_dedup.dedup(docs).where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^ \t-\r]"))
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

@@ -13,6 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from kinfold.llm import ann, chat, decontaminate, langid, line_dedup, packing, quality_fm, queries, shuffle_shards, token_counts, trie_join
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
@@ -122,6 +123,13 @@ def test_line_dedup_of_short_lines(spark):
         assert {r.doc_id: r.text for r in got} == want
 
 
+def test_pipeline_keeps_what_only_one_document_has(spark):
+    line = "this line is in all of the documents"
+    rows = [(1, line), (2, "\n".join([line] * 20 + ["some own words at the end"])), (3, f"{line}\n\t\n{line}"), (4, "")]
+    got = corpus_pipeline.dedup_lines(spark, spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, n_chars long"), "")
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == [(1, line), (2, "some own words at the end"), (4, "")]
+
+
 def test_language_id(docs, none):
     fitted = langid.fit(docs, F.lit(True))
     got = langid.predict(docs, fitted)
