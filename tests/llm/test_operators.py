@@ -267,6 +267,14 @@ def test_decontaminate_at_the_limit():
     assert seen == {True, False}
 
 
+def test_pipeline_decontaminates_rows_without_ids(spark, tmp_path):
+    item = " ".join(f"w{i}" for i in range(20))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame([(None, f"a {item} b"), (None, "clean"), (7, item), (7, "clean too"), (8, None)], "doc_id long, text string")
+    got = corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter([(None, "clean"), (7, "clean too"), (8, None)])
+
+
 def test_masks_hit_every_stretch():
     for n, m in ((16, 3), (20, 4), (25, 5)):
         gaps = np.array([sum(1 << i for i in c) for c in itertools.combinations(range(n), m)])
