@@ -31,30 +31,39 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Parquet tables that cut lineage: a lost executor costs a read, not a recomputation of everything before.
 
-    Tables that the returned result still reads stay until the session's folder is removed; drop() frees the others.
+    drop() frees single tables and close() all of them; what a returned result still reads goes when the session's JVM ends.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/kinfold-{uuid.uuid4().hex}"
         self.n = 0
-        self.paths: dict[int, str] = {}
+
+    def _path(self, path: str):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n:03d}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").option("parquet.enable.dictionary", "false").parquet(path)  # mostly hashes and numbers
+        if self.n == 1:
+            root, fs = self._path(self.root)
+            fs.deleteOnExit(root)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        out._kept_at = path  # the handle that drop() takes goes with the frame itself
         return out
 
     def drop(self, *frames: DataFrame) -> None:
+        """Frames that keep() returned; others have no table and are passed over."""
         for df in frames:
-            path = self.paths.pop(id(df), None)
-            if path:
-                jvm = self.spark.sparkContext._jvm
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            if path := getattr(df, "_kept_at", None):
+                p, fs = self._path(path)
+                fs.delete(p, True)
+
+    def close(self) -> None:
+        root, fs = self._path(self.root)
+        fs.delete(root, True)
 
     def free(self) -> None:
         """Lets Spark's cleaner remove the shuffle files of plans that nothing refers to any more."""
