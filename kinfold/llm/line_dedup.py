@@ -2,20 +2,23 @@ r"""Line dedup: an exact set-similarity join of lines, in DataFrame functions on
 
 A line's set holds the hashes of its distinct words (between spaces). Words are ordered by rarity, from the corpus counts
 of SKETCH buckets of word hashes, ties by hash: one order for all lines. Lines of equal sets are one class, which stands
-at its first place (id, line number). Classes meet at the words of their prefixes (n - ceil(t n) + 1 words of n), and a
-pair goes on if its lengths, its positions in the order and the parities of its hashes in 64 bits allow the overlap that
-is needed; then Jaccard is computed exactly. A line is removed if a line at an earlier place has Jaccard >= num / den with
-it, whether or not that one is removed itself.
+at its first place (id, text, line number).
 
-Where up to DIRECT classes meet, all pairs are tested. Where more do, each is tested against the first one of like length,
-which settles copies of one line, and only those still unsettled against all earlier ones.
+Classes meet at the words of their prefixes (n - ceil(t n) + 1 words of n), and a pair goes on if its lengths, its positions
+in the order and the parities of its hashes in 64 bits allow the overlap that is needed. Two similar sets share l words
+among their first n - ceil(t n) + l, so where more than DIRECT classes meet at a word they meet at pairs of words instead,
+with the next word that both have, and where that is still too many at three words. Only copies of one line are so alike:
+there each class is tested against the first one of like length, and those still unsettled against all earlier ones.
 
-Sets so small that no other set is similar (of one to three words at 4 / 5) make no pairs: their classes settle them.
+The pairs left are compared exactly. A line is removed if a line at an earlier place has Jaccard >= num / den with it,
+whether or not that one is removed itself. Sets so small that no other set is similar (of one to three words at 4 / 5)
+make no pairs: their classes settle them.
 
 Cases: null texts stay null, empty ones empty. Lines without words stay; with min_words more than 1 so do all of fewer
-distinct words, compared with nothing. A carriage return at the end of a line is no part of its words. Repeated
-rows (equal ids and texts) have lines at equal places, of which none is earlier, so they stay alike. An empty table gives
-an empty result. All other columns stay as they are, whatever their names but for those in OUT.
+distinct words, compared with nothing. A carriage return at the end of a line is no part of its words. Null ids come
+first. Of rows with one id and different texts, each has its own lines. Repeated rows (equal ids and texts) have lines at
+equal places, of which none is earlier, so they stay alike. A very long line is a set as any other. An empty table gives
+an empty result. All other columns stay as they are, whatever their names but for those in OUT, which are replaced.
 """
 
 from __future__ import annotations
@@ -27,145 +30,208 @@ from pyspark.sql import functions as F
 
 from ..scratch import Scratch
 
-SKETCH = 1 << 20
-RARITY_SHIFT = 53
-DIRECT = 128
+#: Buckets of words that are counted, and the classes of rarity for each doubling of a count (127 at most, in a byte).
+SKETCH, STEPS = 1 << 22, 3
+RARITY_SHIFT = 56
+#: Classes that meet at a key at most, else the key gets one more word, up to LEVELS.
+DIRECT, LEVELS = 256, 3
 MIN_WORDS = 1
-#: Ids that are broadcast at most.
-BROADCAST_IDS = 500_000
+#: Documents whose numbers are broadcast at most, and removed lines; beyond that they are joined by a shuffle.
+BROADCAST_DOCS, BROADCAST_LINES = 500_000, 1_000_000
 OUT = ("n_lines", "n_removed", "removed_share")
 
 
-def _lines(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.select(F.col(key).alias("id"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+def _lines(df: DataFrame) -> DataFrame:
+    return df.select("id", "doc", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
 
 
 def _words(line: Column) -> Column:
-    return F.array_remove(F.split(F.rtrim(line, F.lit("\r")), " "), "")
+    """With empty ones, where blanks follow each other."""
+    return F.split(F.rtrim(line, F.lit("\r")), " ")
 
 
 def _hashes(line: Column) -> Column:
     return F.transform(_words(line), lambda w: F.xxhash64(w))
 
 
-def _sketch(df: DataFrame, text: str) -> DataFrame:
-    """One row: an array with the class of rarity of each bucket of words, in the upper ten bits of a long.
+def _set(line: Column) -> Column:
+    return F.array_remove(F.array_distinct(_hashes(line)), F.xxhash64(F.lit("")))
 
-    A bucket's count is that of its words or more, so _beyond() tells for sure that a word is in few lines."""
-    words = df.select(F.explode(F.split(text, "\n")).alias("line")).select(F.explode(_words(F.col("line"))).alias("w"))
-    counts = words.groupBy((F.xxhash64("w").bitwiseAND(F.lit(SKETCH - 1))).alias("b")).agg(F.count("*").alias("n"))
-    all_of = df.sparkSession.range(SKETCH).select(F.col("id").alias("b")).join(counts, "b", "left")
-    rarity = F.shiftleft(F.floor(F.log2(F.coalesce("n", F.lit(0)) + 1) * 16).cast("long"), RARITY_SHIFT)
-    # SKETCH rows, whatever the input
-    return all_of.agg(F.transform(F.array_sort(F.collect_list(F.struct("b", rarity.alias("r")))), lambda x: x["r"]).alias("rarity"))
+
+def _rarity(count: Column) -> Column:
+    return F.least(F.lit(127), F.floor(F.log2(count + 1) * STEPS))
 
 
 def _beyond(count: int) -> int:
     """The least place in the order of words whose bucket's class is above that of this count."""
-    return (math.floor(math.log2(count + 1) * 16) + 1) << RARITY_SHIFT
+    return (math.floor(math.log2(count + 1) * STEPS) + 1) << RARITY_SHIFT
 
 
-def _needed(n: Column, m: Column, num: int, den: int) -> Column:
-    """num * (n + m): the overlap times (num + den) must reach it."""
-    return (n + m).cast("long") * num
+def _sketch(df: DataFrame) -> DataFrame:
+    """One row: the class of rarity of each bucket of words, a byte each.
 
+    A bucket's count is that of its words or more, so _beyond() tells for sure that a word is in few lines."""
+    words = df.select(F.explode(F.split("text", "\n")).alias("line")).select(F.explode(_words(F.col("line"))).alias("w"))
+    # SKETCH rows, whatever the input
+    every = df.sparkSession.range(SKETCH).select(F.col("id").alias("b"), F.lit(0).alias("n"))
+    counts = words.select(F.xxhash64("w").bitwiseAND(F.lit(SKETCH - 1)).alias("b"), F.lit(1).alias("n")).union(every)
+    counts = counts.groupBy("b").agg(_rarity(F.sum("n")).cast("tinyint").alias("r"))
+    joined = lambda c: F.transform(F.sort_array(F.collect_list(c)), lambda x: x["r"])
+    blocks = counts.groupBy(F.shiftright("b", 12).alias("b_")).agg(joined(F.struct("b", "r")).alias("r"))
+    return blocks.agg(F.flatten(joined(F.struct("b_", "r"))).alias("rarity"))
 
-def removed_lines(df: DataFrame, key: str = "doc_id", text: str = "text", num: int = 4, den: int = 5, min_words: int = MIN_WORDS, scratch: Scratch | None = None) -> DataFrame:
-    """id, pos (from 0) of the lines that are removed."""
-    scratch = scratch or Scratch(df.sparkSession)
-    sketch = scratch.keep(_sketch(df, text))
-    ordered = F.sort_array(F.array_distinct(F.transform(_hashes(F.col("line")), lambda h: F.coalesce(F.get(F.col("rarity"), h.bitwiseAND(F.lit(SKETCH - 1)).cast("int")), F.lit(0).cast("long")).bitwiseOR(F.shiftrightunsigned(h, 11)))))
-    prefix = F.expr(f"cast(n - (n * {num}L + {den - 1}L) div {den}L + 1 as int)")
-    # the optimiser puts the subquery's value, one array held by each executor, where `rarity` is used; explode() of the
-    # one array keeps the filter on its size from computing it twice
-    lines = _lines(df, key, text).withColumn("rarity", sketch.scalar()).select("id", "pos", ordered.alias("all")).select("id", "pos", F.explode(F.array("all")).alias("s")).withColumn("n", F.size("s")).where(F.col("n") >= max(1, min_words))
-    parity = F.aggregate("s", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))))
-    lines = scratch.keep(lines.select("id", "pos", "n", F.xxhash64("s").alias("c"), F.slice("s", F.lit(1), prefix).alias("prefix"), parity.alias("bits")))
-    scratch.free()
 
-    # of each class the line at its first place, whole: one shuffle
-    reps = scratch.keep(lines.groupBy("c").agg(F.min(F.struct("id", "pos", "n", "prefix", "bits")).alias("x")).select("c", "x.*"))
-    wide, lines = lines, scratch.keep(lines.select("id", "pos", "c"))
-    scratch.drop(wide)
-    # a word that the corpus has once brings no lines together
-    # a set of n words can be similar to another one only if it is to one of n + 1 words that holds it
-    paired = reps.where(F.col("n").cast("long") * den >= (F.col("n") + 1).cast("long") * num)
-    meet = paired.select("id", "pos", "n", "bits", F.posexplode("prefix").alias("r", "w")).where(F.col("w") >= _beyond(1))
-    # only words beyond DIRECT in the sketch can be in more lines than that
-    frequent = meet.where(F.col("w") >= _beyond(DIRECT))
-    hot = scratch.keep(frequent.groupBy("w").agg(F.count("*").alias("f")).where(F.col("f") > DIRECT).select("w"))
-    scratch.free()
+def _prefix(n: Column, num: int, den: int) -> Column:
+    return (n - F.floor((n.cast("long") * num + (den - 1)) / den) + 1).cast("int")
+
+
+def _sized(df: DataFrame, limit: int) -> DataFrame:
+    """Broadcast if it has up to `limit` rows."""
+    return F.broadcast(df) if df.count() <= limit else df
 
-    def alike(a: str, b: str) -> Column:
-        n, m, r, q = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.r"), F.col(f"{b}.r")
-        need = _needed(n, m, num, den)
-        length = den * F.least(n, m) >= num * F.greatest(n, m)
+
+class _Pairs:
+    """What two rows (key, c, nr, bits) of classes must fulfil; nr holds the length and the position in the order."""
+
+    def __init__(self, num: int, den: int):
+        self.num, self.den = num, den
+
+    def like(self, a: str, b: str) -> Column:
+        num, den = self.num, self.den
+        n, m = (F.shiftright(f"{x}.nr", 32) for x in (a, b))
+        left, right = (F.shiftright(f"{x}.nr", 32) - F.col(f"{x}.nr").bitwiseAND(F.lit(0xFFFFFFFF)) for x in (a, b))
+        # each word in one set only flips a bit at most, so the overlap is at most (n + m - bits that differ) / 2; the
+        # cheapest and sharpest test, so it comes first
+        bits = (num + den) * F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits"))) <= (den - num) * (n + m)
+        length = (den * n >= num * m) & (den * m >= num * n)
         # at the first word that two lines share all of the overlap is still to come; pairs are met there or nowhere
-        position = (num + den) * F.least(n - r, m - q) >= need
-        # each word in one set only flips a bit at most, so the overlap is at most (n + m - bits that differ) / 2
-        bits = (num + den) * (n + m - F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits")))) >= 2 * need
-        return length & position & bits
-
-    later = F.struct("a.id", "a.pos") > F.struct("b.id", "b.pos")
-    differ = F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))).alias("differ")
-    pair = [F.col("a.id").alias("id"), F.col("a.pos").alias("pos"), F.col("b.id").alias("id2"), F.col("b.pos").alias("pos2"), differ]
-    few = meet.join(hot, "w", "left_anti")
-    direct = few.alias("a").join(few.alias("b"), "w").where(later & alike("a", "b")).select(*pair)
-    many = scratch.keep(frequent.join(hot, "w").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)))))
-    hubs = many.groupBy("w", "band").agg(F.min(F.struct("id", "pos", "n", "bits", "r")).alias("hub")).select("w", "band", "hub.*")
-    star = many.alias("a").join(hubs.alias("b"), ["w", "band"]).where(later & alike("a", "b")).select(*pair)
-    tested = scratch.keep(direct.union(star).distinct())
-    del few, direct, star, hubs
-    scratch.free()
-    # one similar earlier line is enough: first the likeliest of each line, then all the others of those still unsettled
-    sets = scratch.keep(_sets(df, tested, key, text))
+        position = (num + den) * F.least(left, right) >= num * (n + m)
+        return bits & length & position
+
+    def all_of(self, rows: DataFrame) -> DataFrame:
+        """c1 < c2 of all pairs within a key."""
+        rows = rows.select("key", "c", "nr", "bits")
+        both = rows.alias("a").join(rows.alias("b"), "key").where((F.col("a.c") < F.col("b.c")) & self.like("a", "b"))
+        return both.select(F.col("a.c").alias("c1"), F.col("b.c").alias("c2"))
+
+
+def _longer(rows: DataFrame, level: int) -> DataFrame:
+    """Keys of one more word: each that may be the next one shared. A tail begins after a key's last word."""
+    reach = F.size("tail") - (LEVELS - level)  # the words that count on this level
+    parts = F.transform(F.slice("tail", 1, F.greatest(F.lit(0), reach)), lambda w, i: F.struct(F.xxhash64("key", w).alias("key"), F.slice("tail", i + 2, F.size("tail")).alias("tail")))
+    return rows.select(F.explode(parts).alias("x"), "c", "nr", "bits").select("x.key", "c", "nr", "bits", "x.tail")
+
+
+def removed_lines(df: DataFrame, num: int = 4, den: int = 5, min_words: int = MIN_WORDS, scratch: Scratch | None = None) -> DataFrame:
+    """Of a table of id, doc (a hash of the text) and text: id, doc, pos (from 0) of the lines that are removed."""
+    scratch, spark = scratch or Scratch(df.sparkSession), df.sparkSession
+    met = _Pairs(num, den)
+    sketch = scratch.keep(_sketch(df))
+    # the optimiser puts the subquery's value, one array held by each executor, where `rarity` is used
+    ordered = F.expr(f"transform(s, h -> shiftleft(cast(rarity[cast(h & {SKETCH - 1}L as int)] as bigint), {RARITY_SHIFT}) | shiftrightunsigned(h, {64 - RARITY_SHIFT}))")
+    sets = _lines(df).select("id", "doc", "pos", F.explode(F.array(_set(F.col("line")))).alias("s")).withColumn("n", F.size("s"))
+    # explode() of the one array keeps what follows from computing it twice
+    sets = sets.where(F.col("n") >= max(1, min_words)).withColumn("rarity", sketch.scalar()).select("id", "doc", "pos", "n", F.sort_array(ordered).alias("all"))
+    sets = sets.select("id", "doc", "pos", "n", F.explode(F.array("all")).alias("s"))
+    parity = F.expr("aggregate(s, 0L, (a, h) -> a ^ shiftleft(1L, cast(h & 63L as int)))")
+    wide = scratch.keep(sets.select("id", "doc", "pos", "n", F.xxhash64("s").alias("c"), F.slice("s", F.lit(1), _prefix(F.col("n"), num, den) + (LEVELS - 1)).alias("prefix"), parity.alias("bits")))
+    scratch.drop(sketch)
     scratch.free()
-    likeliest = tested.groupBy("id", "pos").agg(F.min(F.struct("differ", "id2", "pos2")).alias("x")).select("id", "pos", "x.id2", "x.pos2")
-    settled = scratch.keep(_verified(sets, likeliest, num, den))
+    # of each class its first place and the rest, which all have alike: one shuffle
+    reps = scratch.keep(wide.groupBy("c").agg(F.min(F.struct("id", "doc", "pos")).alias("first"), F.count("*").alias("many"), *(F.first(x).alias(x) for x in ("n", "prefix", "bits"))))
     scratch.free()
-    others = scratch.keep(tested.join(settled, ["id", "pos"], "left_anti").join(likeliest, ["id", "pos", "id2", "pos2"], "left_anti"))
-    settled = scratch.keep(settled.union(_verified(sets, others, num, den)))
+
+    # a set of n words can be similar to another one only if it is to one of n + 1 words that holds it
+    paired = reps.where(F.col("n").cast("long") * den >= (F.col("n") + 1).cast("long") * num)
+    # a word that the corpus has once brings no lines together
+    meet = paired.select("c", "n", "bits", "prefix", F.posexplode("prefix").alias("r", "key")).where((F.col("r") < _prefix(F.col("n"), num, den)) & (F.col("key") >= _beyond(1)))
+    nr = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("r").cast("long")).alias("nr")
+    # only words beyond DIRECT in the sketch can be in more lines than that
+    pairs = [met.all_of(meet.where(F.col("key") < _beyond(DIRECT)).select("key", "c", nr, "bits"))]
+    rows = meet.where(F.col("key") >= _beyond(DIRECT)).select("key", "c", nr, "bits", F.slice("prefix", F.col("r") + 2, F.size("prefix")).alias("tail"))
+    for level in range(1, LEVELS + 1):
+        rows = scratch.keep(_longer(rows, level) if level > 1 else rows)
+        crowded = rows.groupBy("key").agg(F.count("*").alias("f")).where(F.col("f") > DIRECT).select("key", F.lit(True).alias("hot"))
+        rows = scratch.keep(rows.join(crowded, "key", "left"))
+        pairs.append(met.all_of(rows.where("hot is null")))
+        rows = rows.where("hot").drop("hot")
+        if rows.isEmpty():
+            break
+    hot = scratch.keep(rows.select("key", "c", "nr", "bits").join(reps.select("c", "first"), "c").withColumn("band", F.floor(F.log(F.shiftright("nr", 32).cast("double")) / F.lit(math.log(den / num)))))
+    hubs = hot.groupBy("key", "band").agg(F.min(F.struct("first", "c", "nr", "bits")).alias("hub")).select("key", "band", "hub.*")
+    star = hot.alias("a").join(hubs.alias("b"), ["key", "band"]).where((F.col("a.c") != F.col("b.c")) & met.like("a", "b"))
+    pairs.append(star.select(F.least("a.c", "b.c").alias("c1"), F.greatest("a.c", "b.c").alias("c2")))
+    tested = pairs[0]
+    for more in pairs[1:]:
+        tested = tested.union(more)
+    tested = scratch.keep(tested.distinct())
+    del pairs, star
     scratch.free()
-    open_ = many.join(settled, ["id", "pos"], "left_anti")
-    rest = open_.alias("a").join(many.alias("b"), "w").where(later & alike("a", "b")).select(*pair).distinct().join(tested, ["id", "pos", "id2", "pos2"], "left_anti")
-    rest = scratch.keep(rest)
-    if not rest.isEmpty():
-        settled = scratch.keep(settled.union(_verified(scratch.keep(_sets(df, rest, key, text)), rest, num, den)).distinct())
-    marked = reps.select("c", F.struct("id", "pos").alias("first")).join(settled.select(F.struct("id", "pos").alias("first"), F.lit(True).alias("all_of")), "first", "left")
-    out = lines.select("id", "pos", "c").join(marked, "c").where(F.coalesce("all_of", F.lit(False)) | (F.struct("id", "pos") > F.col("first"))).select("id", "pos")
-    out = scratch.keep(out)
-    scratch.drop(sketch, lines, reps, hot, many, tested, sets, others, settled, rest)
+    sets = _Sets(df, reps, num, den, scratch)
+    settled = sets.later(tested)
+    left = hot.join(settled, "c", "left_anti").alias("a").join(hot.alias("b"), "key").where((F.col("a.first") > F.col("b.first")) & met.like("a", "b"))
+    left = left.select(F.least("a.c", "b.c").alias("c1"), F.greatest("a.c", "b.c").alias("c2")).distinct().join(tested, ["c1", "c2"], "left_anti")
+    left = scratch.keep(left)
+    if not left.isEmpty():
+        settled = scratch.keep(settled.union(sets.later(left)).distinct())
+    # classes of one line that nothing earlier is like don't matter
+    marked = reps.select("c", "first", "many").join(settled.withColumn("all_of", F.lit(True)), "c", "left").where("all_of or many > 1").drop("many")
+    out = wide.select("id", "doc", "pos", "c").join(marked, "c").where(F.coalesce("all_of", F.lit(False)) | (F.struct("id", "doc", "pos") > F.col("first"))).select("id", "doc", "pos")
+    out = scratch.keep(out.distinct())
+    scratch.drop(wide, reps, hot, tested, settled, left)
     scratch.free()
     return out
 
 
-def _sets(df: DataFrame, pairs: DataFrame, key: str, text: str) -> DataFrame:
-    """id, pos, s: the sets of the lines in these pairs; the words come from the texts again."""
-    places = pairs.select("id", "pos").union(pairs.select("id2", "pos2")).distinct()
-    ids = places.select("id").distinct()
-    # beyond BROADCAST_IDS ids the texts are joined by a shuffle
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = df.select(F.col(key).alias("id"), F.col(text).alias("text")).join(ids, "id", "left_semi")
-    return _lines(texts, "id", "text").join(places, ["id", "pos"]).select("id", "pos", F.array_distinct(_hashes(F.col("line"))).alias("s")).dropDuplicates(["id", "pos"])
-
-
-def _verified(sets: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """id, pos of the lines that are similar to the earlier one of a pair of theirs."""
-    pairs = pairs.select("id", "pos", "id2", "pos2")
-    both = pairs.join(sets, ["id", "pos"]).join(sets.select(F.col("id").alias("id2"), F.col("pos").alias("pos2"), F.col("s").alias("s2")), ["id2", "pos2"])
-    alike = both.where((num + den) * F.size(F.array_intersect("s", "s2")).cast("long") >= _needed(F.size("s"), F.size("s2"), num, den))
-    return alike.select("id", "pos").distinct()
-
-
-def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """df with the removed lines cut out of the text, and n_lines, n_removed, removed_share (of the text's words)."""
+class _Sets:
+    """The exact comparison of pairs of classes; words come from the texts again."""
+
+    def __init__(self, df: DataFrame, reps: DataFrame, num: int, den: int, scratch: Scratch):
+        self.df, self.num, self.den, self.scratch = df, num, den, scratch
+        self.reps = reps.select("c", "first", "bits")
+
+    def later(self, pairs: DataFrame) -> DataFrame:
+        """c of the classes that are similar to the earlier one of a pair of theirs."""
+        wanted = self.scratch.keep(pairs.select(F.explode(F.array("c1", "c2")).alias("c")).distinct().join(self.reps, "c"))
+        one, two = (wanted.select(F.col("c").alias(f"c{i}"), F.struct("first", "c", "bits").alias(f"x{i}")) for i in (1, 2))
+        later, earlier = F.greatest("x1", "x2").alias("x"), F.least("x1", "x2").alias("y")
+        turned = pairs.join(one, "c1").join(two, "c2").select(later, earlier).select(F.col("x.c").alias("c"), F.col("y.c").alias("c_"), F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits"))).alias("differ"))
+        turned = self.scratch.keep(turned)
+        sets = self.scratch.keep(self._sets(wanted))
+        # one similar earlier class is enough: first the likeliest of each, then all the others of those still unsettled
+        likeliest = turned.groupBy("c").agg(F.min(F.struct("differ", "c_")).alias("x")).select("c", "x.c_")
+        settled = self.scratch.keep(self._similar(sets, likeliest))
+        others = turned.join(settled, "c", "left_anti").select("c", "c_").join(likeliest, ["c", "c_"], "left_anti")
+        out = self.scratch.keep(settled.union(self._similar(sets, others)))
+        self.scratch.drop(wanted, turned, sets, settled)
+        return out
+
+    def _sets(self, wanted: DataFrame) -> DataFrame:
+        docs = self.scratch.keep(wanted.groupBy("first.id", "first.doc").agg(F.collect_list(F.struct("first.pos", "c")).alias("at")))
+        texts = self.df.alias("t").join(_sized(docs, BROADCAST_DOCS).alias("d"), F.col("t.id").eqNullSafe(F.col("d.id")) & (F.col("t.doc") == F.col("d.doc")))
+        lines = texts.select("at", F.split("text", "\n").alias("lines")).select("lines", F.explode("at").alias("x"))
+        sets = lines.select("x.c", _set(F.get("lines", F.col("x.pos"))).alias("s"))
+        return sets.groupBy("c").agg(F.first("s").alias("s"))  # rows may be repeated
+
+    def _similar(self, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets, "c").join(sets.select(F.col("c").alias("c_"), F.col("s").alias("s_")), "c_")
+        return both.where((self.num + self.den) * F.size(F.array_intersect("s", "s_")).cast("long") >= self.num * (F.size("s") + F.size("s_")).cast("long")).select("c").distinct()
+
+
+def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", scratch: Scratch | None = None, **options) -> DataFrame:
+    """df with the removed lines cut out of the text, and n_lines, n_removed, removed_share (of the text's characters)."""
+    scratch = scratch or Scratch(df.sparkSession)
     names = [c for c in df.columns if c not in OUT]
-    gone = removed_lines(df, key, text, **options).groupBy("id").agg(F.sort_array(F.collect_set("pos")).alias("_gone"))
-    joined = df.select(*(F.col(f"`{c}`") for c in names)).join(gone, df[key] == gone["id"], "left")
-    lines = F.split(F.col(text), "\n")
-    keep = lambda x, i: ~F.coalesce(F.array_contains("_gone", i), F.lit(False))
-    kept = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(F.filter(lines, keep), "\n"))
-    words = lambda c: F.size(_words(F.regexp_replace(c, "\n", " ")))
-    share = F.when(F.col("_gone").isNull(), F.lit(0.0)).otherwise(1 - words(kept) / F.greatest(words(F.col(text)), F.lit(1)))
-    counted = joined.withColumns({"_kept": kept, "n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long"), "n_removed": F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long"), "removed_share": share})
-    return counted.select(*(F.col("_kept").alias(c) if c == text else F.col(f"`{c}`") for c in names), *OUT)
+    # the row as one column, so no name can clash
+    rows = df.select(F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names))).alias("row"), F.col(f"`{key}`").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("doc"), F.col(f"`{text}`").alias("text"))
+    lost = removed_lines(rows.select("id", "doc", "text"), scratch=scratch, **options)
+    gone = lost.groupBy("id", "doc").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
+    gone = F.broadcast(gone) if lost.count() <= BROADCAST_LINES else gone
+    joined = rows.alias("r").join(gone.alias("g"), F.col("r.id").eqNullSafe(F.col("g.id")) & (F.col("r.doc") == F.col("g.doc")), "left").select("row", "text", "gone")
+    lines = F.split("text", "\n")
+    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n"))
+    joined = joined.withColumn("kept", kept)
+    share = F.when(F.col("gone").isNull(), F.lit(0.0)).otherwise(1 - F.length("kept") / F.greatest(F.length("text"), F.lit(1)))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
+    counts = (n_lines.cast("long"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long"), share)
+    return joined.select(*((F.col("kept") if c == text else F.col("row")[f"c{i}"]).alias(c) for i, c in enumerate(names)), *(x.alias(c) for x, c in zip(counts, OUT, strict=True)))

@@ -123,6 +123,37 @@ def test_line_dedup_of_short_lines(spark):
         assert {r.doc_id: r.text for r in got} == want
 
 
+def test_line_dedup_beyond_direct_meetings(spark, monkeypatch):
+    """Crowded words go to keys of more words; ids are null or repeated, and columns have the names used inside."""
+    rng = np.random.default_rng(4)
+    lines = []
+    for i in range(160):
+        words = [f"k{j}" for j in range(20)] if i < 90 else ["k0", "k1", *(f"m{rng.integers(40)}" for _ in range(rng.integers(4, 14)))]
+        for at in rng.integers(0, len(words), i % 5):
+            words[at] = f"z{rng.integers(30)}"
+        lines.append(" ".join(words))
+    rows = [(None if i % 11 == 0 else i // 2, "\n".join(lines[i * 4 : i * 4 + 4] + ["only here %d %d" % (i, j) for j in range(i % 3)])) for i in range(40)]
+    rows += [(rows[8][0], rows[8][1]), (3, "a text of its own"), (3, "another text of id three"), (90, None), (91, "")]
+    df = spark.createDataFrame([(i, t, 7, "x", "y", 2.5) for i, t in rows], "doc_id long, text string, id long, _gone string, _kept string, n_lines double").repartition(3)
+    docs = df.select("doc_id", F.xxhash64("text").alias("h"), "text").distinct().collect()
+    seen, want = [], {}
+    for r in sorted((r for r in docs if r.text is not None), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.h)):
+        kept = []
+        for line in r.text.split("\n"):
+            w = set(line.split())
+            kept += [] if w and any(5 * len(w & s) >= 4 * len(w | s) for s in seen) else [line]
+            seen += [w] if w else []
+        want[r.doc_id, r.text] = "\n".join(kept)
+    want = Counter(want.get(r, r[1]) for r in rows)
+    for direct in (2, 6, 1000):
+        monkeypatch.setattr(line_dedup, "DIRECT", direct)
+        got = line_dedup.dedup(df)
+        assert got.columns == ["doc_id", "text", "id", "_gone", "_kept", *line_dedup.OUT]
+        got = got.collect()
+        assert Counter(r.text for r in got) == want and {(r.id, r._gone, r._kept) for r in got} == {(7, "x", "y")}
+        assert all(r.n_lines == (0 if r.text is None else r.n_removed + r.text.count("\n") + (r.text != "" or r.n_removed == 0)) for r in got)
+
+
 def test_pipeline_keeps_what_only_one_document_has(spark):
     line = "this line is in all of the documents"
     rows = [(1, line), (2, "\n".join([line] * 20 + ["some own words at the end"])), (3, f"{line}\n\t\n{line}"), (4, "")]
