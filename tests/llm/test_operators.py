@@ -200,7 +200,11 @@ def test_pairs_by_the_sum_of_squares():
     assert np.allclose(quality_fm._margins(model, rows, cols, x, 2)[0], want)
 
 
-def test_ann(spark):
+@pytest.mark.parametrize("sizes", [{}, {"COARSE": 6, "SHELF": 50, "CHUNK": 7, "TOGETHER": 3}])
+def test_ann(spark, monkeypatch, sizes):
+    """22 lists, 20 neighbours for each query; also with two levels of centres, and shelves smaller than a list."""
+    for name, value in sizes.items():
+        monkeypatch.setattr(ann, name, value)
     rng = np.random.default_rng(2)
     vectors = [rng.normal(size=8).tolist() for _ in range(400)]
     rows = [(i, v) for i, v in enumerate(vectors)] + [(1000 + i, vectors[5]) for i in range(60)] + [(2000, None), (2020, [0.0] * 8), (2040, [float("nan")] * 8), (2060, [None] * 8), (2080, [1.0]), (0, vectors[0])]
@@ -216,6 +220,10 @@ def test_ann(spark):
         assert [r for r, *_ in mine] == list(range(1, 21))
         hit, total = hit + len({i for _, i, _ in mine} & set(best)), total + 20
     assert not got and hit / total >= 0.9
+    index = ann.fit(x, float((x**2).sum(1).max()), len(x), 20)
+    assert index.lists >= 20 and len(index.fine) == (4 if sizes else 1)
+    few = ann.search(spark.createDataFrame([(i, [float(i + 1), 1.0]) for i in range(5)], "vec_id long, embedding array<double>"), F.col("id") % 2 == 0).collect()
+    assert Counter(r.query_id for r in few) == {0: 4, 2: 4, 4: 4} and [r.vec_id for r in sorted(few, key=lambda r: r["rank"]) if r.query_id == 0] == [4, 3, 2, 1]
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.lit(True)).count() == 0
 
 
@@ -370,6 +378,18 @@ def test_packing_delivers_the_tokens(docs):
     assert Counter(packing.digests(wrong).collect()) == Counter(packed.drop("ids").collect())
 
 
+def test_scan_drops_only_the_far():
+    rng = np.random.default_rng(8)
+    table, queries = rng.normal(size=(700, 33)), rng.normal(size=(9, 33))
+    far = ((queries[:, None] - table) ** 2).sum(2)
+    for share in (0.01, 0.5, 1.0):
+        bound = np.quantile(far, share, axis=1)
+        i, j = ann.scan(queries, table, bound)
+        assert (far[i, j] <= bound[i] * (1 + 1e-8)).all() and len(set(zip(i.tolist(), j.tolist()))) == len(i)
+        assert len(i) >= 0.9 * (far <= bound[:, None]).sum()
+    assert len(ann.scan(queries, table, np.full(9, np.inf))[0]) == far.size
+
+
 @given(st.dictionaries(st.integers(1, 50), st.integers(1, 40), max_size=20))
 @settings(max_examples=100, deadline=None)
 def test_plan_is_best_fit_decreasing(counts):
