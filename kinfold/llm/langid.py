@@ -5,7 +5,8 @@ by its place; a text is the bundle (sum) of its trigrams; a language is the bund
 be in it. A text gets the language whose prototype has the largest cosine with it.
 
 Cases: a null text, or one without a letter, is `und` with score 0. Ties go to the language that sorts first. Repeated
-rows and ids give repeated rows. An empty table gives an empty one. Without any language learned all is `und`. Only the
+rows and ids give repeated rows; of an id's texts in one language the least is learned from. Very long texts are bundled
+whole, on their own. An empty table gives an empty one. Without any language learned all is `und`. Only the
 named id, text and language columns are read; columns of other names may be there.
 """
 
@@ -18,17 +19,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DIM, LETTERS, SEED = 1024, 64, 20
+DIM, LETTERS, SEED = 1024, 1024, 20
 #: Texts of one language that a prototype is made of, at most: the fit is on a bounded sample.
 FIT_TEXTS = 400
+#: Parts of a language in which the lowest hashes are looked for before they meet.
+SALTS = 32
 #: Texts that are bundled together, and their code points at most.
 GROUP, GROUP_CHARS = 64, 400_000
 
 
 @lru_cache(maxsize=1)
 def _classes() -> np.ndarray:
-    """For each code point 0 if it's no letter, else 1 to 63: a to z have their own, the others share the rest."""
-    table = np.zeros(0x110000, np.uint8)
+    """For each code point 0 if it's no letter, else a number below LETTERS: a to z have their own, all others share the
+    rest, so that those of one script mostly have their own too."""
+    table = np.zeros(0x110000, np.uint16)
     for point in range(0x32400):
         c = chr(point)
         if c.isalpha():
@@ -49,7 +53,7 @@ def _trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     # a blank before each text and one after the last
     at = np.arange(len(points)) + np.repeat(np.arange(1, len(texts) + 1), sizes)
-    kinds = np.zeros(len(points) + len(texts) + 1, np.uint8)
+    kinds = np.zeros(len(points) + len(texts) + 1, np.uint16)
     kinds[at] = _classes()[points]
     owner = np.zeros(len(kinds), np.int32)
     owner[at] = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
@@ -58,7 +62,7 @@ def _trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     keep[0] = True
     kinds, owner = kinds[keep].astype(np.int64), owner[keep]
     middle = np.flatnonzero(kinds[1:-1]) + 1
-    return kinds[middle - 1] << 12 | kinds[middle] << 6 | kinds[middle + 1], owner[middle]
+    return kinds[middle - 1] << 20 | kinds[middle] << 10 | kinds[middle + 1], owner[middle]
 
 
 def bundle(texts: list[str]) -> np.ndarray:
@@ -66,14 +70,14 @@ def bundle(texts: list[str]) -> np.ndarray:
     out = np.zeros((len(texts), DIM), np.float32)
     codes, owner = _trigrams(texts)
     if len(codes):
-        pairs, counts = np.unique(owner.astype(np.int64) << 18 | codes, return_counts=True)
-        kinds, column = np.unique(pairs & 0x3FFFF, return_inverse=True)
+        pairs, counts = np.unique(owner.astype(np.int64) << 30 | codes, return_counts=True)
+        kinds, column = np.unique(pairs & 0x3FFFFFFF, return_inverse=True)
         a, b, c = _letters()
         table = np.zeros((len(texts), len(kinds)), np.float32)
-        table[pairs >> 18, column] = counts
+        table[pairs >> 30, column] = counts
         for i in range(0, len(kinds), 4096):
             k = kinds[i : i + 4096]
-            out += table[:, i : i + 4096] @ (a[k >> 12] * b[k >> 6 & 63] * c[k & 63])
+            out += table[:, i : i + 4096] @ (a[k >> 20] * b[k >> 10 & 1023] * c[k & 1023])
     return out
 
 
@@ -94,12 +98,13 @@ def fit(df: DataFrame, learn: Column, text: str = "text", lang: str = "lang", ke
     """Prototypes of the languages of at most per_lang texts each, those whose key hashes lowest. To the driver comes a
     vector for each language and task, never a text."""
     known = df.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    by = Window.partitionBy("_lang").orderBy("_at", "_id")
+    lowest = lambda df, *by: df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("_at", "_id"))).where(F.col("_n") <= per_lang)
     chosen = known.select(F.col(lang).cast("string").alias("_lang"), F.xxhash64(F.col(key)).alias("_at"), F.col(key).alias("_id")).distinct()
-    chosen = chosen.withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= per_lang).select("_lang", "_id").distinct()
+    # of a language no more than SALTS * per_lang rows meet, however many there are
+    chosen = lowest(lowest(chosen, "_lang", F.pmod("_at", F.lit(SALTS))), "_lang").select("_lang", "_id")
     texts = known.select(F.col(lang).cast("string").alias("_lang"), F.col(key).alias("_id"), F.col(text).alias("_text"))
     # per_lang ids for each language: bounded, so they're broadcast
-    texts = texts.join(F.broadcast(chosen), ["_lang", "_id"]).select("_lang", "_text")
+    texts = texts.join(F.broadcast(chosen), ["_lang", "_id"]).groupBy("_lang", "_id").agg(F.min("_text").alias("_text")).select("_lang", "_text")
 
     def add(batches):
         sums: dict[str, np.ndarray] = {}

@@ -26,11 +26,11 @@ from .pretokens import Known, groups, in_letters, split
 
 SIZE, END_ID = 2048, 0
 #: Distinct pre-tokens whose ids a Python worker remembers, at about 30 bytes; beyond that it forgets and starts anew.
-REMEMBER = 2_000_000
+REMEMBER = 1_000_000
 #: Tokens that a Python worker hands over at once.
 WAITING = 1 << 18
-#: Salts that spread the pieces of one length over tasks for ranking.
-SALTS = 64
+#: Pieces of one length that a task ranks, on average; more are spread by salts.
+RANKED = 50_000
 
 
 class Encoder:
@@ -146,9 +146,9 @@ def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[int, int, int,
     return out
 
 
-def ranked(df: DataFrame, by: str, order: list[str], rank: str) -> DataFrame:
+def ranked(df: DataFrame, by: str, order: list[str], rank: str, salts: int) -> DataFrame:
     """Rank from 0 within `by`, without all rows of a value in one task: ranks within salts, and the salts' totals."""
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(SALTS)).cast("int"))
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
     counts = salted.groupBy(by, "_salt").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(by).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(by, "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
@@ -161,13 +161,14 @@ def pack(parts: DataFrame, key: str = "doc_id", size: int = SIZE, scratch: Scrat
     spark = parts.sparkSession
     parts = (scratch or Scratch(spark)).keep(parts.withColumn("_place", F.monotonically_increasing_id()))
     counts = {r.length: r.n for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `size` rows
+    salts = -(-max(counts.values(), default=1) // RANKED)
     step = 100_000  # ranks of a plan row that one task lays out
     rows = [(a, b + i, min(step, n - i), s + i, o) for a, b, n, s, o in plan(counts, size) for i in range(0, n, step)]
     slots = spark.createDataFrame(rows, "length long, first long, n long, sequence long, offset long").repartition(max(1, min(len(rows), spark.sparkContext.defaultParallelism)))
     slots = slots.select("length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("_i"), "first", "sequence", "offset")
     slots = slots.select("length", (F.col("first") + F.col("_i")).alias("_rank"), (F.col("sequence") + F.col("_i")).alias("sequence_id"), "offset")
     order = [key, "piece", "start", "ids_crc32"]
-    placed = ranked(parts.select("length", *order, "_place"), "length", order, "_rank").join(slots, ["length", "_rank"])
+    placed = ranked(parts.select("length", *order, "_place"), "length", order, "_rank", salts).join(slots, ["length", "_rank"])
     # the places are hashed, so the tokens need no sort
     return parts.join(placed.select("_place", "sequence_id", "offset").hint("shuffle_hash"), "_place").drop("_place")
 

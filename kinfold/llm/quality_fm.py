@@ -6,8 +6,9 @@ in a text) and, one-hot by quantile bins, statistics of the text's structure and
 
 Cases: a null or empty text has no words and zero statistics and gets a score as any other. Null metadata counts as 0.
 Labels other than 0 and 1, and null ones, teach nothing; of contradicting labels of one id the majority counts, and a tie
-teaches nothing. Without usable labels the score is 0.5; with those of one kind only it is near 1 or near 0. Repeated rows
-give repeated results, an empty table none. Other columns aren't read.
+teaches nothing. Without usable labels the score is 0.5; with those of one kind only it is near 1 or near 0. Of several
+rows of one id the one with the least text teaches. Repeated rows give repeated results, an empty table none. Very long
+texts are scored whole. A column with the name of the score is replaced; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -165,7 +166,9 @@ def fit(df: DataFrame, labels: DataFrame, learn: Column, text: str = "text", key
     usable = usable.where("_share <> 0.5").select("_id", (F.col("_share") > 0.5).cast("int").alias("_label"))
     chosen = usable.orderBy(F.xxhash64("_id"), "_id").limit(fit_rows)
     # fit_rows rows of two numbers: bounded, so they're broadcast
-    source = _source(df.withColumn("_key", F.col(key)), text, meta, ["_key"]).withColumnRenamed("_0", "_id").join(F.broadcast(chosen), "_id").select("_id", "_label", "_text", "_meta")
+    source = _source(df.withColumn("_key", F.col(key)), text, meta, ["_key"]).withColumnRenamed("_0", "_id").join(F.broadcast(chosen), "_id")
+    # an id may have many rows: one of them, chosen within tasks first
+    source = source.groupBy("_id", "_label").agg(F.min(F.struct("_text", "_meta")).alias("x")).select("_id", "_label", "x._text", "x._meta")
 
     def extract(batches):
         for batch in batches:
@@ -177,9 +180,7 @@ def fit(df: DataFrame, labels: DataFrame, learn: Column, text: str = "text", key
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1), pa.array([x[0].astype(np.int32) for x in out], pa.list_(pa.int32())), pa.array([x[1] for x in out], pa.list_(pa.float64())), pa.array([x[2] for x in out], pa.list_(pa.float64()))], names=["id", "label", "bucket", "weight", "stats"])
 
     rows = source.mapInArrow(extract, "id string, label int, bucket array<int>, weight array<double>, stats array<double>").toArrow()
-    ids = rows.column("id").to_numpy(zero_copy_only=False).astype(str)
-    order = np.lexsort((np.array([len(x) for x in rows.column("bucket")]), ids)) if len(ids) else np.zeros(0, int)
-    order = order[: 2 * fit_rows]  # an id may have many rows
+    order = np.argsort(rows.column("id").to_numpy(zero_copy_only=False).astype(str), kind="stable")
     lists = [rows.column(c).combine_chunks() for c in ("bucket", "weight", "stats")]
     parts = [(lists[0][int(i)].values.to_numpy().astype(np.int64), lists[1][int(i)].values.to_numpy()) for i in order]
     stats = np.array([lists[2][int(i)].values.to_numpy() for i in order]).reshape(-1, len(STATS) + len(meta))
@@ -188,7 +189,7 @@ def fit(df: DataFrame, labels: DataFrame, learn: Column, text: str = "text", key
 
 def score(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, meta: tuple[str, ...] = ("n_chars",), out: str = "score") -> DataFrame:
     """The columns in keep (all but the text, by default) and the probability of label 1. One narrow stage, no shuffle."""
-    rest = [c for c in df.columns if c != text] if keep is None else keep
+    rest = [c for c in (df.columns if keep is None else keep) if c != out and (c != text or keep is not None)]
     spark = df.sparkSession
     # of fixed size, whatever the input: (BUCKETS + bins) * (RANK + 1) numbers
     shared = spark.sparkContext.broadcast(Model(model.edges, model.bias, model.weight.astype(np.float32), model.factors.astype(np.float32)))

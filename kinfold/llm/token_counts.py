@@ -6,7 +6,7 @@ bounded number of distinct pre-tokens.
 
 Cases: null and empty texts have 0 tokens. Texts that hold an added token's string, or characters outside the scripts for
 which splitting was checked, are given to the tokenizer whole. Very long texts are worked on whole. Repeated rows give
-repeated results, an empty table none.
+repeated results, an empty table none. Columns with the names in OUT are replaced.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Distinct pre-tokens that a Python worker remembers beside the whole tokens, at about 20 bytes; beyond that it forgets
 #: and starts anew.
 REMEMBER = 3_000_000
+OUT = ("n_bytes", "n_tokens", "over_limit")
 
 
 def whole_tokens(path: str) -> set[str]:
@@ -92,7 +93,7 @@ def counter(path: str) -> Counter:
 
 def counts(df: DataFrame, path: str, text: str = "text", limit: int = 2048, keep: list[str] | None = None) -> DataFrame:
     """The columns in keep (all but the text, by default), n_bytes, n_tokens, over_limit. One narrow stage, no shuffle."""
-    rest = [c for c in df.columns if c != text] if keep is None else keep
+    rest = [c for c in (df.columns if keep is None else keep) if c not in OUT and (c != text or keep is not None)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,4 +103,4 @@ def counts(df: DataFrame, path: str, text: str = "text", limit: int = 2048, keep
 
     source = df.select(*(F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(rest)), F.col(text).alias("_text"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("_bytes"))
     schema = ", ".join([*(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(source.schema.fields[:-2])), f"c{len(rest)} long, c{len(rest) + 1} long, c{len(rest) + 2} boolean"])
-    return source.mapInArrow(run, schema).toDF(*rest, "n_bytes", "n_tokens", "over_limit")
+    return source.mapInArrow(run, schema).toDF(*rest, *OUT)

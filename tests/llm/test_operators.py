@@ -169,6 +169,11 @@ def test_language_id(docs, none):
         blank = not any(map(str.isalpha, r.text or ""))
         assert (r.lang_pred == "und") == blank and 0 <= r.score <= 1 and (r.score == 0 or not blank)
     assert langid.fit(none, F.lit(True)) == {}
+    many = docs.select("doc_id", "text", "lang").union(docs.sparkSession.createDataFrame([(1000 + i, f"нет да {i}" if i % 2 else f"όχι ναι {i}", "ru" if i % 2 else "el") for i in range(90)], "doc_id long, text string, lang string"))
+    learned = langid.fit(many.union(many), F.lit(True), per_lang=20)
+    assert sorted(learned) == ["el", "en", "ru"]
+    again = langid.predict(many, learned).where("doc_id >= 1000").collect()
+    assert len(again) == 90 and all(r.lang_pred == r.lang for r in again)
     assert {r.lang_pred for r in langid.predict(docs, {}).collect()} == {"und"}
     assert langid.predict(none, fitted).count() == 0
 
@@ -191,6 +196,32 @@ def test_quality(spark, docs, none):
     assert quality_fm.score(none, model, keep=["doc_id"]).count() == 0
 
 
+@pytest.fixture(scope="module")
+def held_out(spark, sf_dir):
+    return {"op1": queries.op1_quality_fm(spark, sf_dir).collect(), "op6": queries.op6_language_id(spark, sf_dir).collect()}
+
+
+def test_queries_predict_held_out_documents(spark, sf_dir, held_out):
+    source = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    lang, quality = {r.doc_id: r.lang for r in source}, {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect() if r.quality is not None}
+    for name, remainder, mod, truth, least in (("op1", 1, 3, quality, 0.9), ("op6", 0, 5, lang, 0.95)):
+        rows = held_out[name]
+        assert Counter(r.doc_id for r in rows) == Counter(r.doc_id for r in source)
+        assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % mod == remainder) and 0 <= r.score <= 1 for r in rows)
+        said = [((r.predicted if name == "op1" else r.lang_pred) == truth[r.doc_id]) for r in rows if r.held_out and truth.get(r.doc_id) is not None]
+        assert len(said) > 20 and sum(said) / len(said) >= least
+    assert all(r.predicted == (r.score >= 0.5) for r in held_out["op1"])
+    assert all((r.lang_pred == "und") == (not any(map(str.isalpha, t or ""))) for r in held_out["op6"] for t in [next(s.text for s in source if s.doc_id == r.doc_id)])
+
+
+def test_outputs_replace_columns_of_their_names(docs):
+    named = docs.withColumn("n_tokens", F.lit("x"))
+    assert token_counts.counts(named, WORD).columns == ["doc_id", "lang", "n_chars", "n", "score", *token_counts.OUT]
+    model = quality_fm.Model(np.zeros((15, 7)), 0.0, np.zeros(quality_fm.BUCKETS + 120), np.zeros((quality_fm.BUCKETS + 120, 8)))
+    out = quality_fm.score(docs, model)
+    assert out.columns == ["doc_id", "lang", "n_chars", "n", "score"] and {r.score for r in out.collect()} == {0.5}
+
+
 def test_pairs_by_the_sum_of_squares():
     rng = np.random.default_rng(1)
     model = quality_fm.Model(np.zeros((0, 7)), 0.3, rng.normal(size=9), rng.normal(size=(9, 4)))
