@@ -7,8 +7,8 @@ at its first place (id, text, line number).
 Classes meet at the words of their prefixes (n - ceil(t n) + 1 words of n), and a pair goes on if its lengths, its positions
 in the order and the parities of its hashes in 64 bits allow the overlap that is needed. Two similar sets share l words
 among their first n - ceil(t n) + l, so where more than DIRECT classes meet at a word they meet at pairs of words instead,
-with the next word that both have, and where that is still too many at three words. Only copies of one line are so alike:
-there each class is tested against the first one of like length, and those still unsettled against all earlier ones.
+with the next word that both have (LEVELS words at most). Where that is still too many, mostly at copies of one line, each
+class is tested against the first one of like length, and those still unsettled against all earlier ones.
 
 The pairs left are compared exactly. A line is removed if a line at an earlier place has Jaccard >= num / den with it,
 whether or not that one is removed itself. Sets so small that no other set is similar (of one to three words at 4 / 5)
@@ -34,7 +34,7 @@ from ..scratch import Scratch
 SKETCH, STEPS = 1 << 22, 3
 RARITY_SHIFT = 56
 #: Classes that meet at a key at most, else the key gets one more word, up to LEVELS.
-DIRECT, LEVELS = 256, 3
+DIRECT, LEVELS = 256, 2
 MIN_WORDS = 1
 #: Documents whose numbers are broadcast at most, and removed lines; beyond that they are joined by a shuffle.
 BROADCAST_DOCS, BROADCAST_LINES = 500_000, 1_000_000
@@ -91,7 +91,7 @@ def _sized(df: DataFrame, limit: int) -> DataFrame:
 
 
 class _Pairs:
-    """What two rows (key, c, nr, bits) of classes must fulfil; nr holds the length and the position in the order."""
+    """What two rows (key, c, nr, bits, id) of classes must fulfil; nr holds the length and the position in the order."""
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
@@ -109,17 +109,25 @@ class _Pairs:
         return bits & length & position
 
     def all_of(self, rows: DataFrame) -> DataFrame:
-        """c1 < c2 of all pairs within a key."""
-        rows = rows.select("key", "c", "nr", "bits")
+        """c, c_, differ and same of all pairs within a key: c is the later class; with `same` ids, which is not known."""
+        rows = rows.select("key", "c", "nr", "bits", "id")
         both = rows.alias("a").join(rows.alias("b"), "key").where((F.col("a.c") < F.col("b.c")) & self.like("a", "b"))
-        return both.select(F.col("a.c").alias("c1"), F.col("b.c").alias("c2"))
+        # null ids come first
+        x, y = F.col("a.id"), F.col("b.id")
+        turn = F.coalesce(x > y, x.isNotNull())
+        return self.pair(both, turn, x.eqNullSafe(y))
+
+    @staticmethod
+    def pair(both: DataFrame, turn: Column, same: Column) -> DataFrame:
+        later, earlier = F.when(turn, F.col("a.c")).otherwise(F.col("b.c")), F.when(turn, F.col("b.c")).otherwise(F.col("a.c"))
+        return both.select(later.alias("c"), earlier.alias("c_"), F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))).alias("differ"), same.alias("same"))
 
 
 def _longer(rows: DataFrame, level: int) -> DataFrame:
     """Keys of one more word: each that may be the next one shared. A tail begins after a key's last word."""
     reach = F.size("tail") - (LEVELS - level)  # the words that count on this level
     parts = F.transform(F.slice("tail", 1, F.greatest(F.lit(0), reach)), lambda w, i: F.struct(F.xxhash64("key", w).alias("key"), F.slice("tail", i + 2, F.size("tail")).alias("tail")))
-    return rows.select(F.explode(parts).alias("x"), "c", "nr", "bits").select("x.key", "c", "nr", "bits", "x.tail")
+    return rows.select(F.explode(parts).alias("x"), "c", "nr", "bits", "first").select("x.key", "c", "nr", "bits", "first", "x.tail")
 
 
 def removed_lines(df: DataFrame, num: int = 4, den: int = 5, min_words: int = MIN_WORDS, scratch: Scratch | None = None) -> DataFrame:
@@ -139,46 +147,55 @@ def removed_lines(df: DataFrame, num: int = 4, den: int = 5, min_words: int = MI
     scratch.free()
     # of each class its first place and the rest, which all have alike: one shuffle
     reps = scratch.keep(wide.groupBy("c").agg(F.min(F.struct("id", "doc", "pos")).alias("first"), F.count("*").alias("many"), *(F.first(x).alias(x) for x in ("n", "prefix", "bits"))))
+    lines = scratch.keep(wide.select("id", "doc", "pos", "c"))
+    scratch.drop(wide)
     scratch.free()
 
     # a set of n words can be similar to another one only if it is to one of n + 1 words that holds it
     paired = reps.where(F.col("n").cast("long") * den >= (F.col("n") + 1).cast("long") * num)
     # a word that the corpus has once brings no lines together
-    meet = paired.select("c", "n", "bits", "prefix", F.posexplode("prefix").alias("r", "key")).where((F.col("r") < _prefix(F.col("n"), num, den)) & (F.col("key") >= _beyond(1)))
+    meet = paired.select("c", "n", "bits", "first", "prefix", F.posexplode("prefix").alias("r", "key")).where((F.col("r") < _prefix(F.col("n"), num, den)) & (F.col("key") >= _beyond(1)))
     nr = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("r").cast("long")).alias("nr")
     # only words beyond DIRECT in the sketch can be in more lines than that
-    pairs = [met.all_of(meet.where(F.col("key") < _beyond(DIRECT)).select("key", "c", nr, "bits"))]
-    rows = meet.where(F.col("key") >= _beyond(DIRECT)).select("key", "c", nr, "bits", F.slice("prefix", F.col("r") + 2, F.size("prefix")).alias("tail"))
+    pairs = [met.all_of(meet.where(F.col("key") < _beyond(DIRECT)).select("key", "c", nr, "bits", "first.id"))]
+    rows = meet.where(F.col("key") >= _beyond(DIRECT)).select("key", "c", nr, "bits", "first", F.slice("prefix", F.col("r") + 2, F.size("prefix")).alias("tail"))
     for level in range(1, LEVELS + 1):
         rows = scratch.keep(_longer(rows, level) if level > 1 else rows)
         crowded = rows.groupBy("key").agg(F.count("*").alias("f")).where(F.col("f") > DIRECT).select("key", F.lit(True).alias("hot"))
         rows = scratch.keep(rows.join(crowded, "key", "left"))
-        pairs.append(met.all_of(rows.where("hot is null")))
+        pairs.append(met.all_of(rows.where("hot is null").withColumn("id", F.col("first.id"))))
         rows = rows.where("hot").drop("hot")
         if rows.isEmpty():
             break
-    hot = scratch.keep(rows.select("key", "c", "nr", "bits").join(reps.select("c", "first"), "c").withColumn("band", F.floor(F.log(F.shiftright("nr", 32).cast("double")) / F.lit(math.log(den / num)))))
+    hot = scratch.keep(rows.select("key", "c", "nr", "bits", "first", F.floor(F.log(F.shiftright("nr", 32).cast("double")) / F.lit(math.log(den / num))).alias("band")))
     hubs = hot.groupBy("key", "band").agg(F.min(F.struct("first", "c", "nr", "bits")).alias("hub")).select("key", "band", "hub.*")
-    star = hot.alias("a").join(hubs.alias("b"), ["key", "band"]).where((F.col("a.c") != F.col("b.c")) & met.like("a", "b"))
-    pairs.append(star.select(F.least("a.c", "b.c").alias("c1"), F.greatest("a.c", "b.c").alias("c2")))
-    tested = pairs[0]
+    earlier = (F.col("a.first") > F.col("b.first")) & met.like("a", "b")
+    star = met.pair(hot.alias("a").join(hubs.alias("b"), ["key", "band"]).where(earlier), F.lit(True), F.lit(False))
+    # of a class's hubs the likeliest
+    pairs.append(star.groupBy("c").agg(F.min(F.struct("differ", "c_")).alias("x")).select("c", "x.c_", "x.differ", F.lit(False).alias("same")))
+    found = pairs[0]
     for more in pairs[1:]:
-        tested = tested.union(more)
-    tested = scratch.keep(tested.distinct())
+        found = found.union(more)
+    found = scratch.keep(found.distinct())
     del pairs, star
+    # the prefixes aren't needed any more
+    reps, used = scratch.keep(reps.select("c", "first", "many")), reps
+    scratch.drop(used)
     scratch.free()
+    one, two = (reps.select(F.col("c").alias(c), F.struct("first", "c").alias(x)) for c, x in (("c", "x"), ("c_", "y")))
+    turned = found.where("same").join(one, "c").join(two, "c_").select(F.greatest("x", "y")["c"].alias("c"), F.least("x", "y")["c"].alias("c_"), "differ")
+    tested = scratch.keep(found.where("not same").select("c", "c_", "differ").union(turned))
     sets = _Sets(df, reps, num, den, scratch)
     settled = sets.later(tested)
-    left = hot.join(settled, "c", "left_anti").alias("a").join(hot.alias("b"), "key").where((F.col("a.first") > F.col("b.first")) & met.like("a", "b"))
-    left = left.select(F.least("a.c", "b.c").alias("c1"), F.greatest("a.c", "b.c").alias("c2")).distinct().join(tested, ["c1", "c2"], "left_anti")
-    left = scratch.keep(left)
+    left = met.pair(hot.join(settled, "c", "left_anti").alias("a").join(hot.alias("b"), "key").where(earlier), F.lit(True), F.lit(False)).select("c", "c_", "differ").distinct()
+    left = scratch.keep(left.join(tested, ["c", "c_"], "left_anti"))
     if not left.isEmpty():
         settled = scratch.keep(settled.union(sets.later(left)).distinct())
     # classes of one line that nothing earlier is like don't matter
     marked = reps.select("c", "first", "many").join(settled.withColumn("all_of", F.lit(True)), "c", "left").where("all_of or many > 1").drop("many")
-    out = wide.select("id", "doc", "pos", "c").join(marked, "c").where(F.coalesce("all_of", F.lit(False)) | (F.struct("id", "doc", "pos") > F.col("first"))).select("id", "doc", "pos")
+    out = lines.join(marked, "c").where(F.coalesce("all_of", F.lit(False)) | (F.struct("id", "doc", "pos") > F.col("first"))).select("id", "doc", "pos")
     out = scratch.keep(out.distinct())
-    scratch.drop(wide, reps, hot, tested, settled, left)
+    scratch.drop(lines, reps, hot, found, tested, settled, left)
     scratch.free()
     return out
 
@@ -188,22 +205,23 @@ class _Sets:
 
     def __init__(self, df: DataFrame, reps: DataFrame, num: int, den: int, scratch: Scratch):
         self.df, self.num, self.den, self.scratch = df, num, den, scratch
-        self.reps = reps.select("c", "first", "bits")
+        self.reps = reps.select("c", "first")
 
     def later(self, pairs: DataFrame) -> DataFrame:
-        """c of the classes that are similar to the earlier one of a pair of theirs."""
-        wanted = self.scratch.keep(pairs.select(F.explode(F.array("c1", "c2")).alias("c")).distinct().join(self.reps, "c"))
-        one, two = (wanted.select(F.col("c").alias(f"c{i}"), F.struct("first", "c", "bits").alias(f"x{i}")) for i in (1, 2))
-        later, earlier = F.greatest("x1", "x2").alias("x"), F.least("x1", "x2").alias("y")
-        turned = pairs.join(one, "c1").join(two, "c2").select(later, earlier).select(F.col("x.c").alias("c"), F.col("y.c").alias("c_"), F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits"))).alias("differ"))
-        turned = self.scratch.keep(turned)
+        """c of those that are similar to c_ in a pair (c, c_, differ) of theirs."""
+        wanted = self.scratch.keep(pairs.select(F.explode(F.array("c", "c_")).alias("c")).distinct().join(self.reps, "c"))
         sets = self.scratch.keep(self._sets(wanted))
+        self.scratch.free()
         # one similar earlier class is enough: first the likeliest of each, then all the others of those still unsettled
-        likeliest = turned.groupBy("c").agg(F.min(F.struct("differ", "c_")).alias("x")).select("c", "x.c_")
+        likeliest = pairs.groupBy("c").agg(F.min(F.struct("differ", "c_")).alias("x")).select("c", "x.c_")
         settled = self.scratch.keep(self._similar(sets, likeliest))
-        others = turned.join(settled, "c", "left_anti").select("c", "c_").join(likeliest, ["c", "c_"], "left_anti")
-        out = self.scratch.keep(settled.union(self._similar(sets, others)))
-        self.scratch.drop(wanted, turned, sets, settled)
+        self.scratch.free()
+        others = pairs.join(settled, "c", "left_anti").select("c", "c_").join(likeliest, ["c", "c_"], "left_anti")
+        others = self.scratch.keep(others)
+        needed = others.select(F.explode(F.array("c", "c_")).alias("c")).distinct()
+        out = self.scratch.keep(settled.union(self._similar(sets.join(needed, "c", "left_semi"), others)))
+        self.scratch.drop(wanted, sets, settled, others)
+        self.scratch.free()
         return out
 
     def _sets(self, wanted: DataFrame) -> DataFrame:
