@@ -43,10 +43,11 @@ class Scratch:
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, hashes: bool = False) -> DataFrame:
+        """hashes: mostly numbers without repeats, of which dictionaries would only cost time."""
         self.n += 1
         path = f"{self.root}/{self.n:03d}"
-        df.write.mode("overwrite").option("parquet.enable.dictionary", "false").parquet(path)  # mostly hashes and numbers
+        df.write.mode("overwrite").option("parquet.enable.dictionary", str(not hashes).lower()).parquet(path)
         if self.n == 1:
             root, fs = self._path(self.root)
             fs.deleteOnExit(root)
