@@ -142,11 +142,11 @@ def removed_lines(df: DataFrame, num: int = 4, den: int = 5, min_words: int = MI
     sets = sets.where(F.col("n") >= max(1, min_words)).withColumn("rarity", sketch.scalar()).select("id", "doc", "pos", "n", F.sort_array(ordered).alias("all"))
     sets = sets.select("id", "doc", "pos", "n", F.explode(F.array("all")).alias("s"))
     parity = F.expr("aggregate(s, 0L, (a, h) -> a ^ shiftleft(1L, cast(h & 63L as int)))")
-    wide = scratch.keep(sets.select("id", "doc", "pos", "n", F.xxhash64("s").alias("c"), F.slice("s", F.lit(1), _prefix(F.col("n"), num, den) + (LEVELS - 1)).alias("prefix"), parity.alias("bits")))
+    wide = scratch.keep(sets.select("id", "doc", "pos", "n", F.xxhash64("s").alias("c"), F.slice("s", F.lit(1), _prefix(F.col("n"), num, den) + (LEVELS - 1)).alias("prefix"), parity.alias("bits")), hashes=True)
     scratch.drop(sketch)
     scratch.free()
     # of each class its first place and the rest, which all have alike: one shuffle
-    reps = scratch.keep(wide.groupBy("c").agg(F.min(F.struct("id", "doc", "pos")).alias("first"), F.count("*").alias("many"), *(F.first(x).alias(x) for x in ("n", "prefix", "bits"))))
+    reps = scratch.keep(wide.groupBy("c").agg(F.min(F.struct("id", "doc", "pos")).alias("first"), F.count("*").alias("many"), *(F.first(x).alias(x) for x in ("n", "prefix", "bits"))), hashes=True)
     lines = scratch.keep(wide.select("id", "doc", "pos", "c"))
     scratch.drop(wide)
     scratch.free()
@@ -210,7 +210,7 @@ class _Sets:
     def later(self, pairs: DataFrame) -> DataFrame:
         """c of those that are similar to c_ in a pair (c, c_, differ) of theirs."""
         wanted = self.scratch.keep(pairs.select(F.explode(F.array("c", "c_")).alias("c")).distinct().join(self.reps, "c"))
-        sets = self.scratch.keep(self._sets(wanted))
+        sets = self.scratch.keep(self._sets(wanted), hashes=True)
         self.scratch.free()
         # one similar earlier class is enough: first the likeliest of each, then all the others of those still unsettled
         likeliest = pairs.groupBy("c").agg(F.min(F.struct("differ", "c_")).alias("x")).select("c", "x.c_")

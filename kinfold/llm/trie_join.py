@@ -202,7 +202,7 @@ def similar_matrix(left: list[np.ndarray], right: list[np.ndarray], num: int, de
 def _degrees(labels: DataFrame, sets: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
     """c, n_links of all classes with links: how many other classes each is similar to."""
     many = labels.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("m"))
-    members = scratch.keep(labels.join(many, "label").join(sets, "c"))
+    members = scratch.keep(labels.join(many, "label").join(sets, "c"), hashes=True)
     small = max(1, -(-members.where("m = 1").count() // BLOCK))
     alone = F.col("m") == 1
     chunk = F.when(alone, F.lit(0)).otherwise(F.pmod(F.xxhash64("c"), F.col("m")).cast("int"))
@@ -245,11 +245,12 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5,
     scratch = scratch or Scratch(docs.sparkSession)
     # the sample holds the whole prefix of all but short sets, with room to put the frequent last
     sample = min(65536, int(65536 * 2.2 * (1 - num / den)))
-    sets = scratch.keep(_sets(docs, key, text, k, num, den, sample))
-    rows = sets.select("id", "n", "c")
+    sets = scratch.keep(_sets(docs, key, text, k, num, den, sample), hashes=True)
+    rows = scratch.keep(sets.select("id", "n", "c"))
     classes = scratch.keep(rows.where("n > 0").groupBy("c").agg(F.min("id").alias("id")))
     # one row of each class; classes with ids null only have no representative and no links
-    reps = scratch.keep(sets.where("n > 0").join(classes.select("c", F.col("id").alias("least")), "c").where(F.col("id").eqNullSafe(F.col("least"))).drop("least"))
+    reps = scratch.keep(sets.where("n > 0").join(classes.select("c", F.col("id").alias("least")), "c").where(F.col("id").eqNullSafe(F.col("least"))).drop("least"), hashes=True)
+    scratch.drop(sets)
     scratch.free()
 
     prefix = (F.col("n") - F.expr(f"(n * {num}L + {den - 1}L) div {den}L") + 1).cast("int")
@@ -263,25 +264,28 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5,
     first = F.transform(F.slice(F.coalesce("shared", F.array().cast("array<struct<f:bigint,h:bigint>>")), F.lit(1), F.greatest(F.lit(0), F.col("p") - F.col("alone"))), lambda x, i: F.struct(x["h"].alias("h"), (F.col("alone") + i).alias("r")))
     rest = F.transform("more", lambda x, i: F.struct(x.alias("h"), (F.col("u") + i).alias("r")))
     meet = placed.select("c", "n", F.explode(F.concat(first, rest)).alias("x")).select("x.h", "c", "n", "x.r")
-    meet = scratch.keep(meet)
+    meet = scratch.keep(meet, hashes=True)
+    scratch.drop(counts)
     scratch.free()
     several = meet.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("h")
-    meet = scratch.keep(meet.join(several, "h"))
+    meet, all_of = scratch.keep(meet.join(several, "h"), hashes=True), meet
+    scratch.drop(all_of)
     wanted = meet.select("c").distinct().join(classes, "c").select(F.col("id").alias(key))
     full = _sets(docs.join(wanted.distinct().hint("shuffle_hash"), key, "left_semi"), key, text, k, num, den, None)
-    full = scratch.keep(full.join(meet.select("c").distinct(), "c", "left_semi").dropDuplicates(["c"]).select("c", "items"))
+    full = scratch.keep(full.join(meet.select("c").distinct(), "c", "left_semi").dropDuplicates(["c"]).select("c", "items"), hashes=True)
     scratch.free()
 
     # at the first element that two sets share all of the overlap is still to come; pairs are met there or nowhere
     near = F.expr(f"{den}L * least(n, hub.n) >= {num}L * greatest(n, hub.n) and {num + den}L * least(n - r, hub.n - hub.r) >= {num}L * (n + hub.n)")
     parities = reps.select("c", "bits").dropDuplicates(["c"])
     tested = docs.sparkSession.createDataFrame([], "a long, b long")
-    labels = None
+    labels, spent = None, [reps, meet]
     width = np.log(den / num)
     for turn, shift in enumerate((0.0, 0.5, None, None, None, "all")):
         now = meet.withColumn("label", F.col("c")) if labels is None else meet.join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
         mixed = now.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("h")
         now = scratch.keep(now.join(mixed, "h"))
+        spent += [now]
         if now.isEmpty():
             break
         if shift == "all":
@@ -299,14 +303,17 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5,
             pairs = one.join(hub, ["h", "band"]).select("hub", "x.*").where((F.col("c") != F.col("hub.c")) & near)
             pairs = pairs.select(F.col("hub.c").alias("a"), F.col("c").alias("b"))
         pairs = scratch.keep(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
+        spent += [pairs]
         if pairs.isEmpty():
             continue
         fresh = scratch.keep(_verified(pairs, full, num, den))
         scratch.free()
         tested = tested.unionByName(pairs)
         if not fresh.isEmpty():
-            labels = scratch.keep(_merged(fresh, labels, scratch))
+            labels, before = scratch.keep(_merged(fresh, labels, scratch)), labels
+            spent += [fresh, before]
             scratch.free()
+    scratch.drop(*spent)
     if labels is None:
         return rows.select(F.col("id").alias(key), F.col("n").cast("long").alias("n_shingles"), "c").join(classes.withColumnRenamed("id", "least"), "c", "left").select(key, "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col(key)).alias("component_id"), *([F.lit(0).cast("long").alias("n_links")] if count_links else []))
     named = classes.join(labels, "c", "left").select("c", "id", F.coalesce("label", "c").alias("label"))
@@ -314,5 +321,6 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5,
     named = named.join(least, "label").select("c", "component_id")
     if count_links:
         named = named.join(_degrees(labels, full, num, den, scratch), "c", "left")
+    scratch.drop(full)
     out = rows.join(named, "c", "left")
     return out.select(F.col("id").alias(key), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), *([F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if count_links else []))
