@@ -9,35 +9,44 @@ from pyspark.sql import functions as F
 from kinfold.llm import decontaminate, langid, line_dedup, packing, trie_join
 from kinfold.scratch import Scratch
 
+#: Contaminated texts that are broadcast at most, by hashes; more are joined by a shuffle.
+BROADCAST_HASHES = 1_000_000
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no language can be told (null, or without a letter) go."""
+    """Documents in which no language can be told (null, or without a letter) go. Repeated rows stay, or go, together."""
     learn = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 != 0
     found = langid.predict(docs, langid.fit(docs, learn), out=("_lang_pred", "_score"))
     return found.where("_lang_pred <> 'und'").select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines are cut out; documents of which no word is left go."""
+    """Repeated lines are cut out; documents of which no word is left go. Texts without repeated lines stay as they are, null
+    and empty ones too; a null n_chars is filled in."""
     cut = line_dedup.dedup(docs).where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^ \t-\r]"))
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles with Jaccard 0.8 or more the one with the smallest id stays."""
+    """Of documents linked by five-word shingles with Jaccard 0.8 or more the one with the smallest id stays, and so does each
+    without words. Rows with one id, or with null ids, stay together."""
     stay = trie_join.groups(docs, count_links=False).where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("stay")).distinct()
     return docs.join(stay, docs["doc_id"].eqNullSafe(stay["stay"]), "left_semi")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go."""
-    # rows have a number of their own: ids may be null or occur twice
-    rows = Scratch(spark).keep(docs.withColumn("_row", F.monotonically_increasing_id()))
-    found = decontaminate.contaminated(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="_row")
-    return rows.join(found.select("_row").distinct(), "_row", "left_anti").select(*docs.columns)
+    """Documents that hold a benchmark passage go. That hangs on the text alone, so rows are known by its hash; ids may be
+    null or occur twice. Null and empty texts stay."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("text").alias("hash"), "text")
+    found = decontaminate.contaminated(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="hash")
+    found = Scratch(spark).keep(found.select("hash").distinct())
+    found = F.broadcast(found) if found.count() <= BROADCAST_HASHES else found
+    return rows.join(found, "hash", "left_anti").select("row.*")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their tokens, their sequence and their place in it. A null or empty text is the end
+    token alone; repeated rows are packed each; an empty table gives an empty result."""
     cut = packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return packing.pack(cut)
 
