@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .text import ALNUM, U64, Words, chunks, mix
+from .text import ALNUM, U64, Words, chunks, mix, release
 
 #: Fixed masks: the places of a window that are looked at.
 MASKS = ((0, 1, 2, 4, 5), (0, 1, 2, 3, 4))
@@ -170,6 +170,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
                 at, items, *rest = zip(*rows, strict=True) if rows else ((), (), (), (), ())
                 arrays = [batch.column(0).take(pa.array(at, pa.int64())), pa.array([bench.ids[i] for i in items], item_arrow), *(pa.array(x, pa.int32()) for x in rest)]
                 yield pa.RecordBatch.from_arrays(arrays, names=["k", "i", "start_word", "end_word", "equal_words"])
+            release()
 
         return run
 

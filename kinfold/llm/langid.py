@@ -16,10 +16,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DIM, LETTERS, SEED = 1024, 1024, 20
+from .text import release
+
+DIM, LETTERS, SEED = 1024, 256, 20
 #: Texts of one language that a prototype is made of, at most: the fit is on a bounded sample.
 FIT_TEXTS = 400
 #: Parts of a language in which the lowest hashes are looked for before they meet.
@@ -62,7 +65,7 @@ def _trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     keep[0] = True
     kinds, owner = kinds[keep].astype(np.int64), owner[keep]
     middle = np.flatnonzero(kinds[1:-1]) + 1
-    return kinds[middle - 1] << 20 | kinds[middle] << 10 | kinds[middle + 1], owner[middle]
+    return kinds[middle - 1] << 16 | kinds[middle] << 8 | kinds[middle + 1], owner[middle]
 
 
 def bundle(texts: list[str]) -> np.ndarray:
@@ -70,23 +73,25 @@ def bundle(texts: list[str]) -> np.ndarray:
     out = np.zeros((len(texts), DIM), np.float32)
     codes, owner = _trigrams(texts)
     if len(codes):
-        pairs, counts = np.unique(owner.astype(np.int64) << 30 | codes, return_counts=True)
-        kinds, column = np.unique(pairs & 0x3FFFFFFF, return_inverse=True)
+        pairs, counts = np.unique(owner.astype(np.int64) << 24 | codes, return_counts=True)
+        kinds, column = np.unique(pairs & 0xFFFFFF, return_inverse=True)
         a, b, c = _letters()
         table = np.zeros((len(texts), len(kinds)), np.float32)
-        table[pairs >> 30, column] = counts
-        for i in range(0, len(kinds), 4096):
-            k = kinds[i : i + 4096]
-            out += table[:, i : i + 4096] @ (a[k >> 20] * b[k >> 10 & 1023] * c[k & 1023])
+        table[pairs >> 24, column] = counts
+        for i in range(0, len(kinds), 1024):
+            k = kinds[i : i + 1024]
+            out += table[:, i : i + 1024] @ (a[k >> 16] * b[k >> 8 & 255] * c[k & 255])
     return out
 
 
-def _groups(texts: list[str | None]):
+def _groups(column: pa.Array):
+    """First row and texts of each group; no more than GROUP texts are Python strings at a time."""
+    sizes = pc.fill_null(pc.utf8_length(column), 0).to_numpy(zero_copy_only=False)
     first, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if i + 1 - first == GROUP or size > GROUP_CHARS or i + 1 == len(texts):
-            yield first, [x or "" for x in texts[first : i + 1]]
+    for i, n in enumerate(sizes.tolist()):
+        size += n
+        if i + 1 - first == GROUP or size > GROUP_CHARS or i + 1 == len(sizes):
+            yield first, [x or "" for x in column.slice(first, i + 1 - first).to_pylist()]
             first, size = i + 1, 0
 
 
@@ -109,11 +114,12 @@ def fit(df: DataFrame, learn: Column, text: str = "text", lang: str = "lang", ke
     def add(batches):
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            langs, values = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for first, group in _groups(values):
+            langs = batch.column(0).to_pylist()
+            for first, group in _groups(batch.column(1)):
                 for name, vector in zip(langs[first : first + len(group)], _unit(bundle(group)), strict=True):
                     sums[name] = sums.get(name, 0) + vector.astype(np.float64)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([x.tolist() for x in sums.values()], pa.list_(pa.float64()))], names=["lang", "vector"])
+        release()
 
     out: dict[str, np.ndarray] = {}
     for row in texts.mapInArrow(add, "lang string, vector array<double>").collect():
@@ -132,7 +138,7 @@ def predict(df: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text"
     def run(batches):
         for batch in batches:
             langs, scores = [], []
-            for _, group in _groups(batch.column(at).to_pylist()):
+            for _, group in _groups(batch.column(at)):
                 vectors = bundle(group)
                 blank = ~vectors.any(axis=1) & np.array([not any(map(str.isalpha, t)) for t in group]) if table.size else np.ones(len(group), bool)
                 cosines = _unit(vectors) @ table if table.size else np.zeros((len(group), 1), np.float32)
@@ -141,6 +147,7 @@ def predict(df: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text"
                 scores.append(np.where(blank, 0.0, np.clip(cosines[np.arange(len(group)), best].astype(np.float64), 0, 1)))
             arrays = [*batch.columns[:width], pa.array(langs, pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64())]
             yield pa.RecordBatch.from_arrays(arrays, names=[f"c{i}" for i in range(len(arrays))])
+        release()
 
     source = df.select(*(F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(read)))
     schema = ", ".join([*(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(source.schema.fields[:width])), f"c{width} string", f"c{width + 1} double"])

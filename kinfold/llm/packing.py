@@ -23,12 +23,15 @@ from pyspark.sql import functions as F
 
 from ..scratch import Scratch
 from .pretokens import Known, groups, in_letters, split
+from .text import release
 
 SIZE, END_ID = 2048, 0
 #: Distinct pre-tokens whose ids a Python worker remembers, at about 30 bytes; beyond that it forgets and starts anew.
-REMEMBER = 1_000_000
+REMEMBER = 500_000
 #: Tokens that a Python worker hands over at once.
 WAITING = 1 << 18
+#: Texts that are Python strings at a time.
+TEXTS = 512
 #: Pieces of one length that a task ranks, on average; more are spread by salts.
 RANKED = 50_000
 
@@ -87,7 +90,7 @@ def encoder(path: str) -> Encoder:
 def pieces(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", size: int = SIZE) -> DataFrame:
     """key, piece, start, length, ids_crc32 and ids (array<int>) of every piece. One narrow stage."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(i, TEXTS) for whole in batches for i in range(0, whole.num_rows, TEXTS)):
             rows, tokens = [], []
 
             def flush(batch=batch, rows=rows, tokens=tokens) -> pa.RecordBatch:
@@ -110,6 +113,7 @@ def pieces(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", si
                         yield flush()
                         waiting = 0
             yield flush()
+        release()
 
     source = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     return source.mapInArrow(run, f"k {source.schema[0].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, ids array<int>").withColumnRenamed("k", key)
@@ -189,6 +193,7 @@ def digests(packed: DataFrame) -> DataFrame:
             flat, ends = ids.values.to_numpy(zero_copy_only=False).view("<u4"), ids.offsets.to_pylist()
             crc = [zlib.crc32(flat[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(crc, pa.int64())], names=[*(f"c{i}" for i in range(len(names))), "crc"])
+        release()
 
     source = packed.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), "ids")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema if f.name != "ids") + ", crc long"

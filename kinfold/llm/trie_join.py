@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..scratch import Scratch
-from .text import U64, Words, as_signed, chunks, mix, windows
+from .text import U64, Words, as_signed, chunks, mix, release, windows
 
 #: Partner sets in one tree.
 TREE_SETS = 2000
@@ -134,6 +134,7 @@ def _sets(docs: DataFrame, key: str, text: str, k: int, num: int, den: int, samp
             lists = lambda x: pa.array(x, pa.list_(pa.int64()))
             arrays = [batch.column(0), pa.array(n, pa.int32()), pa.array(as_signed(np.array(c, U64))), lists(first), *([lists(more), lists(bits)] if sample is not None else [])]
             yield pa.RecordBatch.from_arrays(arrays, names=["id", "n", "c", "items", "more", "bits"][: len(arrays)])
+        release()
 
     return source.mapInArrow(run, f"id {kind}, n int, c long, items array<long>" + ", more array<long>, bits array<long>" * (sample is not None))
 
