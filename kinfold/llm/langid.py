@@ -28,7 +28,7 @@ FIT_TEXTS = 400
 #: Parts of a language in which the lowest hashes are looked for before they meet.
 SALTS = 32
 #: Texts that are bundled together, and their code points at most.
-GROUP, GROUP_CHARS = 64, 400_000
+GROUP, GROUP_CHARS = 64, 200_000
 
 
 @lru_cache(maxsize=1)

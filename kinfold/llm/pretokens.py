@@ -16,7 +16,7 @@ from .text import U64, _powers, mix
 #: Latin letters, usual marks and blanks.
 PLAIN = r"[\x00-\x1b -\x84\x86-\x9f\xa1-įı-ɏ‐-‧‰-⁞€]"
 #: Code points of texts that are worked on together.
-GROUP_CHARS = 500_000
+GROUP_CHARS = 250_000
 ODD, LETTER, NUMBER, MARK, BLANK = 0, 1, 2, 3, 4
 #: Fixed: letters that a single apostrophe takes along.
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
