@@ -38,12 +38,12 @@ def jaccard_groups(rows, k, num, den):
     for i, t in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
         sets.append((i, frozenset([tuple(w)] if 0 < len(w) < k else [tuple(w[j : j + k]) for j in range(len(w) - k + 1)])))
-    of = list(range(len(sets)))
-    for _ in sets:
-        for a, (_, x) in enumerate(sets):
-            for b, (_, y) in enumerate(sets):
-                if x and y and den * len(x & y) >= num * len(x | y):
-                    of[a] = of[b] = min(of[a], of[b])
+    of, before = list(range(len(sets))), None
+    links = [(a, b) for a, (_, x) in enumerate(sets) for b, (_, y) in enumerate(sets[:a]) if x and y and den * len(x & y) >= num * len(x | y)]
+    while of != before:
+        before = [*of]
+        for a, b in links:
+            of[a] = of[b] = min(of[a], of[b])
     least = defaultdict(lambda: 1 << 60)
     for g, (i, _) in zip(of, sets, strict=True):
         least[g] = min(least[g], i)
