@@ -144,16 +144,12 @@ def test_pipeline_of_odd_rows(spark, tmp_path):
     own = "quite some words that nobody else has ever written anywhere"
     rows = [(None, own, None, None, None, "x"), (1, None, "en", "s", None, "x"), (2, "", "en", "s", 0, None), (3, "12 34", "en", "s", 5, "x"), (4, item, "en", "s", 9, "x"), (5, "another text of its own kind", None, None, 9, "x"), (5, "another text of its own kind", None, None, 9, "x")]
     schema = "doc_id long, text string, lang string, source string, n_chars long, hash string"
-    for name, rows_, want in (("some", rows, {None: 1, 5: 2}), ("none", [], {})):
-        sf_dir = tmp_path / name
-        docs = spark.createDataFrame(rows_, schema)
-        docs.write.parquet(str(sf_dir / "documents.parquet"))
-        spark.read.parquet(str(tmp_path / "benchmark.parquet")).write.parquet(str(sf_dir / "benchmark.parquet"))
-        got = docs
-        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-            path = str(sf_dir / f"stage{k}")
-            stage(spark, got, str(sf_dir)).write.parquet(path)
-            got = spark.read.parquet(path)
-            assert k == len(corpus_pipeline.STAGES) - 1 or got.columns == docs.columns
-        assert Counter(r.doc_id for r in got.collect()) == Counter(want)
-    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+    got = docs = spark.createDataFrame(rows, schema)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        path = str(tmp_path / f"stage{k}")
+        stage(spark, got, str(tmp_path)).write.parquet(path)
+        got = spark.read.parquet(path)
+        assert k == len(corpus_pipeline.STAGES) - 1 or got.columns == docs.columns
+    assert Counter(r.doc_id for r in got.collect()) == Counter({None: 1, 5: 2})
+    docs.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
