@@ -1,7 +1,7 @@
 """DuckDB SQL for those of the corpus queries that SQL can express, over whole tables and written apart from the operators.
 
-op1, op4 and op6 fit models, op7 deals by seeded hashes, op8 looks for substitutions at masked places, op9 and op10 need a
-tokenizer: these have none.
+op1, op4 and op6 fit models, op7 deals by seeded hashes, op8 looks for substitutions at masked places, op9, op10 and op12 need
+a tokenizer: these have none.
 """
 
 from __future__ import annotations
@@ -96,4 +96,59 @@ WITH rows_ AS (
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars FROM said
 """
 
-SQL = {"op2_trie_join": TRIE_JOIN, "op3_line_dedup": LINE_DEDUP, "op5_chat_format": CHAT_FORMAT}
+DIVERGENCE = r"""
+WITH docs AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), kept AS MATERIALIZED (
+  SELECT lang, term FROM (SELECT lang, unnest(list_distinct(w)) AS term FROM docs) GROUP BY ALL HAVING count(*) >= 30
+), uses AS MATERIALIZED (
+  SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(w) AS term FROM docs) JOIN kept USING (lang, term) GROUP BY ALL
+), groups AS MATERIALIZED (
+  SELECT DISTINCT lang, source FROM docs
+), vocabulary AS (
+  SELECT lang, count(*) AS v FROM kept GROUP BY lang
+), totals AS (
+  SELECT lang, source, coalesce(sum(n), 0) AS total FROM groups LEFT JOIN uses USING (lang, source) GROUP BY ALL
+), whole AS (
+  SELECT lang, term, 1 + (CAST(1000000000 AS HUGEINT) * (n + 5)) // (total + 5 * v) AS q
+  FROM (SELECT lang, term, sum(n) AS n FROM uses GROUP BY ALL) JOIN (SELECT lang, sum(n) AS total FROM uses GROUP BY lang) USING (lang) JOIN vocabulary USING (lang)
+), shares AS MATERIALIZED (
+  SELECT lang, g.source, term, coalesce(n, 0) AS n, 1 + (CAST(1000000000 AS HUGEINT) * (coalesce(n, 0) + 5)) // (total + 5 * v) AS p
+  FROM groups g JOIN kept USING (lang) JOIN vocabulary USING (lang) JOIN totals USING (lang, source) LEFT JOIN uses USING (lang, source, term)
+), differences AS (
+  SELECT a.lang, a.source, b.source AS item, CAST(sum(abs(a.p - b.p)) AS BIGINT) AS value FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), valued AS (
+  SELECT lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM groups a JOIN groups b USING (lang) LEFT JOIN differences d USING (lang) WHERE a.source <> b.source AND d.source IS NULL
+  UNION ALL SELECT lang, source, 'pair', item, value FROM differences
+  UNION ALL SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM shares JOIN whole USING (lang, term) WHERE n > 0 AND p > q
+)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM valued) WHERE part = 'pair' OR rank <= 50
+"""
+
+FILTER_AUDIT = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), failed AS MATERIALIZED (
+  SELECT part, [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w), 100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 10 * length(text), regexp_matches(text, '[#$%&*|]'),
+    coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)] AS f, coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS bad
+  FROM docs LEFT JOIN labels USING (doc_id)
+), masks AS MATERIALIZED (
+  SELECT part, f, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE bad) AS bad FROM failed GROUP BY part, f
+), letters AS (
+  SELECT unnest([1, 2, 3, 4, 5]) AS x
+), every AS (
+  SELECT [a.x, b.x, c.x, d.x, e.x] AS o FROM letters a, letters b, letters c, letters d, letters e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), steps AS (
+  SELECT o, array_to_string(list_transform(o, lambda i: 'ABCDE'[i]), '') AS filter_order, s.x AS step, o[s.x] AS i, o[:s.x - 1] AS before FROM every, letters s
+), seen AS (
+  SELECT part, filter_order, step, i, n, good, bad, f[i] AS hit, len(list_filter(before, lambda j: f[j])) > 0 AS gone, len(list_filter(f, lambda x: x)) AS fails FROM masks, steps
+), counted AS (
+  SELECT part, filter_order, step, i, coalesce(sum(n) FILTER (WHERE NOT gone AND NOT hit), 0) AS kept, coalesce(sum(n) FILTER (WHERE NOT gone AND hit), 0) AS removed, coalesce(sum(n) FILTER (WHERE gone AND hit), 0) AS redundant,
+    coalesce(sum(n) FILTER (WHERE hit AND fails = 1), 0) AS unique_fails, coalesce(sum(good) FILTER (WHERE NOT gone AND hit), 0) AS good_lost, coalesce(sum(bad) FILTER (WHERE NOT gone AND hit), 0) AS toxic_lost FROM seen GROUP BY ALL
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, i) AS BIGINT) AS shapley FROM counted
+"""
+
+SQL = {"op2_trie_join": TRIE_JOIN, "op3_line_dedup": LINE_DEDUP, "op5_chat_format": CHAT_FORMAT, "op11_source_divergence": DIVERGENCE, "op13_filter_audit": FILTER_AUDIT}

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, langid, line_dedup, oracles, packing, quality_fm, shuffle_shards, token_counts, trie_join
+from ..scratch import Scratch
+from . import ann, chat, decontaminate, divergence, filter_audit, langid, line_dedup, oracles, packing, quality_fm, shuffle_shards, token_counts, token_store, trie_join
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +71,20 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(cut))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op12_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = f"{Scratch(spark).root}/store"
+    token_store.write(_table(spark, sf_dir, "documents"), out, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_store.digests(token_store.read(spark, out))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 ORACLE_SQL: dict[str, str] = oracles.SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -83,4 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_token_counts": op9_token_counts,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_token_store": op12_token_store,
+    "op13_filter_audit": op13_filter_audit,
 }
