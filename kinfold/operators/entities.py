@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.functions import normalize as N
@@ -25,16 +25,19 @@ def cluster_stats(golden: DataFrame) -> DataFrame:
     return sizes.agg(F.count("*").alias("cluster_n"), F.count_if(F.col("n") == 1).alias("singleton_n"), F.coalesce(F.max("n"), F.lit(0)).alias("max_size"))
 
 
-def _shown(c: str, masked: bool) -> Column:
-    return N.masked_hash(F.col(c)).alias(c) if masked else F.col(c)
+def _shown(masked: bool) -> tuple[Column, Column]:
+    if masked:
+        return N.masked_hash(F.col("name_norm")).alias("name_hash"), N.masked_hash(F.col("host")).alias("host_hash")
+    return F.col("name_norm"), F.col("host")
 
 
-def cluster_review(golden: DataFrame, records: DataFrame, masked: bool = True, limit: int = 100) -> DataFrame:
-    """A report: members of clusters of two or more, the largest first, at most `limit` rows."""
-    sized = golden.withColumn("cluster_size", F.count("*").over(Window.partitionBy("golden_entity_id"))).where("cluster_size >= 2")
-    joined = sized.join(records.select("record_id", "name", "website"), "record_id")
+def cluster_review(golden: DataFrame, prep: DataFrame, masked: bool = True, limit: int = 100) -> DataFrame:
+    """A report: members of clusters of two or more with what was matched, the largest first, at most `limit` rows. Masked,
+    names and hosts are hashes."""
+    sizes = golden.groupBy("golden_entity_id").agg(F.count("*").alias("cluster_size")).where("cluster_size >= 2")
+    joined = golden.join(sizes, "golden_entity_id").join(prep.select("record_id", "name_norm", "host", "country_norm"), "record_id")
     top = joined.orderBy(F.desc("cluster_size"), "golden_entity_id", "record_id").limit(limit)
-    return top.select("golden_entity_id", "record_id", "cluster_size", _shown("name", masked), _shown("website", masked))
+    return top.select("golden_entity_id", "cluster_size", "record_id", *_shown(masked), "country_norm")
 
 
 def representatives(golden: DataFrame, prep: DataFrame) -> DataFrame:
@@ -50,14 +53,15 @@ def with_host_parent(reps: DataFrame, denied: tuple[str, ...] = N.DENIED_HOSTS)
 
 def name_parents(reps: DataFrame, least: int = 8) -> DataFrame:
     """golden_entity_id and name_parent_id: of entities without a host parent, the entity of the same country with the
-    shortest name of `least` characters or more that the name begins with, followed by a space. All such names share their
-    first `least` characters, so those make an equi-join."""
-    key = lambda c: F.substring(c, 1, least)
-    child = reps.where(F.col("host_parent_id").isNull()).select(F.col("golden_entity_id"), "name_norm", "country_norm", key("name_norm").alias("k"))
-    parent = reps.where(F.length("name_norm") >= least).select(F.col("golden_entity_id").alias("parent"), F.col("name_norm").alias("parent_name"), F.col("country_norm").alias("country"), key("name_norm").alias("pk"))
-    met = child.join(parent, (F.col("k") == F.col("pk")) & (F.col("country_norm") == F.col("country")) & (F.col("golden_entity_id") != F.col("parent")) & F.col("name_norm").startswith(F.concat(F.col("parent_name"), F.lit(" "))))
-    best = met.groupBy("golden_entity_id").agg(F.min(F.struct(F.length("parent_name").alias("n"), F.col("parent").alias("parent"))).alias("x"))
-    return best.select("golden_entity_id", F.col("x.parent").alias("name_parent_id"))
+    shortest name of `least` characters or more that the name begins with, followed by a space; of entities with one name the
+    least id. A name asks for each of its beginnings that end before a space, by equality, and each name is there once for a
+    country: as many rows as names have spaces, whatever names have in common."""
+    parents = reps.where(F.length("name_norm") >= least).groupBy("country_norm", F.col("name_norm").alias("begin")).agg(F.min("golden_entity_id").alias("parent"))
+    child = reps.where(F.col("host_parent_id").isNull() & F.col("country_norm").isNotNull()).select("golden_entity_id", "name_norm", "country_norm")
+    spaces = F.expr(f"filter(sequence({least}, length(name_norm) - 1), i -> substring(name_norm, i + 1, 1) = ' ')")
+    asked = child.where(F.length("name_norm") > least).select("golden_entity_id", "country_norm", "name_norm", F.explode(spaces).alias("n"))
+    met = asked.withColumn("begin", F.expr("substring(name_norm, 1, n)")).drop("name_norm").join(parents, ["country_norm", "begin"])
+    return met.groupBy("golden_entity_id").agg(F.min_by("parent", "n").alias("name_parent_id"))
 
 
 def hierarchy(golden: DataFrame, prep: DataFrame, denied: tuple[str, ...] = N.DENIED_HOSTS, least: int = 8, resolve_parent: bool = False) -> DataFrame:
@@ -72,12 +76,14 @@ def hierarchy(golden: DataFrame, prep: DataFrame, denied: tuple[str, ...] = N.DE
     return golden.join(top, "golden_entity_id", "left").select("record_id", "golden_entity_id", "ultimate_parent_id")
 
 
-def parent_review(tree: DataFrame, masked: bool = True, limit: int = 50) -> DataFrame:
-    """A report: golden entities of parents with two or more, the largest first, at most `limit` rows."""
+def parent_review(tree: DataFrame, reps: DataFrame, masked: bool = True, limit: int = 50) -> DataFrame:
+    """A report: golden entities of parents with two or more, with their representatives' keys, the largest first, at most `limit`
+    rows. Masked, names and hosts are hashes; ids are shown."""
     pairs = tree.select("golden_entity_id", "ultimate_parent_id").distinct()
-    sized = pairs.withColumn("n_golden", F.count("*").over(Window.partitionBy("ultimate_parent_id"))).where("n_golden >= 2")
-    top = sized.orderBy(F.desc("n_golden"), "ultimate_parent_id", "golden_entity_id").limit(limit)
-    return top.select(_shown("ultimate_parent_id", masked), "golden_entity_id", "n_golden")
+    sizes = pairs.groupBy("ultimate_parent_id").agg(F.count("*").alias("parent_size")).where("parent_size >= 2")
+    joined = pairs.join(sizes, "ultimate_parent_id").join(reps.select("golden_entity_id", "name_norm", "host", "country_norm"), "golden_entity_id")
+    top = joined.orderBy(F.desc("parent_size"), "ultimate_parent_id", "golden_entity_id").limit(limit)
+    return top.select("ultimate_parent_id", "parent_size", "golden_entity_id", "country_norm", *_shown(masked))
 
 
 def funnel(tree: DataFrame) -> DataFrame:

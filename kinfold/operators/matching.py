@@ -1,4 +1,4 @@
-"""Blocking, comparison, training and scoring of record pairs."""
+"""Blocking, comparison, training and scoring of record pairs. Training works on classes of equal records and on counts."""
 
 from __future__ import annotations
 
@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.functions import normalize as N
+from kinfold.operators import sampling
+from kinfold.operators.blocking import TILE, self_pairs
+from kinfold.operators.near_names import near_names
+from kinfold.scratch import Scratch
 
 #: Comparison levels: -1 stands for a missing value and says nothing.
 NAME_LEVELS, EXACT_LEVELS = (0, 1, 2, 3), (0, 1)
@@ -20,7 +24,8 @@ FLOOR = 1e-6
 
 @dataclass(frozen=True)
 class Model:
-    """lam: the share of matching pairs; m and u: by comparison the probability of each level, from 0, in matches and others."""
+    """lam: the share of matching pairs; m and u: by comparison the probability of each level, from 0, in matches and others;
+    unseen: levels (comparison:level) that no training pair showed and whose m is the prior."""
 
     lam: float
     m: dict[str, tuple[float, ...]]
@@ -84,48 +89,103 @@ def max_host_group(prep: DataFrame, denied: tuple[str, ...] = N.DENIED_HOSTS) ->
     return prep.where(N.eligible_host(F.col("host"), denied)).groupBy("host").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("max_group"))
 
 
-def check_blocks(prep: DataFrame, max_group: int = 80, max_pairs: int = 2_000_000, denied: tuple[str, ...] = N.DENIED_HOSTS) -> None:
-    """Raises before anything quadratic begins. Pairs are summed over the rules, not yet deduplicated."""
+def check_blocks(prep: DataFrame, max_group: int = 80, max_pairs: int = 2_000_000, denied: tuple[str, ...] = N.DENIED_HOSTS, distinct: bool = False) -> None:
+    """Raises before anything quadratic begins. Pairs are summed over the rules; distinct counts those of both rules once."""
     row = block_sizes(prep, denied).agg(F.coalesce(F.max(F.when(F.col("rule") == "host", F.col("n"))), F.lit(0)).alias("most"), F.coalesce(F.sum(F.expr("n * (n - 1) div 2")), F.lit(0)).alias("pairs")).first()
     if row.most > max_group:
         raise ValueError(f"a host with {row.most} records; at most {max_group} are allowed")
-    if row.pairs > max_pairs:
-        raise ValueError(f"{row.pairs} pairs; at most {max_pairs} are allowed: use a longer prefix")
+    pairs = distinct_pair_counts(prep, denied).agg(F.sum("n_new")).first()[0] if distinct else row.pairs
+    if pairs > max_pairs:
+        raise ValueError(f"{pairs} pairs; at most {max_pairs} are allowed: use a longer prefix")
 
 
 PAIR_COLUMNS = ("record_id", "name_norm", "host", "country_norm", "city_norm", "name_prefix")
 
 
-def _sides(prep: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return tuple(prep.select(*(F.col(c).alias(f"{c}_{side}") for c in PAIR_COLUMNS)) for side in "lr")
+def with_host(prep: DataFrame, denied: tuple[str, ...] = N.DENIED_HOSTS) -> DataFrame:
+    return prep.where(N.eligible_host(F.col("host"), denied))
 
 
-def block_host(prep: DataFrame, denied: tuple[str, ...] = N.DENIED_HOSTS) -> DataFrame:
-    left, right = _sides(prep.where(N.eligible_host(F.col("host"), denied)))
-    return left.join(right, (F.col("host_l") == F.col("host_r")) & (F.col("record_id_l") < F.col("record_id_r")))
+def block_host(prep: DataFrame, denied: tuple[str, ...] = N.DENIED_HOSTS, tile: int = TILE, more: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs with the same eligible host. prep should be a written table: large blocks are counted before they are joined."""
+    return self_pairs(with_host(prep, denied), ("host",), (*PAIR_COLUMNS, *more), tile=tile)
 
 
-def block_prefix_country(prep: DataFrame) -> DataFrame:
-    left, right = _sides(prep)
-    return left.join(right, (F.col("name_prefix_l") == F.col("name_prefix_r")) & (F.col("country_norm_l") == F.col("country_norm_r")) & (F.col("record_id_l") < F.col("record_id_r")))
+def block_prefix_country(prep: DataFrame, tile: int = TILE, more: tuple[str, ...] = ()) -> DataFrame:
+    return self_pairs(prep, ("name_prefix", "country_norm"), (*PAIR_COLUMNS, *more), tile=tile)
 
 
-def candidate_pairs(prep: DataFrame, denied: tuple[str, ...] = N.DENIED_HOSTS) -> DataFrame:
+def block_name_country(prep: DataFrame, tile: int = TILE, more: tuple[str, ...] = ()) -> DataFrame:
+    return self_pairs(prep, ("name_norm", "country_norm"), (*PAIR_COLUMNS, *more), tile=tile)
+
+
+def candidate_pairs(prep: DataFrame, denied: tuple[str, ...] = N.DENIED_HOSTS, tile: int = TILE, more: tuple[str, ...] = ()) -> DataFrame:
     """Pairs of either rule, each once: a union of equi-joins, the second without what the first has found. An OR in one
     join would be planned as a cartesian product."""
-    first = block_host(prep, denied).withColumn("match_key", F.lit("host"))
+    first = block_host(prep, denied, tile, more).withColumn("match_key", F.lit("host"))
     met = F.coalesce((F.col("host_l") == F.col("host_r")) & N.eligible_host(F.col("host_l"), denied), F.lit(False))
-    return first.unionByName(block_prefix_country(prep).where(~met).withColumn("match_key", F.lit("prefix_country")))
+    return first.unionByName(block_prefix_country(prep, tile, more).where(~met).withColumn("match_key", F.lit("prefix_country")))
+
+
+#: Names shorter than this are never near by edit distance.
+LEAST_NAME = 6
+
 
+def host_names(prep: DataFrame, denied: tuple[str, ...] = N.DENIED_HOSTS) -> DataFrame:
+    """host, name_norm, n: the different names of each eligible host."""
+    return with_host(prep, denied).where(F.length("name_norm") >= LEAST_NAME).groupBy("host", "name_norm").agg(F.count("*").alias("n"))
 
-def deterministic_pairs(prep: DataFrame, denied: tuple[str, ...] = N.DENIED_HOSTS) -> DataFrame:
+
+def near_host_names(prep: DataFrame, denied: tuple[str, ...] = N.DENIED_HOSTS, tile: int = TILE) -> DataFrame:
+    """Different names of a host within distance 2, each pair once, with their numbers of records."""
+    return near_names(host_names(prep, denied), ("host",), least=LEAST_NAME, tile=tile)
+
+
+def deterministic_pairs(prep: DataFrame, denied: tuple[str, ...] = N.DENIED_HOSTS, tile: int = TILE) -> DataFrame:
     """Pairs that are surely alike: same eligible host and names of 6 characters or more within distance 2; or same name
-    and country. Each pair once."""
-    short = F.least(F.length("name_norm_l"), F.length("name_norm_r"))
-    a = block_host(prep, denied).where((short >= 6) & (F.levenshtein("name_norm_l", "name_norm_r") <= 2))
-    left, right = _sides(prep)
-    b = left.join(right, (F.col("name_norm_l") == F.col("name_norm_r")) & (F.col("country_norm_l") == F.col("country_norm_r")) & (F.col("record_id_l") < F.col("record_id_r")))
-    return a.select("record_id_l", "record_id_r").union(b.select("record_id_l", "record_id_r")).distinct()
+    and country. Each pair once. Records meet where their names are known to be near, never all of a host."""
+    ids = lambda df: df.select("record_id_l", "record_id_r")
+    long_named = with_host(prep, denied).where(F.length("name_norm") >= LEAST_NAME)
+    same = self_pairs(long_named, ("host", "name_norm"), ("record_id",), tile=tile)
+    member = lambda s: long_named.select("host", F.col("name_norm").alias(f"name_{s}"), F.col("record_id").alias(f"id_{s}"))
+    near = near_host_names(prep, denied, tile).select("host", "name_l", "name_r").join(member("l"), ["host", "name_l"]).join(member("r"), ["host", "name_r"]).where("id_l <> id_r")
+    near = near.select(F.least("id_l", "id_r").alias("record_id_l"), F.greatest("id_l", "id_r").alias("record_id_r"))
+    return ids(same).union(near).union(ids(block_name_country(prep, tile))).distinct()
+
+
+def _pairs_of(n: str) -> Column:
+    return F.expr(f"{n} * ({n} - 1) div 2")
+
+
+def deterministic_count(prep: DataFrame, denied: tuple[str, ...] = N.DENIED_HOSTS, tile: int = TILE) -> DataFrame:
+    """n_pairs: how many pairs deterministic_pairs has, from counts of equal records and of near names: no pair of records is
+    made. Same host and near names, and same name and country, less what is both (same host, name and country)."""
+    fine = prep.groupBy("host", "name_norm", "country_norm").agg(F.count("*").alias("n"))
+    hosted = with_host(fine, denied).where(F.length("name_norm") >= LEAST_NAME)
+    parts = [
+        hosted.groupBy("host", "name_norm").agg(F.sum("n").alias("n")).select(_pairs_of("n").alias("x")),
+        near_host_names(prep, denied, tile).select(F.expr("n_l * n_r").alias("x")),
+        fine.na.drop(subset=["name_norm", "country_norm"]).groupBy("name_norm", "country_norm").agg(F.sum("n").alias("n")).select(_pairs_of("n").alias("x")),
+        hosted.where("country_norm is not null").select((-_pairs_of("n")).alias("x")),
+    ]
+    total = parts[0]
+    for part in parts[1:]:
+        total = total.unionByName(part)
+    return total.agg(F.coalesce(F.sum("x"), F.lit(0)).alias("n_pairs"))
+
+
+def distinct_pair_counts(prep: DataFrame, denied: tuple[str, ...] = N.DENIED_HOSTS) -> DataFrame:
+    """rule, n_pairs (of the rule), n_new (that no rule before has): candidate_pairs counted without making one. Records are
+    counted by host, prefix and country once; both rules, and what they share, are sums over that."""
+    eligible = F.when(N.eligible_host(F.col("host"), denied), F.col("host"))
+    fine = prep.groupBy(eligible.alias("host"), "name_prefix", "country_norm").agg(F.count("*").alias("n"))
+    prefixed = F.col("name_prefix").isNotNull() & F.col("country_norm").isNotNull()
+    hosts = fine.where("host is not null").groupBy("host").agg(F.sum("n").alias("n")).agg(F.sum(_pairs_of("n")).alias("n")).select(F.lit("host").alias("rule"), "n")
+    prefixes = fine.where(prefixed).groupBy("name_prefix", "country_norm").agg(F.sum("n").alias("n")).agg(F.sum(_pairs_of("n")).alias("n")).select(F.lit("prefix_country").alias("rule"), "n")
+    both = fine.where(prefixed & F.col("host").isNotNull()).agg(F.sum(_pairs_of("n")).alias("n")).select(F.lit("both").alias("rule"), "n")
+    wide = hosts.unionByName(prefixes).unionByName(both).agg(*(F.coalesce(F.sum(F.when(F.col("rule") == r, F.col("n"))), F.lit(0)).alias(r) for r in ("host", "prefix_country", "both")))
+    row = lambda rule, new: F.struct(F.lit(rule).alias("rule"), F.col(rule).alias("n_pairs"), new.alias("n_new"))
+    return wide.select(F.inline(F.array(row("host", F.col("host")), row("prefix_country", F.col("prefix_country") - F.col("both")))))
 
 
 def _exact(c: str) -> Column:
@@ -149,11 +209,32 @@ def gamma_patterns(compared: DataFrame) -> DataFrame:
     return compared.groupBy(*GAMMAS).agg(F.count("*").alias("n"))
 
 
+CLASS_COLUMNS = ("name_norm", "host", "country_norm", "city_norm", "name_prefix")
+
+
+def classes(prep: DataFrame) -> DataFrame:
+    """Records that comparison can't tell apart, once: the columns it works on, their least id as record_id, and n."""
+    return prep.groupBy(*CLASS_COLUMNS).agg(F.min("record_id").alias("record_id"), F.count("*").alias("n"))
+
+
+def class_patterns(distinct: DataFrame, pairs: DataFrame, inside: Column) -> DataFrame:
+    """Level patterns with their numbers of record pairs, from pairs of classes (with n_l and n_r) and from the pairs within each
+    class for which `inside` holds."""
+    alone = distinct.where(inside & (F.col("n") >= 2)).select(*(F.col(c).alias(f"{c}_{s}") for c in CLASS_COLUMNS for s in "lr"), _pairs_of("n").alias("w"))
+    weighed = compare(pairs).select(*GAMMAS, F.expr("n_l * n_r").alias("w")).unionByName(compare(alone).select(*GAMMAS, "w"))
+    return weighed.groupBy(*GAMMAS).agg(F.sum("w").alias("n"))
+
+
+def pattern_counts(distinct: DataFrame, denied: tuple[str, ...] = N.DENIED_HOSTS, tile: int = TILE) -> DataFrame:
+    """gamma_patterns of all candidate pairs; `distinct`, the classes, is read more than once."""
+    blocked = N.eligible_host(F.col("host"), denied) | (F.col("name_prefix").isNotNull() & F.col("country_norm").isNotNull())
+    return class_patterns(distinct, candidate_pairs(distinct, denied, tile, ("n",)), blocked)
+
+
 def lambda_estimate(prep: DataFrame, recall: float = 0.6, denied: tuple[str, ...] = N.DENIED_HOSTS) -> DataFrame:
     """Pairs of the deterministic rules, over their assumed recall, over all pairs."""
-    pairs = deterministic_pairs(prep, denied).agg(F.count("*").alias("n_pairs"))
     total = prep.agg(F.count("*").alias("n_records"))
-    one = pairs.join(total, F.lit(True))  # one row each
+    one = deterministic_count(prep, denied).join(total, F.lit(True))  # one row each
     return one.select("n_records", "n_pairs", F.expr("n_pairs / CAST(%r AS DOUBLE) / (CAST(n_records AS DOUBLE) * (n_records - 1) / 2)" % recall).alias("lam"))
 
 
@@ -167,15 +248,25 @@ def u_exact(prep: DataFrame) -> DataFrame:
     return out.select("comparison", F.expr("CASE WHEN n > 1 THEN same / (n * (n - 1) / 2) ELSE 0 END").alias("u"))
 
 
-def u_name(prep: DataFrame, rows: int = 1000) -> tuple[float, ...]:
-    """Shares of name levels among all pairs of a sample of `rows` names, those whose id hashes lowest: at most rows ** 2 / 2
-    pairs, a fixed number however large the input is."""
-    picked = prep.where(F.col("name_norm").isNotNull()).orderBy(F.xxhash64("record_id"), "record_id").limit(rows)
-    left, right = _sides(picked.withColumn("one", F.lit(1)))
-    pairs = left.withColumn("one", F.lit(1)).join(right.withColumn("one", F.lit(1)), "one").where("record_id_l < record_id_r")
-    counts = dict(compare(pairs).groupBy("g_name").count().collect())
-    total = sum(counts.values()) or 1
-    return tuple(min(max(counts.get(g, 0) / total, FLOOR), 1 - FLOOR) for g in NAME_LEVELS)
+def u_name_levels(prep: DataFrame, max_pairs: int = 1_000_000, seed: int = 42) -> DataFrame:
+    """g_name, n_pairs, share: the levels of names in random pairs of all records with a name. With no more than max_pairs pairs
+    in all, every pair is counted, and the shares are exact."""
+    pairs = sampling.sample_pairs(prep.where(F.col("name_norm").isNotNull()).select("record_id", "name_norm"), max_pairs, seed)
+    none = F.lit(None).cast("string")
+    counted = compare(pairs.withColumns({f"{c}_{s}": none for c in ("host", "country_norm", "city_norm") for s in "lr"})).groupBy("g_name").agg(F.count("*").alias("n_pairs"))
+    return counted.select("g_name", "n_pairs", (F.col("n_pairs") / F.expr("sum(n_pairs) OVER ()")).alias("share"))  # four rows at most
+
+
+def u_name(prep: DataFrame, max_pairs: int = 1_000_000, seed: int = 42) -> tuple[float, ...]:
+    shares = {r.g_name: r.share for r in u_name_levels(prep, max_pairs, seed).collect()}
+    return tuple(min(max(shares.get(g, 0.0), FLOOR), 1 - FLOOR) for g in NAME_LEVELS)
+
+
+def _kept_priors(sums: list[float], prior: tuple[float, ...], seen: set[int]) -> list[float]:
+    """Shares of the levels seen; one that no pair shows says nothing of matches and keeps its prior, beside which the others
+    add up to 1."""
+    room = 1 - sum(p for g, p in enumerate(prior) if g not in seen)
+    return [min(max(room * x / sum(sums), FLOOR), 1 - FLOOR) if g in seen else prior[g] for g, x in enumerate(sums)]
 
 
 def em(patterns: list[tuple[tuple[int, ...], int]], model: Model, held_out: tuple[str, ...], lam: float, tolerance: float = 0.01, rounds: int = 25) -> tuple[dict[str, list[float]], float]:
@@ -183,6 +274,7 @@ def em(patterns: list[tuple[tuple[int, ...], int]], model: Model, held_out: tupl
     names = list(COMPARISONS)
     m = {c: list(model.m[c]) for c in names if c not in held_out}
     total = sum(n for _, n in patterns)
+    seen = {c: {levels[i] for levels, n in patterns if n and levels[i] >= 0} for i, c in enumerate(names) if c in m}
     for _ in range(rounds if total else 0):
         sums = {c: [0.0] * len(COMPARISONS[c]) for c in m}
         mass = 0.0
@@ -196,7 +288,7 @@ def em(patterns: list[tuple[tuple[int, ...], int]], model: Model, held_out: tupl
             for c, g in zip(names, levels, strict=True):
                 if c in m and g >= 0:
                     sums[c][g] += p
-        fresh = {c: [min(max(x / (sum(s) or 1), FLOOR), 1 - FLOOR) for x in s] if sum(s) else m[c] for c, s in sums.items()}
+        fresh = {c: _kept_priors(s, model.m[c], seen[c]) if sum(s) else m[c] for c, s in sums.items()}
         moved = max(abs(a - b) for c in m for a, b in zip(m[c], fresh[c], strict=True))
         m, lam = fresh, min(max(mass / total, FLOOR), 1 - FLOOR)
         if moved < tolerance:
@@ -216,23 +308,29 @@ def train(prep: DataFrame, recall: float = 0.6, denied: tuple[str, ...] = N.DENI
     clamp = lambda x: min(max(x, FLOOR), 1 - FLOOR)
     u = {c: (clamp(1 - x), clamp(x)) for c, x in u_exact(prep).collect()} | {"name": u_name(prep)}
     base = Model(lam, PRIORS.m, PRIORS.u | u)
-    left, right = _sides(prep)
-    same = (F.col("name_norm_l") == F.col("name_norm_r")) & (F.col("country_norm_l") == F.col("country_norm_r")) & (F.col("record_id_l") < F.col("record_id_r"))
+    distinct = Scratch(prep.sparkSession).keep(classes(prep))
+    blocks = (
+        (block_host(distinct, denied, more=("n",)), N.eligible_host(F.col("host"), denied), ("host",)),
+        (block_name_country(distinct, more=("n",)), F.col("name_norm").isNotNull() & F.col("country_norm").isNotNull(), ("name", "country")),
+    )
     found: dict[str, list[list[float]]] = {}
-    for pairs, held in ((block_host(prep, denied), ("host",)), (left.join(right, same), ("name", "country"))):
-        patterns = [(tuple(r[:-1]), r[-1]) for r in gamma_patterns(compare(pairs)).collect()]  # 135 rows at most
+    shown: set[tuple[str, int]] = set()
+    for pairs, inside, held in blocks:
+        patterns = [(tuple(r[:-1]), r[-1]) for r in class_patterns(distinct, pairs, inside).collect()]  # 135 rows at most
         if not patterns:
             continue
+        shown |= {(c, levels[i]) for levels, _ in patterns for i, c in enumerate(COMPARISONS) if c not in held}
         odds = lam * math.prod(base.m[c][-1] / base.u[c][-1] for c in held)
         for c, x in em(patterns, base, held, min(odds, 0.5))[0].items():
             found.setdefault(c, []).append(x)
     m = {c: tuple(sum(v) / len(v) for v in zip(*found[c], strict=True)) if c in found else base.m[c] for c in COMPARISONS}
-    return Model(lam, m, base.u, "em", tuple(c for c in COMPARISONS if c not in found))
+    unseen = tuple(f"{c}:{g}" for c, levels in COMPARISONS.items() for g in levels if (c, g) not in shown)
+    return Model(lam, m, base.u, "em", unseen)
 
 
 def parameters(model: Model, spark) -> DataFrame:
-    rows = [(c, level, model.m[c][level], model.u[c][level], model.weight(c, level), model.lam, model.mode) for c, levels in COMPARISONS.items() for level in levels]
-    return spark.createDataFrame(rows, "comparison string, level int, m double, u double, weight double, lam double, mode string")
+    rows = [(c, level, model.m[c][level], model.u[c][level], model.weight(c, level), model.lam, model.mode, model.mode == "em" and f"{c}:{level}" not in model.unseen) for c, levels in COMPARISONS.items() for level in levels]
+    return spark.createDataFrame(rows, "comparison string, level int, m double, u double, weight double, lam double, mode string, trained boolean")
 
 
 def score(compared: DataFrame, model: Model) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kinfold.functions import normalize as N
 
+# The columns whose missing values are profiled.
 PROFILED = ("name", "website", "handle", "city", "state", "country_code")
 
 
@@ -17,6 +18,8 @@ def blank(c: str) -> Column:
 def null_rates(df: DataFrame, columns: tuple[str, ...] = PROFILED) -> DataFrame:
     """column_name, null_rate: all columns in one pass; those that df lacks are left out."""
     have = [c for c in columns if c in df.columns]
+    if not have:
+        return df.sparkSession.createDataFrame([], "column_name string, null_rate double")
     rates = df.agg(*(F.avg(blank(c).cast("double")).alias(c) for c in have))
     return rates.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.round(F.col(c), 6).alias("null_rate")) for c in have))).alias("x")).select("x.*")
 
@@ -54,13 +57,22 @@ def local_keys() -> dict[str, Column]:
     return {"host": N.local_host(F.col("website")), "name": N.local_name(F.col("name")), "coarse": N.coarse_key(F.col("name"), F.col("country_code"))}
 
 
-def summary(df: DataFrame) -> DataFrame:
-    """The whole profile as (metric, value)."""
-    out = df.agg(F.lit("row_count").alias("metric"), F.count("*").cast("double").alias("value"))
-    out = out.unionByName(null_rates(df).select(F.concat(F.lit("null_rate_"), "column_name").alias("metric"), F.col("null_rate").alias("value")))
-    out = out.unionByName(exact_duplicates(df).select(F.lit("exact_duplicate_rows").alias("metric"), F.col("duplicate_rows").cast("double").alias("value")))
-    for name, key in local_keys().items():
-        stats = collision_stats(df, key)
-        for c in ("groups_ge_2", "records_in_groups_ge_2"):
-            out = out.unionByName(stats.select(F.lit(f"{name}_{c}").alias("metric"), F.col(c).cast("double").alias("value")))
-    return out
+def summary(df: DataFrame, key: str = "record_id") -> DataFrame:
+    """The whole profile as (metric, value), in one scan: each row gives a count for the table, one for each missing value, and
+    its keys, of which rows with equal values but for `key` are one. Keys are counted where they are read and once more
+    after one shuffle; the rest is sums over that. An empty table has no null rates."""
+    have = [c for c in PROFILED if c in df.columns]
+    rest = [c for c in df.columns if c != key]
+    entry = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+    # to_json leaves nulls out, so they differ from every text
+    kinds = {"row": F.lit(""), "same": F.sha2(F.to_json(F.struct(*rest)), 256), **local_keys(), **{f"null_rate_{c}": F.when(blank(c), "") for c in have}}
+    each = df.select(F.inline(F.array(*(entry(k, v) for k, v in kinds.items())))).where("value is not null")
+    n = F.col("n")
+    found = each.groupBy("kind", "value").agg(F.count("*").alias("n")).groupBy("kind").agg(F.sum("n").alias("n"), F.count_if(n >= 2).alias("groups"), F.coalesce(F.sum(F.when(n >= 2, n)), F.lit(0)).alias("records"))
+    # as many rows as there are kinds; every metric is told, those without rows too
+    of = lambda kind, c: F.coalesce(F.max(F.when(F.col("kind") == kind, F.col(c))), F.lit(0)).cast("double")
+    metrics = {"row_count": of("row", "n"), **{f"null_rate_{c}": F.round(of(f"null_rate_{c}", "n") / F.nullif(of("row", "n"), F.lit(0.0)), 6) for c in have}, "exact_duplicate_rows": of("same", "records")}
+    for name in local_keys():
+        metrics |= {f"{name}_groups_ge_2": of(name, "groups"), f"{name}_records_in_groups_ge_2": of(name, "records")}
+    wide = found.agg(*(v.alias(k) for k, v in metrics.items()))
+    return wide.select(F.inline(F.array(*(F.struct(F.lit(k).alias("metric"), F.col(k).alias("value")) for k in metrics))))

@@ -9,7 +9,9 @@ _DENIED = ", ".join(f"'{h}'" for h in (*DENIED_HOSTS, "cheap-pills.example.com")
 # DuckDB measures edit distance in bytes; with a letter of one byte for each accented one it counts characters.
 _PLAIN = "translate({}, 'éßçäóèñíêüö', 'ABCDEFGHIJK')"
 _LEV = f"levenshtein({_PLAIN.format('name_norm_l')}, {_PLAIN.format('name_norm_r')})"
+_NEAR = f"levenshtein({_PLAIN.format('l.name_norm')}, {_PLAIN.format('r.name_norm')})"
 _SHORT = "least(length(name_norm_l), length(name_norm_r))"
+_NAME_LEVEL = f"CASE WHEN name_norm_l IS NULL OR name_norm_r IS NULL THEN -1 WHEN name_norm_l = name_norm_r THEN 3 WHEN {_SHORT} >= 6 AND {_LEV} <= 1 THEN 2 WHEN {_SHORT} >= 8 AND {_LEV} <= 2 THEN 1 ELSE 0 END"
 _FORMS = "inc|llc|ltd|corp|gmbh|sa|ag"
 
 
@@ -121,6 +123,7 @@ SQL: dict[str, str] = {
     "part_collision_window": "SELECT p_name AS k1, p_brand AS k2, count(*) AS n FROM part WHERE p_name IS NOT NULL AND p_brand IS NOT NULL GROUP BY ALL HAVING count(*) BETWEEN 2 AND 10",
     "max_host_group": _with("eligible", "SELECT coalesce(max(n), 0) AS max_group FROM (SELECT count(*) AS n FROM eligible GROUP BY host)"),
     "hash_topk_sample": _with("rec", "SELECT record_id, name, website FROM rec ORDER BY sha256('42|' || record_id), record_id LIMIT 100"),
+    "threshold_sample": _with("rec", "SELECT record_id, name, website FROM (SELECT *, row_number() OVER (ORDER BY sha256('42|' || record_id), record_id) AS k, count(*) OVER () AS n FROM rec) WHERE k <= n // 2"),
     "enriched_sample": _with("filler", "SELECT record_id, name, website, country_code FROM picked UNION ALL SELECT record_id, name, website, country_code FROM filler"),
     "filler_antijoin": _with("filler", "SELECT record_id, name FROM filler"),
     "block_host": _with("by_host", "SELECT record_id_l, record_id_r FROM by_host"),
@@ -128,21 +131,28 @@ SQL: dict[str, str] = {
     "block_dedup_union": _with("pairs", "SELECT record_id_l, record_id_r, match_key FROM pairs"),
     "pair_counts_by_rule": _with("by_host by_prefix", "SELECT 'host' AS rule, count(*) AS n_pairs FROM by_host UNION ALL SELECT 'prefix_country', count(*) FROM by_prefix"),
     "deterministic_pairs": _with("sure", "SELECT record_id_l, record_id_r FROM sure"),
+    "near_host_names": _with("eligible", f"""SELECT host, l.name_norm AS name_l, r.name_norm AS name_r, l.n AS n_l, r.n AS n_r, {_NEAR} AS distance
+      FROM (SELECT host, name_norm, count(*) AS n FROM eligible GROUP BY ALL) l JOIN (SELECT host, name_norm, count(*) AS n FROM eligible GROUP BY ALL) r USING (host) WHERE l.name_norm < r.name_norm AND least(length(l.name_norm), length(r.name_norm)) >= 6 AND {_NEAR} <= 2"""),
+    "distinct_pair_counts": _with("pairs", "SELECT 'host' AS rule, count(*) AS n_pairs, count(*) AS n_new FROM by_host UNION ALL SELECT 'prefix_country', (SELECT count(*) FROM by_prefix), (SELECT count(*) FROM pairs WHERE match_key = 'prefix_country')"),
     "lambda_estimate": _with("sure", "SELECT n_records, n_pairs, round(n_pairs / 0.6::DOUBLE / (n_records::DOUBLE * (n_records - 1) / 2), 9) AS lam FROM (SELECT (SELECT count(*) FROM prep) AS n_records, (SELECT count(*) FROM sure) AS n_pairs)"),
     "u_exact": _with("prep", " UNION ALL ".join(_u(*x) for x in (("host", "host"), ("country", "country_norm"), ("city", "city_norm")))),
+    # as exact shares: at these sizes all pairs are fewer than the operator's 1,000,000
+    "u_name_levels": _with("prep", f"""SELECT g_name, n_pairs, round(n_pairs / sum(n_pairs) OVER (), 9) AS share FROM (SELECT g_name, count(*) AS n_pairs FROM (SELECT {_NAME_LEVEL} AS g_name
+      FROM (SELECT l.name_norm AS name_norm_l, r.name_norm AS name_norm_r FROM prep l JOIN prep r ON l.record_id < r.record_id WHERE l.name_norm IS NOT NULL AND r.name_norm IS NOT NULL)) GROUP BY 1)"""),
     "comparison_vectors": _with("compared", "SELECT record_id_l, record_id_r, g_name, g_host, g_country, g_city FROM compared"),
     "gamma_patterns": _with("compared", "SELECT g_name, g_host, g_country, g_city, count(*) AS n FROM compared GROUP BY ALL"),
+    "class_patterns": _with("compared", "SELECT g_name, g_host, g_country, g_city, count(*) AS n FROM compared GROUP BY ALL"),
     "score_pairs_fixed": _with("scored", f"SELECT record_id_l, record_id_r, {_ROUND}, disposition FROM scored"),
     "disposition_histogram": _with("scored", "SELECT count(*) FILTER (WHERE p < 0.2) AS p_lt_02, count(*) FILTER (WHERE p >= 0.2 AND p < 0.5) AS p_02_05, count(*) FILTER (WHERE p >= 0.5 AND p < 0.9) AS p_05_09, count(*) FILTER (WHERE p >= 0.9) AS p_ge_09, count(*) AS n_pairs, round(min(p), 6) AS min_p, round(max(p), 6) AS max_p FROM scored"),
     "review_queue": _with("scored", "SELECT record_id_l, record_id_r, round(p, 6) AS match_probability FROM scored WHERE disposition = 'review'"),
     "golden_entities": _with("golden", "SELECT record_id, golden_entity_id FROM golden"),
     "cluster_stats": _with("golden", "SELECT count(*) AS cluster_n, count(*) FILTER (WHERE n = 1) AS singleton_n, coalesce(max(n), 0) AS max_size FROM (SELECT count(*) AS n FROM golden GROUP BY golden_entity_id)"),
-    "cluster_review": _with("golden", f"SELECT golden_entity_id, record_id, cluster_size, {_hash('name')} AS name, {_hash('website')} AS website FROM (SELECT g.golden_entity_id, g.record_id, count(*) OVER (PARTITION BY golden_entity_id) AS cluster_size, name, website FROM golden g JOIN rec USING (record_id)) WHERE cluster_size >= 2 ORDER BY cluster_size DESC, golden_entity_id, record_id LIMIT 100"),
+    "cluster_review": _with("golden", f"SELECT golden_entity_id, cluster_size, record_id, {_hash('name_norm')} AS name_hash, {_hash('host')} AS host_hash, country_norm FROM (SELECT g.golden_entity_id, g.record_id, count(*) OVER (PARTITION BY golden_entity_id) AS cluster_size, name_norm, host, country_norm FROM golden g JOIN prep USING (record_id)) WHERE cluster_size >= 2 ORDER BY cluster_size DESC, golden_entity_id, record_id LIMIT 100"),
     "representatives": _with("reps", "SELECT golden_entity_id, record_id, name_norm, host, country_norm FROM reps"),
     "host_parent": _with("reps", "SELECT golden_entity_id, host_parent_id FROM reps"),
     "name_prefix_parent": _with("named", "SELECT golden_entity_id, name_parent_id FROM named"),
     "hierarchy": _with("tree", "SELECT record_id, golden_entity_id, ultimate_parent_id FROM tree"),
-    "parent_review": _with("tree", f"SELECT {_hash('ultimate_parent_id')} AS ultimate_parent_id, golden_entity_id, n_golden FROM (SELECT *, count(*) OVER (PARTITION BY ultimate_parent_id) AS n_golden FROM (SELECT DISTINCT golden_entity_id, ultimate_parent_id FROM tree)) t WHERE n_golden >= 2 ORDER BY n_golden DESC, t.ultimate_parent_id, golden_entity_id LIMIT 50"),
+    "parent_review": _with("tree", f"SELECT ultimate_parent_id, parent_size, golden_entity_id, country_norm, {_hash('name_norm')} AS name_hash, {_hash('host')} AS host_hash FROM (SELECT *, count(*) OVER (PARTITION BY ultimate_parent_id) AS parent_size FROM (SELECT DISTINCT golden_entity_id, ultimate_parent_id FROM tree)) t JOIN reps USING (golden_entity_id) WHERE parent_size >= 2 ORDER BY parent_size DESC, ultimate_parent_id, golden_entity_id LIMIT 50"),
     "funnel": _with("tree", "SELECT *, round(1 - goldens / records, 6) AS record_to_golden, round(1 - parents / goldens, 6) AS golden_to_parent, round(1 - parents / records, 6) AS record_to_parent FROM (SELECT count(*) AS records, count(DISTINCT golden_entity_id) AS goldens, count(DISTINCT ultimate_parent_id) AS parents FROM tree)"),
     "verify_hierarchy": _with(
         "tree",

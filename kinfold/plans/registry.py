@@ -15,7 +15,7 @@ from kinfold.operators import sampling as S
 from kinfold.scratch import Scratch
 from kinfold.sources.companies import company_records
 
-#: The denied hosts and the one host of the fixture that many records share.
+#: The denied hosts, of which the pages have none, and one of the pages' hosts, so that there is something to deny.
 DENIED = (*N.DENIED_HOSTS, "cheap-pills.example.com")
 TARGETS = {"host_target": 40, "name_target": 20, "filler": 30}
 
@@ -24,8 +24,13 @@ def _prep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.prepare(company_records(spark, sf_dir))
 
 
+def _kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prepared records as a written table: blocks are counted before they are joined."""
+    return Scratch(spark).keep(_prep(spark, sf_dir))
+
+
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.score(M.compare(M.candidate_pairs(_prep(spark, sf_dir), DENIED)), M.FIXED)
+    return M.score(M.compare(M.candidate_pairs(_kept(spark, sf_dir), DENIED)), M.FIXED)
 
 
 def _golden(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,8 +55,8 @@ def _local(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = company_records(spark, sf_dir)
-    return M.prepare(r).join(r.select("record_id", N.name_norm_ingest(F.col("name")).alias("name_norm_ingest"), N.host_parent_id(N.host(F.col("website")), DENIED).alias("host_parent_id")), "record_id").drop("name", "website", "city", "country_code")
+    prep = _prep(spark, sf_dir)
+    return prep.withColumns({"name_norm_ingest": N.name_norm_ingest(F.col("name")), "host_parent_id": N.host_parent_id(F.col("host"), DENIED)}).drop("name", "website", "city", "country_code")
 
 
 def _masked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,6 +96,15 @@ def _filler(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.filler_rows(r, picked, TARGETS["filler"])
 
 
+def _parent_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    golden, prep = Scratch(spark).keep(_golden(spark, sf_dir)), _prep(spark, sf_dir)
+    return E.parent_review(E.hierarchy(golden, prep, DENIED), E.representatives(golden, prep))
+
+
+def _patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.pattern_counts(Scratch(spark).keep(M.classes(_prep(spark, sf_dir))), DENIED)
+
+
 def _verified(spark: SparkSession, sf_dir: str) -> DataFrame:
     golden = Scratch(spark).keep(_golden(spark, sf_dir))
     return E.verify(company_records(spark, sf_dir), golden, E.hierarchy(golden, _prep(spark, sf_dir), DENIED))
@@ -119,29 +133,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "part_collision_window": _part_groups,
     "max_host_group": lambda s, d: M.max_host_group(_prep(s, d), DENIED),
     "hash_topk_sample": lambda s, d: S.hash_sample(company_records(s, d), 100).select("record_id", "name", "website"),
+    "threshold_sample": lambda s, d: S.threshold_sample(company_records(s, d), 0.5).select("record_id", "name", "website"),
     "enriched_sample": lambda s, d: S.enriched_sample(company_records(s, d), **TARGETS, denied=DENIED).select("record_id", "name", "website", "country_code"),
     "filler_antijoin": lambda s, d: _filler(s, d).select("record_id", "name"),
-    "block_host": lambda s, d: _ids(M.block_host(_prep(s, d), DENIED)),
-    "block_prefix_country": lambda s, d: _ids(M.block_prefix_country(_prep(s, d))),
-    "block_dedup_union": lambda s, d: _ids(M.candidate_pairs(_prep(s, d), DENIED), "match_key"),
+    "block_host": lambda s, d: _ids(M.block_host(_kept(s, d), DENIED)),
+    "block_prefix_country": lambda s, d: _ids(M.block_prefix_country(_kept(s, d))),
+    "block_dedup_union": lambda s, d: _ids(M.candidate_pairs(_kept(s, d), DENIED), "match_key"),
     "pair_counts_by_rule": lambda s, d: M.pair_counts(_prep(s, d), DENIED),
-    "deterministic_pairs": lambda s, d: M.deterministic_pairs(_prep(s, d), DENIED),
-    "lambda_estimate": lambda s, d: M.lambda_estimate(_prep(s, d), denied=DENIED).withColumn("lam", F.round("lam", 9)),
+    "deterministic_pairs": lambda s, d: M.deterministic_pairs(_kept(s, d), DENIED),
+    "near_host_names": lambda s, d: M.near_host_names(_kept(s, d), DENIED),
+    "distinct_pair_counts": lambda s, d: M.distinct_pair_counts(_prep(s, d), DENIED),
+    "lambda_estimate": lambda s, d: M.lambda_estimate(_kept(s, d), denied=DENIED).withColumn("lam", F.round("lam", 9)),
     "u_exact": lambda s, d: M.u_exact(_prep(s, d)).withColumn("u", F.round("u", 9)),
-    "comparison_vectors": lambda s, d: _ids(M.compare(M.candidate_pairs(_prep(s, d), DENIED)), *M.GAMMAS),
-    "gamma_patterns": lambda s, d: M.gamma_patterns(M.compare(M.candidate_pairs(_prep(s, d), DENIED))),
+    "u_name_levels": lambda s, d: M.u_name_levels(_kept(s, d)).withColumn("share", F.round("share", 9)),
+    "comparison_vectors": lambda s, d: _ids(M.compare(M.candidate_pairs(_kept(s, d), DENIED)), *M.GAMMAS),
+    "gamma_patterns": lambda s, d: M.gamma_patterns(M.compare(M.candidate_pairs(_kept(s, d), DENIED))),
+    "class_patterns": _patterns,
     "score_pairs_fixed": lambda s, d: _ids(_scored(s, d), F.round("match_weight", 6).alias("match_weight"), F.round("match_probability", 6).alias("match_probability"), "disposition"),
     "disposition_histogram": lambda s, d: M.histogram(_scored(s, d)),
     "review_queue": lambda s, d: _ids(_scored(s, d).where("disposition = 'review'"), F.round("match_probability", 6).alias("match_probability")),
-    "em_parameters": lambda s, d: M.parameters(M.train(_prep(s, d), denied=DENIED), s),
+    "em_parameters": lambda s, d: M.parameters(M.train(_kept(s, d), denied=DENIED), s),
     "golden_entities": _golden,
     "cluster_stats": lambda s, d: E.cluster_stats(_golden(s, d)),
-    "cluster_review": lambda s, d: E.cluster_review(_golden(s, d), company_records(s, d)),
+    "cluster_review": lambda s, d: E.cluster_review(_golden(s, d), _prep(s, d)),
     "representatives": lambda s, d: E.representatives(_golden(s, d), _prep(s, d)),
     "host_parent": lambda s, d: _reps(s, d).select("golden_entity_id", "host_parent_id"),
     "name_prefix_parent": lambda s, d: E.name_parents(_reps(s, d)),
     "hierarchy": _tree,
-    "parent_review": lambda s, d: E.parent_review(_tree(s, d)),
+    "parent_review": lambda s, d: _parent_review(s, d),
     "funnel": lambda s, d: E.funnel(_tree(s, d)),
     "verify_hierarchy": _verified,
     "id_set_mismatch": _mismatch,

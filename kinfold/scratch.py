@@ -7,7 +7,7 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _OWN: dict[str, str] = {}
 
@@ -55,6 +55,12 @@ class Scratch:
         out._kept_at = path  # the handle that drop() takes goes with the frame itself
         return out
 
+    def keep_counted(self, df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
+        """As keep(), and aggregates that are taken while the rows are written: no read-back, no second pass."""
+        seen = Observation()
+        out = self.keep(df.observe(seen, *(m.alias(name) for name, m in metrics.items())))
+        return out, seen.get
+
     def drop(self, *frames: DataFrame) -> None:
         """Frames that keep() returned; others have no table and are passed over."""
         for df in frames:

@@ -24,11 +24,13 @@ def require(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
 def _with_header(spark: SparkSession, path: str, **options) -> DataFrame:
     header = spark.read.option("header", True).options(**options).csv(path).limit(0)
     require(header, SOURCE_COLUMNS)
-    return spark.read.schema(header.schema).option("header", True).options(**options).csv(path).select(*SOURCE_COLUMNS)
+    kept = COLUMNS if "record_id" in header.columns else SOURCE_COLUMNS
+    return spark.read.schema(header.schema).option("header", True).options(**options).csv(path).select(*kept)
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Header, no inference, the ten columns in order; a gzip file is one task, so repartition before heavy work."""
+    """Header, no inference, the ten columns in order, after record_id if the file has one; a gzip file is one task, so
+    repartition before heavy work."""
     return _with_header(spark, path)
 
 
@@ -38,7 +40,10 @@ def read_local_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_record_ids(df: DataFrame, key: str = "handle") -> DataFrame:
-    """Stable ids, from the hash of all columns and a count within equal rows: the same for any partitioning."""
+    """Stable ids, from the hash of all columns and a count within equal rows: the same for any partitioning. A table that has
+    ids keeps them."""
+    if "record_id" in df.columns:
+        return df
     columns = [F.coalesce(F.col(c), F.lit("\0")) for c in df.columns]
     digest = F.substring(F.sha2(F.concat_ws("\1", F.col(key), *columns), 256), 1, 24)
     counted = df.groupBy(*df.columns).agg(F.count("*").alias("_n"))
