@@ -15,7 +15,7 @@ def connected_components(edges: DataFrame, scratch: Scratch | None = None, src:
 
     In each round nodes are put in a new random order, by a hash, and each one moves to the first of itself and its
     neighbours. Edges are written anew between the nodes moved to, without loops and repeats, so that both nodes and edges
-    become fewer by a constant factor, chains and stars alike. At the end the moves are followed backwards from the last round,
+    become fewer by a constant factor on average, chains and stars alike. At the end the moves are followed backwards from the last round,
     and each component takes its smallest node. A node's neighbours are aggregated before they are sent, and every join has
     one row for a key on one side, so Spark can split a hot one on the other. Each round is a written table.
 
