@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.functions import normalize as N
-from kinfold.operators import sampling
+from kinfold.operators import patterns, sampling
 from kinfold.operators.blocking import TILE, self_pairs
 from kinfold.operators.near_names import near_names
 from kinfold.scratch import Scratch
@@ -175,15 +175,15 @@ def deterministic_count(prep: DataFrame, denied: tuple[str, ...] = N.DENIED_HOST
 
 
 def distinct_pair_counts(prep: DataFrame, denied: tuple[str, ...] = N.DENIED_HOSTS) -> DataFrame:
-    """rule, n_pairs (of the rule), n_new (that no rule before has): candidate_pairs counted without making one. Records are
-    counted by host, prefix and country once; both rules, and what they share, are sums over that."""
-    eligible = F.when(N.eligible_host(F.col("host"), denied), F.col("host"))
+    """rule, n_pairs (of the rule), n_new (that no rule before has): candidate_pairs counted without making one, in one pass.
+    Records are counted by host, prefix and country; blocks of either rule, and what both have, are sums over that."""
+    eligible, none = F.when(N.eligible_host(F.col("host"), denied), F.col("host")), F.lit(None).cast("string")
     fine = prep.groupBy(eligible.alias("host"), "name_prefix", "country_norm").agg(F.count("*").alias("n"))
-    prefixed = F.col("name_prefix").isNotNull() & F.col("country_norm").isNotNull()
-    hosts = fine.where("host is not null").groupBy("host").agg(F.sum("n").alias("n")).agg(F.sum(_pairs_of("n")).alias("n")).select(F.lit("host").alias("rule"), "n")
-    prefixes = fine.where(prefixed).groupBy("name_prefix", "country_norm").agg(F.sum("n").alias("n")).agg(F.sum(_pairs_of("n")).alias("n")).select(F.lit("prefix_country").alias("rule"), "n")
-    both = fine.where(prefixed & F.col("host").isNotNull()).agg(F.sum(_pairs_of("n")).alias("n")).select(F.lit("both").alias("rule"), "n")
-    wide = hosts.unionByName(prefixes).unionByName(both).agg(*(F.coalesce(F.sum(F.when(F.col("rule") == r, F.col("n"))), F.lit(0)).alias(r) for r in ("host", "prefix_country", "both")))
+    hosted, prefixed = F.col("host").isNotNull(), F.col("name_prefix").isNotNull() & F.col("country_norm").isNotNull()
+    block = lambda rule, fits, *keys: F.when(fits, F.struct(F.lit(rule).alias("rule"), *((F.col(c) if c in keys else none).alias(c) for c in ("host", "name_prefix", "country_norm"))))
+    blocks = F.array(block("host", hosted, "host"), block("prefix_country", prefixed, "name_prefix", "country_norm"), block("both", hosted & prefixed, "host", "name_prefix", "country_norm"))
+    sizes = fine.select("n", F.inline(F.array_compact(blocks))).groupBy("rule", "host", "name_prefix", "country_norm").agg(F.sum("n").alias("n"))
+    wide = sizes.agg(*(F.coalesce(F.sum(F.when(F.col("rule") == r, _pairs_of("n"))), F.lit(0)).alias(r) for r in ("host", "prefix_country", "both")))
     row = lambda rule, new: F.struct(F.lit(rule).alias("rule"), F.col(rule).alias("n_pairs"), new.alias("n_new"))
     return wide.select(F.inline(F.array(row("host", F.col("host")), row("prefix_country", F.col("prefix_country") - F.col("both")))))
 
@@ -217,18 +217,10 @@ def classes(prep: DataFrame) -> DataFrame:
     return prep.groupBy(*CLASS_COLUMNS).agg(F.min("record_id").alias("record_id"), F.count("*").alias("n"))
 
 
-def class_patterns(distinct: DataFrame, pairs: DataFrame, inside: Column) -> DataFrame:
-    """Level patterns with their numbers of record pairs, from pairs of classes (with n_l and n_r) and from the pairs within each
-    class for which `inside` holds."""
-    alone = distinct.where(inside & (F.col("n") >= 2)).select(*(F.col(c).alias(f"{c}_{s}") for c in CLASS_COLUMNS for s in "lr"), _pairs_of("n").alias("w"))
-    weighed = compare(pairs).select(*GAMMAS, F.expr("n_l * n_r").alias("w")).unionByName(compare(alone).select(*GAMMAS, "w"))
-    return weighed.groupBy(*GAMMAS).agg(F.sum("w").alias("n"))
-
-
 def pattern_counts(distinct: DataFrame, denied: tuple[str, ...] = N.DENIED_HOSTS, tile: int = TILE) -> DataFrame:
-    """gamma_patterns of all candidate pairs; `distinct`, the classes, is read more than once."""
-    blocked = N.eligible_host(F.col("host"), denied) | (F.col("name_prefix").isNotNull() & F.col("country_norm").isNotNull())
-    return class_patterns(distinct, candidate_pairs(distinct, denied, tile, ("n",)), blocked)
+    """gamma_patterns of all candidate pairs, of which none is made; `distinct`, the classes, is read more than once."""
+    rows = [(*pattern, n) for pattern, n in patterns.candidate_patterns(distinct, denied, tile).items()]
+    return distinct.sparkSession.createDataFrame(rows, ", ".join(f"{g} int" for g in GAMMAS) + ", n long")
 
 
 def lambda_estimate(prep: DataFrame, recall: float = 0.6, denied: tuple[str, ...] = N.DENIED_HOSTS) -> DataFrame:
@@ -269,16 +261,16 @@ def _kept_priors(sums: list[float], prior: tuple[float, ...], seen: set[int]) ->
     return [min(max(room * x / sum(sums), FLOOR), 1 - FLOOR) if g in seen else prior[g] for g, x in enumerate(sums)]
 
 
-def em(patterns: list[tuple[tuple[int, ...], int]], model: Model, held_out: tuple[str, ...], lam: float, tolerance: float = 0.01, rounds: int = 25) -> tuple[dict[str, list[float]], float]:
+def em(counted: list[tuple[tuple[int, ...], int]], model: Model, held_out: tuple[str, ...], lam: float, tolerance: float = 0.01, rounds: int = 25) -> tuple[dict[str, list[float]], float]:
     """m of the comparisons not held out, from counts of level patterns (a few dozen rows, whatever the pairs)."""
     names = list(COMPARISONS)
     m = {c: list(model.m[c]) for c in names if c not in held_out}
-    total = sum(n for _, n in patterns)
-    seen = {c: {levels[i] for levels, n in patterns if n and levels[i] >= 0} for i, c in enumerate(names) if c in m}
+    total = sum(n for _, n in counted)
+    seen = {c: {levels[i] for levels, n in counted if n and levels[i] >= 0} for i, c in enumerate(names) if c in m}
     for _ in range(rounds if total else 0):
         sums = {c: [0.0] * len(COMPARISONS[c]) for c in m}
         mass = 0.0
-        for levels, n in patterns:
+        for levels, n in counted:
             yes, no = lam, 1 - lam
             for c, g in zip(names, levels, strict=True):
                 if c in m and g >= 0:
@@ -309,19 +301,15 @@ def train(prep: DataFrame, recall: float = 0.6, denied: tuple[str, ...] = N.DENI
     u = {c: (clamp(1 - x), clamp(x)) for c, x in u_exact(prep).collect()} | {"name": u_name(prep)}
     base = Model(lam, PRIORS.m, PRIORS.u | u)
     distinct = Scratch(prep.sparkSession).keep(classes(prep))
-    blocks = (
-        (block_host(distinct, denied, more=("n",)), N.eligible_host(F.col("host"), denied), ("host",)),
-        (block_name_country(distinct, more=("n",)), F.col("name_norm").isNotNull() & F.col("country_norm").isNotNull(), ("name", "country")),
-    )
+    sessions = ((patterns.host_patterns(distinct, denied), ("host",)), (patterns.block_patterns(distinct, ("name_norm", "country_norm")), ("name", "country")))
     found: dict[str, list[list[float]]] = {}
     shown: set[tuple[str, int]] = set()
-    for pairs, inside, held in blocks:
-        patterns = [(tuple(r[:-1]), r[-1]) for r in class_patterns(distinct, pairs, inside).collect()]  # 135 rows at most
-        if not patterns:
+    for counted, held in sessions:
+        if not counted:
             continue
-        shown |= {(c, levels[i]) for levels, _ in patterns for i, c in enumerate(COMPARISONS) if c not in held}
+        shown |= {(c, levels[i]) for levels in counted for i, c in enumerate(COMPARISONS) if c not in held}
         odds = lam * math.prod(base.m[c][-1] / base.u[c][-1] for c in held)
-        for c, x in em(patterns, base, held, min(odds, 0.5))[0].items():
+        for c, x in em(sorted(counted.items()), base, held, min(odds, 0.5))[0].items():
             found.setdefault(c, []).append(x)
     m = {c: tuple(sum(v) / len(v) for v in zip(*found[c], strict=True)) if c in found else base.m[c] for c in COMPARISONS}
     unseen = tuple(f"{c}:{g}" for c, levels in COMPARISONS.items() for g in levels if (c, g) not in shown)
@@ -346,6 +334,8 @@ def score(compared: DataFrame, model: Model) -> DataFrame:
     return compared.withColumn("match_weight", total).withColumn("match_probability", p).withColumn("disposition", kind)
 
 
-def histogram(scored: DataFrame) -> DataFrame:
-    p = F.col("match_probability")
-    return scored.agg(F.count_if(p < NON_MATCH).alias("p_lt_02"), F.count_if((p >= NON_MATCH) & (p < REVIEW)).alias("p_02_05"), F.count_if((p >= REVIEW) & (p < MATCH)).alias("p_05_09"), F.count_if(p >= MATCH).alias("p_ge_09"), F.count("*").alias("n_pairs"), F.round(F.min(p), 6).alias("min_p"), F.round(F.max(p), 6).alias("max_p"))
+def histogram(scored: DataFrame, weight: Column | None = None) -> DataFrame:
+    """Pairs by probability; with a weight, each row stands for so many pairs."""
+    p, n = F.col("match_probability"), F.lit(1).cast("long") if weight is None else weight
+    count = lambda fits: F.coalesce(F.sum(F.when(fits, n)), F.lit(0))
+    return scored.agg(count(p < NON_MATCH).alias("p_lt_02"), count((p >= NON_MATCH) & (p < REVIEW)).alias("p_02_05"), count((p >= REVIEW) & (p < MATCH)).alias("p_05_09"), count(p >= MATCH).alias("p_ge_09"), count(F.lit(True)).alias("n_pairs"), F.round(F.min(p), 6).alias("min_p"), F.round(F.max(p), 6).alias("max_p"))

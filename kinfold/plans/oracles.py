@@ -144,6 +144,7 @@ SQL: dict[str, str] = {
     "class_patterns": _with("compared", "SELECT g_name, g_host, g_country, g_city, count(*) AS n FROM compared GROUP BY ALL"),
     "score_pairs_fixed": _with("scored", f"SELECT record_id_l, record_id_r, {_ROUND}, disposition FROM scored"),
     "disposition_histogram": _with("scored", "SELECT count(*) FILTER (WHERE p < 0.2) AS p_lt_02, count(*) FILTER (WHERE p >= 0.2 AND p < 0.5) AS p_02_05, count(*) FILTER (WHERE p >= 0.5 AND p < 0.9) AS p_05_09, count(*) FILTER (WHERE p >= 0.9) AS p_ge_09, count(*) AS n_pairs, round(min(p), 6) AS min_p, round(max(p), 6) AS max_p FROM scored"),
+    "pattern_histogram": _with("scored", "SELECT count(*) FILTER (WHERE p < 0.2) AS p_lt_02, count(*) FILTER (WHERE p >= 0.2 AND p < 0.5) AS p_02_05, count(*) FILTER (WHERE p >= 0.5 AND p < 0.9) AS p_05_09, count(*) FILTER (WHERE p >= 0.9) AS p_ge_09, count(*) AS n_pairs, round(min(p), 6) AS min_p, round(max(p), 6) AS max_p FROM scored"),
     "review_queue": _with("scored", "SELECT record_id_l, record_id_r, round(p, 6) AS match_probability FROM scored WHERE disposition = 'review'"),
     "golden_entities": _with("golden", "SELECT record_id, golden_entity_id FROM golden"),
     "cluster_stats": _with("golden", "SELECT count(*) AS cluster_n, count(*) FILTER (WHERE n = 1) AS singleton_n, coalesce(max(n), 0) AS max_size FROM (SELECT count(*) AS n FROM golden GROUP BY golden_entity_id)"),

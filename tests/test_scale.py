@@ -9,7 +9,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from kinfold.operators import blocking, entities, matching, near_names, quality, sampling
+from kinfold.operators import blocking, entities, matching, near_names, patterns, quality, sampling
 from kinfold.operators.components import connected_components
 from kinfold.plans import registry
 from kinfold.scratch import Scratch
@@ -126,8 +126,11 @@ def test_counts_of_pairs_without_pairs(prep):
 
 def test_patterns_from_classes(spark, prep):
     distinct = Scratch(spark).keep(matching.classes(prep))
-    assert distinct.count() < prep.count()
+    assert distinct.count() < prep.count() and matching.pattern_counts(distinct.limit(0)).count() == 0
+    assert patterns.block_patterns(distinct, ("name_norm", "country_norm")) == {tuple(r[:4]): r.n for r in matching.gamma_patterns(matching.compare(matching.block_name_country(prep))).collect()}
     want = {tuple(r[:4]): r.n for r in matching.gamma_patterns(matching.compare(matching.candidate_pairs(prep))).collect()}
+    denied = {tuple(r[:4]): r.n for r in matching.gamma_patterns(matching.compare(matching.candidate_pairs(prep, ("hot.com",)))).collect()}
+    assert {tuple(r[:4]): r.n for r in matching.pattern_counts(distinct, ("hot.com",)).collect()} == denied != want
     for tile in (3, blocking.TILE):
         assert {tuple(r[:4]): r.n for r in matching.pattern_counts(distinct, tile=tile).collect()} == want
 
