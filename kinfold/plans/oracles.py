@@ -147,6 +147,7 @@ SQL: dict[str, str] = {
     "pattern_histogram": _with("scored", "SELECT count(*) FILTER (WHERE p < 0.2) AS p_lt_02, count(*) FILTER (WHERE p >= 0.2 AND p < 0.5) AS p_02_05, count(*) FILTER (WHERE p >= 0.5 AND p < 0.9) AS p_05_09, count(*) FILTER (WHERE p >= 0.9) AS p_ge_09, count(*) AS n_pairs, round(min(p), 6) AS min_p, round(max(p), 6) AS max_p FROM scored"),
     "review_queue": _with("scored", "SELECT record_id_l, record_id_r, round(p, 6) AS match_probability FROM scored WHERE disposition = 'review'"),
     "golden_entities": _with("golden", "SELECT record_id, golden_entity_id FROM golden"),
+    "incremental_golden": _with("golden", "SELECT record_id, golden_entity_id FROM golden"),
     "cluster_stats": _with("golden", "SELECT count(*) AS cluster_n, count(*) FILTER (WHERE n = 1) AS singleton_n, coalesce(max(n), 0) AS max_size FROM (SELECT count(*) AS n FROM golden GROUP BY golden_entity_id)"),
     "cluster_review": _with("golden", f"SELECT golden_entity_id, cluster_size, record_id, {_hash('name_norm')} AS name_hash, {_hash('host')} AS host_hash, country_norm FROM (SELECT g.golden_entity_id, g.record_id, count(*) OVER (PARTITION BY golden_entity_id) AS cluster_size, name_norm, host, country_norm FROM golden g JOIN prep USING (record_id)) WHERE cluster_size >= 2 ORDER BY cluster_size DESC, golden_entity_id, record_id LIMIT 100"),
     "representatives": _with("reps", "SELECT golden_entity_id, record_id, name_norm, host, country_norm FROM reps"),
@@ -164,4 +165,11 @@ SQL: dict[str, str] = {
         + "".join(f" UNION ALL SELECT '{n}_same_ids', count(*) = 0, count(*) FROM (SELECT record_id FROM {a} EXCEPT SELECT record_id FROM {b} UNION ALL (SELECT record_id FROM {b} EXCEPT SELECT record_id FROM {a}))" for n, a, b in (("source_golden", "rec", "golden"), ("golden_hierarchy", "golden", "tree"))),
     ),
     "id_set_mismatch": _with("rec", "SELECT record_id, 'left' AS only_in FROM (SELECT record_id FROM rec WHERE website IS NOT NULL EXCEPT SELECT record_id FROM rec WHERE country_code IS NOT NULL) UNION ALL SELECT record_id, 'right' FROM (SELECT record_id FROM rec WHERE country_code IS NOT NULL EXCEPT SELECT record_id FROM rec WHERE website IS NOT NULL)"),
+    "asof_join": """WITH bought AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase')
+      SELECT event_id, (SELECT v.event_id FROM events v WHERE v.event_type = 'view' AND v.user_id = b.user_id AND v.ts <= b.ts ORDER BY v.ts DESC, v.event_id DESC LIMIT 1) AS view_id,
+        (SELECT o_orderkey FROM orders WHERE o_custkey = b.user_id AND o_orderdate <= b.ts ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1) AS o_orderkey FROM bought b""",
+    "interval_join": "SELECT e.user_id, x.event_id AS error_id, e.event_id FROM events x JOIN events e ON e.user_id = x.user_id AND e.ts > x.ts AND e.ts < x.ts + INTERVAL 1 DAY WHERE x.event_type = 'error'",
+    "event_sessions": """SELECT user_id, min(ts) AS session_start, max(ts) AS session_end, count(*) AS n_events, round(sum(value), 6) AS total_value
+      FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL))
+      GROUP BY user_id, island""",
 }

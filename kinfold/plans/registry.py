@@ -12,8 +12,10 @@ from kinfold.operators import entities as E
 from kinfold.operators import matching as M
 from kinfold.operators import quality as Q
 from kinfold.operators import sampling as S
+from kinfold.operators import temporal
 from kinfold.scratch import Scratch
-from kinfold.sources.companies import company_records
+from kinfold.sources.companies import company_records, records_of_pages
+from kinfold.streaming import incremental, sessions
 
 #: The denied hosts, of which the pages have none, and one of the pages' hosts, so that there is something to deny.
 DENIED = (*N.DENIED_HOSTS, "cheap-pills.example.com")
@@ -115,6 +117,35 @@ def _mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.id_set_mismatch(r.where(F.col("website").isNotNull()), r.where(F.col("country_code").isNotNull()))
 
 
+def _incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages arrive in three parts."""
+    feed = f"{Scratch(spark).root}/feed"
+    spark.read.parquet(f"{sf_dir}/pages.parquet").repartition(3, "page_id").write.parquet(feed)
+    return incremental.run(spark, feed, records_of_pages, M.FIXED, denied=DENIED).golden()
+
+
+def _asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each purchase with the user's last view before it, and each event's last order of the customer with its user's number."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("user_id"), "o_orderdate", "o_orderkey")
+    views = events.where("event_type = 'view'").select("user_id", F.col("ts").alias("view_ts"), F.col("event_id").alias("view_id"))
+    bought = events.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    seen = temporal.asof_join(bought, views, "user_id", "ts", "view_ts", ("view_id",))
+    return temporal.asof_join(seen, orders, "user_id", "ts", "o_orderdate", ("o_orderkey",)).select("event_id", "view_id", "o_orderkey")
+
+
+def _after_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event within a day after an error of the same user, the error itself not counted."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    spans = events.where("event_type = 'error'").select("user_id", F.col("event_id").alias("error_id"), F.expr("ts + interval 1 microsecond").alias("begins"), F.expr("ts + interval 1 day").alias("ends"))
+    return temporal.interval_join(events.select("user_id", "event_id", "ts"), spans, "user_id", "ts", "begins", "ends").select("user_id", "error_id", "event_id")
+
+
+def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sessions.run(spark, f"{sf_dir}/events.parquet")
+    return found.select("user_id", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("session_start", "session_end")), "n_events", F.round("total_value", 6).alias("total_value"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "company_records": company_records,
     "normalize_keys": _normalized,
@@ -155,6 +186,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "review_queue": lambda s, d: _ids(_scored(s, d).where("disposition = 'review'"), F.round("match_probability", 6).alias("match_probability")),
     "em_parameters": lambda s, d: M.parameters(M.train(_kept(s, d), denied=DENIED), s),
     "golden_entities": _golden,
+    "incremental_golden": _incremental,
     "cluster_stats": lambda s, d: E.cluster_stats(_golden(s, d)),
     "cluster_review": lambda s, d: E.cluster_review(_golden(s, d), _prep(s, d)),
     "representatives": lambda s, d: E.representatives(_golden(s, d), _prep(s, d)),
@@ -165,4 +197,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "funnel": lambda s, d: E.funnel(_tree(s, d)),
     "verify_hierarchy": _verified,
     "id_set_mismatch": _mismatch,
+    "asof_join": _asof,
+    "interval_join": _after_errors,
+    "event_sessions": _sessions,
 }

@@ -56,10 +56,15 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def company_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records derived from the table of web pages: name from the title, host from the url, some values made null, some
-    names cut or extended so that near names and name prefixes occur."""
+    """Records derived from the table of web pages."""
+    return records_of_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def records_of_pages(pages: DataFrame) -> DataFrame:
+    """Name from the title, host from the url, some values made null, some names cut or extended so that near names and name
+    prefixes occur."""
     page = F.col("page_id")
-    base = spark.read.parquet(f"{sf_dir}/pages.parquet").select(
+    base = pages.select(
         page,
         "url",
         F.regexp_extract("html", r"(?i)<title>([^<]*)</title>", 1).alias("title"),

@@ -107,6 +107,14 @@ def write_table(df: DataFrame, name: str, required: tuple[str, ...] = ()) -> Wri
     return out
 
 
+def stream_files(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
+    """A stream of the Parquet files of a folder, so many at a time; of a single file too, which Spark streams by its folder."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    status = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(place)
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files)
+    return reader.parquet(path) if status.isDirectory() else reader.option("pathGlobFilter", place.getName()).parquet(place.getParent().toString())
+
+
 def list_tables(spark: SparkSession, schema: str | None = None) -> list[str]:
     return sorted(t.name for t in spark.catalog.listTables(schema))
 
