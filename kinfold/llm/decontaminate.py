@@ -42,6 +42,8 @@ LEAST, MIN_WORDS, PART = 5, 13, 0.8
 MATCH, MISS = 1, -4
 #: Words of the benchmark that tasks hold at once; with windows some 100 bytes each.
 BLOCK_WORDS = 1_000_000
+#: Bytes that count as a word when blocks are sized, whatever stands between words.
+WORD_BYTES = 6
 BITS = 22
 #: Words that are compared at once.
 COMPARED = 1 << 20
@@ -139,12 +141,13 @@ def overlaps(words: Words, bench: Benchmark) -> list[tuple[int, int, int, int, i
 
 
 def _blocks(benchmark: DataFrame, item: str, text: str, block_words: int, min_words: int, part: float) -> Iterator[Benchmark]:
-    """The benchmark in blocks of about block_words words: one, if it's no larger."""
-    rough = benchmark.agg(F.sum(F.size(F.split(F.coalesce(text, F.lit("")), " ")))).first()[0] or 0
-    n = -(-rough // block_words)
+    """The benchmark in blocks of about block_words words, by the bytes of its texts: one, if it's no larger. Items are dealt
+    by id and text, so that items of one id are split too."""
+    size = benchmark.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    n = -(-size // (block_words * WORD_BYTES))
     for k in range(n):
         block = benchmark.select(F.col(item).alias("item"), F.coalesce(text, F.lit("")).alias("text"))
-        block = block.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k) if n > 1 else block
+        block = block.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) if n > 1 else block
         rows = sorted(block.collect(), key=lambda r: (str(r.item), r.text))
         words = []
         for _, _, data, offsets in chunks(pa.array([r.text for r in rows], pa.string())):

@@ -1,12 +1,13 @@
 """Sharding by a two-pass external shuffle, in DataFrame functions only.
 
-Pass one scatters the records uniformly into buckets that fit in a task's memory, by a seeded hash, and writes them, whole records. Buckets are sized by bytes and rows. Pass
-two shuffles each bucket (Spark's shuffle() is a Fisher-Yates shuffle with a seed) and lays the buckets end to end; the
+Pass one scatters the records uniformly into buckets that fit in a task's memory, by a seeded hash, and writes them, whole
+records. Buckets are sized by bytes and rows; with larger executors larger buckets make fewer tasks. Pass two shuffles each bucket (Spark's shuffle() is a Fisher-Yates shuffle with a seed) and lays the buckets end to end; the
 shards are equal cuts of that line. Law `rows`: the counts of any two shards differ by one at most.
 
 Cases: null texts have no bytes; null ids are hashed as any value. Repeated rows are told apart by their place in the
 input, so a row that makes a third of the table is spread like any other. With fewer rows than shards the last shards are
-empty; an empty table gives an empty result. All columns of the input come along, whatever their names but for the names
+empty; an empty table gives an empty result. Columns may be of any type, maps too: rows are ordered by their hash and place
+alone. All columns of the input come along, whatever their names but for the names
 in OUT, which are replaced.
 """
 
@@ -21,8 +22,10 @@ from pyspark.sql import types as T
 from ..scratch import Scratch
 
 #: Bytes and rows that a bucket holds on average at most, and so the size of what one task shuffles in memory.
-BUCKET_BYTES = 4 << 20
-BUCKET_ROWS = 2000
+BUCKET_BYTES = 16 << 20
+BUCKET_ROWS = 8000
+#: Buckets whose starts are broadcast at most, 16 bytes each; those of more are joined by a shuffle.
+BROADCAST_BUCKETS = 2_000_000
 #: Buckets whose counts one task adds up; sums of those are added in a second step.
 SPAN = 4096
 OUT = ("law", "shard", "slot", "grown_shard")
@@ -57,7 +60,8 @@ def shards(df: DataFrame, key: str = "doc_id", n_shards: int = 40, seed: int = 1
     scattered = placed.select("row", F.xxhash64(F.lit(seed), "_key", "place").alias("at"), "place")
     scattered = scattered.withColumn("bucket", F.pmod(F.shiftright("at", 20), F.lit(buckets)).cast("int"))
     # a task gathers about one bucket, whatever the session's number of partitions
-    gathered = scattered.repartition(buckets, "bucket").groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("at", "place", "row"))).alias("rows"))
+    first = lambda a, b: F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).when(a["place"] < b["place"], -1).otherwise(1)
+    gathered = scattered.repartition(buckets, "bucket").groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("at", "place", "row")), first).alias("rows"))
     written = scratch.keep(gathered.select("bucket", F.size("rows").alias("n"), F.col("rows.row").alias("rows")))
     scratch.free()
     # running counts in two levels: no task sees more than SPAN buckets, and the last one a row for each SPAN of them
@@ -68,7 +72,8 @@ def shards(df: DataFrame, key: str = "doc_id", n_shards: int = 40, seed: int = 1
     starts = counts.withColumn("start", before(Window.partitionBy("span").orderBy("bucket"))).join(spans, "span").select("bucket", (F.col("start") + F.col("ahead")).alias("start"))
     each, more = divmod(total, n_shards)
     cut = more * (each + 1)
-    mixed = written.withColumn("rows", F.shuffle("rows", seed)).join(F.broadcast(starts), "bucket").select("start", F.posexplode("rows").alias("i", "row")).withColumn("g", F.col("start") + F.col("i"))
+    starts = F.broadcast(starts) if buckets <= BROADCAST_BUCKETS else starts
+    mixed = written.withColumn("rows", F.shuffle("rows", seed)).join(starts, "bucket").select("start", F.posexplode("rows").alias("i", "row")).withColumn("g", F.col("start") + F.col("i"))
     # `more` shards of each + 1 rows come first, then those of `each`
     late = F.col("g") >= cut
     shard = F.when(late, more + F.floor((F.col("g") - cut) / max(each, 1))).otherwise(F.floor(F.col("g") / (each + 1)))

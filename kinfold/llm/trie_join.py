@@ -19,8 +19,8 @@ exactly, in blocks of BLOCK sets by BLOCK sets, of which each counts the links o
 classes go many to a task. No table of pairs is made.
 
 Cases: null texts and texts without words have empty sets, no links, and their own id as component. A text of fewer words
-than an n-gram has its whole sequence as the one n-gram. Repeated rows and ids are rows of their own. Ties of order go by
-hash. An empty table gives an empty result. Columns other than the id and text aren't read.
+than an n-gram has its whole sequence as the one n-gram. Repeated rows and ids are rows of their own. A row with a null id is
+linked like any other; the component of rows that all have none is null. Ties of order go by hash. An empty table gives an empty result. Columns other than the id and text aren't read.
 """
 
 from __future__ import annotations
@@ -108,9 +108,10 @@ class PrefixTree:
 
 
 def _sets(docs: DataFrame, key: str, text: str, k: int, num: int, den: int, sample: int | None) -> DataFrame:
-    """id, n, c (the hash of the set) and: with sample, the set's elements in the sample (of 65536 hash values), those
-    of the prefix beyond it and the parities; without, the whole set. Elements are ordered by their hash."""
-    source = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    """id, t (the hash of the text of a row without id, else null), n, c (the hash of the set) and: with sample, the set's
+    elements in the sample (of 65536 hash values), those of the prefix beyond it and the parities; without, the whole set.
+    Elements are ordered by their hash."""
+    source = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.when(F.col(key).isNull(), F.xxhash64(text)).alias("t"))
     kind = source.schema[0].dataType.simpleString()
 
     def run(batches):
@@ -132,11 +133,11 @@ def _sets(docs: DataFrame, key: str, text: str, k: int, num: int, den: int, samp
                     odd = np.bincount((own >> U64(33)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1
                     bits.append(np.packbits(odd.astype(bool)).view(np.int64))
             lists = lambda x: pa.array(x, pa.list_(pa.int64()))
-            arrays = [batch.column(0), pa.array(n, pa.int32()), pa.array(as_signed(np.array(c, U64))), lists(first), *([lists(more), lists(bits)] if sample is not None else [])]
-            yield pa.RecordBatch.from_arrays(arrays, names=["id", "n", "c", "items", "more", "bits"][: len(arrays)])
+            arrays = [batch.column(0), batch.column(2), pa.array(n, pa.int32()), pa.array(as_signed(np.array(c, U64))), lists(first), *([lists(more), lists(bits)] if sample is not None else [])]
+            yield pa.RecordBatch.from_arrays(arrays, names=["id", "t", "n", "c", "items", "more", "bits"][: len(arrays)])
         release()
 
-    return source.mapInArrow(run, f"id {kind}, n int, c long, items array<long>" + ", more array<long>, bits array<long>" * (sample is not None))
+    return source.mapInArrow(run, f"id {kind}, t long, n int, c long, items array<long>" + ", more array<long>, bits array<long>" * (sample is not None))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -248,9 +249,12 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5,
     sample = min(65536, int(65536 * 2.2 * (1 - num / den)))
     sets = scratch.keep(_sets(docs, key, text, k, num, den, sample), hashes=True)
     rows = scratch.keep(sets.select("id", "n", "c"))
-    classes = scratch.keep(rows.where("n > 0").groupBy("c").agg(F.min("id").alias("id")))
-    # one row of each class; classes with ids null only have no representative and no links
-    reps = scratch.keep(sets.where("n > 0").join(classes.select("c", F.col("id").alias("least")), "c").where(F.col("id").eqNullSafe(F.col("least"))).drop("least"), hashes=True)
+    classes = scratch.keep(sets.where("n > 0").groupBy("c").agg(F.min("id").alias("id"), F.min("t").alias("t")))
+    # one row of each class: that of its least id, or of one of the texts if no row of it has an id
+    least = classes.select("c", F.col("id").alias("least"), F.col("t").alias("least_t"))
+    named = sets.where("n > 0 and id is not null").join(least, "c").where("id = least")
+    unnamed = sets.where("n > 0 and id is null").join(least.where("least is null"), "c").where("t = least_t").dropDuplicates(["c"])
+    reps = scratch.keep(named.unionByName(unnamed).drop("least", "least_t", "t"), hashes=True)
     scratch.drop(sets)
     scratch.free()
 
@@ -271,8 +275,11 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5,
     several = meet.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("h")
     meet, all_of = scratch.keep(meet.join(several, "h"), hashes=True), meet
     scratch.drop(all_of)
-    wanted = meet.select("c").distinct().join(classes, "c").select(F.col("id").alias(key))
-    full = _sets(docs.join(wanted.distinct().hint("shuffle_hash"), key, "left_semi"), key, text, k, num, den, None)
+    wanted = meet.select("c").distinct().join(classes, "c").select("id", "t")
+    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    known = texts.join(wanted.where("id is not null").select("id").distinct().hint("shuffle_hash"), "id", "left_semi")
+    others = texts.where("id is null").withColumn("t", F.xxhash64("text")).join(wanted.where("id is null").select("t").distinct(), "t", "left_semi").dropDuplicates(["t"])
+    full = _sets(known.unionByName(others.select("id", "text")), "id", "text", k, num, den, None)
     full = scratch.keep(full.join(meet.select("c").distinct(), "c", "left_semi").dropDuplicates(["c"]).select("c", "items"), hashes=True)
     scratch.free()
 

@@ -57,6 +57,17 @@ def test_trie_join(docs, none, k, num, den):
     assert trie_join.groups(none, k=k, num=num, den=den).count() == 0
 
 
+def test_trie_join_links_rows_without_ids(spark):
+    """Near copies of which one or all have no id; repeated rows without id; texts without words."""
+    base = [f"w{i} und x{i % 7} the y{i % 13} of" for i in range(30)]
+    near = lambda a, b: " ".join(base).replace(a, b, 1)
+    other = " ".join(f"q{i} r{i}" for i in range(60))
+    rows = [(None, near("w3 ", "zz ")), (3, " ".join(base)), (None, near("w4 ", "yy ")), (None, near("w4 ", "yy ")), (None, other), (None, other + " end"), (None, None), (None, " "), (None, "alone here"), (7, "quite alone here")]
+    got = trie_join.groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), k=3, num=80, den=100).collect()
+    links = Counter((r.doc_id, r.component_id, r.n_links, r.n_shingles > 0) for r in got)
+    assert links == {(3, 3, 2, True): 1, (None, 3, 2, True): 3, (None, None, 1, True): 2, (None, None, 0, False): 2, (None, None, 0, True): 1, (7, 7, 0, True): 1}
+
+
 def test_trie_join_counts_all_links(spark, monkeypatch):
     rng = np.random.default_rng(3)
     base = [[f"{g}v{i}" for i in range(40)] for g in range(4)]
@@ -287,6 +298,14 @@ def test_shards(docs, none):
     assert shuffle_shards.shards(none).count() == 0
 
 
+def test_shards_of_maps(spark, none):
+    df = spark.createDataFrame([(i, {"a": i, "b": None}, [{"x": 1.0}], {"n": i}) for i in range(50)] + [(None, None, None, None)] * 30, "doc_id long, m map<string,int>, l array<map<string,double>>, s struct<n:int>").repartition(4)
+    got = shuffle_shards.shards(df, n_shards=7, bucket_rows=9).collect()
+    assert Counter((r.doc_id, str(r.m), str(r.l), r.s and r.s.n) for r in got) == Counter({**{(i, str({"a": i, "b": None}), "[{'x': 1.0}]", i): 1 for i in range(50)}, (None, "None", "None", None): 30})
+    sizes = Counter(r["shard"] for r in got)
+    assert len(sizes) == 7 and max(sizes.values()) - min(sizes.values()) <= 1
+
+
 def test_shards_move_whole_records(spark, sf_dir, docs, monkeypatch):
     given = []
     real = shuffle_shards.shards
@@ -311,6 +330,11 @@ def test_decontaminate(spark, docs, none):
     for block in (1_000_000, 20):
         got = decontaminate.contaminated(more, bench, block_words=block).collect()
         assert Counter((r.doc_id, r.item_id) for r in got) == Counter({(i, 1): 2 if i == 0 else 1 for i in (0, 1, 2, 3, 10, 50, 52)})
+    # a benchmark without spaces, and one whose items share an id, are cut into blocks too
+    lines = spark.createDataFrame([(1, "\n".join(item.split())), (1, item.upper()), (1, "語" * 500), (None, item)], "item_id long, text string")
+    assert len(list(decontaminate._blocks(lines, "item_id", "text", 20, 13, 0.8))) > 1
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(more, lines, block_words=20).collect()}
+    assert got == {(i, x) for i in (0, 1, 2, 3, 10, 50, 52) for x in (1, None)}
     assert decontaminate.contaminated(none, bench).count() == decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
