@@ -13,35 +13,53 @@ from kinfold.scratch import Scratch
 BROADCAST_HASHES = 1_000_000
 
 
+OWN = ("doc_id", "text", "lang", "n_chars")
+
+
+def _plain(docs: DataFrame) -> DataFrame:
+    """docs with its other columns under names that no operator uses, whatever they were called."""
+    return docs.select(*(F.col(f"`{c}`").alias(c if c in OWN else f"_c{i}") for i, c in enumerate(docs.columns)))
+
+
+def _named(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs again."""
+    return rows.select(*(F.col(c if c in OWN else f"_c{i}").alias(c) for i, c in enumerate(docs.columns)))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no language can be told (null, or without a letter) go. Repeated rows stay, or go, together."""
+    """Documents in which no language can be told (null, or without a letter) go. Repeated rows stay, or go, together; ids may be
+    null; long texts are read whole; an empty table stays empty. Other columns may have any names."""
+    rows = _plain(docs)
     learn = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 != 0
-    found = langid.predict(docs, langid.fit(docs, learn), out=("_lang_pred", "_score"))
-    return found.where("_lang_pred <> 'und'").select(*docs.columns)
+    found = langid.predict(rows, langid.fit(rows, learn), out=("_lang_pred", "_score"))
+    return _named(found.where("_lang_pred <> 'und'"), docs)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines are cut out; documents of which no word is left go. Texts without repeated lines stay as they are, null
-    and empty ones too; a null n_chars is filled in."""
-    cut = line_dedup.dedup(docs).where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^ \t-\r]"))
-    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    and empty ones too; a null n_chars is filled in. Long texts are cut line by line; an empty table stays empty. Other
+    columns may have any names."""
+    cut = line_dedup.dedup(_plain(docs)).where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^ \t-\r]"))
+    return _named(cut.withColumn("n_chars", F.length("text").cast("long")), docs)
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by five-word shingles with Jaccard 0.8 or more the one with the smallest id stays, and so does each
-    without words. Rows with one id, or with null ids, stay together."""
+    without words. Rows with one id stay together, and so do all with null ids. Texts count whole; an empty table stays
+    empty. Other columns may have any names: they aren't read."""
     stay = trie_join.groups(docs, count_links=False).where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("stay")).distinct()
     return docs.join(stay, docs["doc_id"].eqNullSafe(stay["stay"]), "left_semi")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go. That hangs on the text alone, so rows are known by its hash; ids may be
-    null or occur twice. Null and empty texts stay."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("text").alias("hash"), "text")
-    found = decontaminate.contaminated(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="hash")
-    found = Scratch(spark).keep(found.select("hash").distinct())
+    null or occur twice. Null and empty texts stay; long ones are searched whole; an empty table, or benchmark, changes
+    nothing. Other columns may have any names."""
+    rows = _plain(docs).withColumn("_hash", F.xxhash64("text"))
+    found = decontaminate.contaminated(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="_hash")
+    found = Scratch(spark).keep(found.select("_hash").distinct())
     found = F.broadcast(found) if found.count() <= BROADCAST_HASHES else found
-    return rows.join(found, "hash", "left_anti").select("row.*")
+    return _named(rows.join(found, "_hash", "left_anti"), docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
