@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -144,12 +145,15 @@ def test_pipeline_of_odd_rows(spark, tmp_path):
     own = "quite some words that nobody else has ever written anywhere"
     rows = [(None, own, None, None, None, "x"), (1, None, "en", "s", None, "x"), (2, "", "en", "s", 0, None), (3, "12 34", "en", "s", 5, "x"), (4, item, "en", "s", 9, "x"), (5, "another text of its own kind", None, None, 9, "x"), (5, "another text of its own kind", None, None, 9, "x")]
     schema = "doc_id long, text string, lang string, source string, n_chars long, hash string"
-    got = docs = spark.createDataFrame(rows, schema)
+    clash = {"a.b": F.lit(1.5), "_score": F.lit("kept"), "n_removed": F.col("doc_id"), "_lang_pred": F.lit(2), "removed_share": F.lit("x"), "_c1": F.lit(True), "id": F.lit("z")}
+    got = docs = spark.createDataFrame(rows, schema).withColumns(clash)
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
         path = str(tmp_path / f"stage{k}")
         stage(spark, got, str(tmp_path)).write.parquet(path)
         got = spark.read.parquet(path)
         assert k == len(corpus_pipeline.STAGES) - 1 or got.columns == docs.columns
+        if "a.b" in got.columns:
+            assert {(r["a.b"], r["_score"], r["n_removed"] == r.doc_id, r["_lang_pred"], r["removed_share"], r["_c1"], r["id"]) for r in got.collect()} == {(1.5, "kept", True, 2, "x", True, "z")}
     assert Counter(r.doc_id for r in got.collect()) == Counter({None: 1, 5: 2})
     docs.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
