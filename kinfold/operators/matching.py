@@ -157,14 +157,14 @@ def _pairs_of(n: str) -> Column:
     return F.expr(f"{n} * ({n} - 1) div 2")
 
 
-def deterministic_count(prep: DataFrame, denied: tuple[str, ...] = N.DENIED_HOSTS, tile: int = TILE) -> DataFrame:
-    """n_pairs: how many pairs deterministic_pairs has, from counts of equal records and of near names: no pair of records is
-    made. Same host and near names, and same name and country, less what is both (same host, name and country)."""
+def deterministic_count(prep: DataFrame, denied: tuple[str, ...] = N.DENIED_HOSTS, tile: int = TILE, near: DataFrame | None = None) -> DataFrame:
+    """n_pairs: how many pairs deterministic_pairs has, from counts of equal records and of near names (near_host_names, if they
+    are known already): no pair of records is made. Same host and near names, and same name and country, less what is both (same host, name and country)."""
     fine = prep.groupBy("host", "name_norm", "country_norm").agg(F.count("*").alias("n"))
     hosted = with_host(fine, denied).where(F.length("name_norm") >= LEAST_NAME)
     parts = [
         hosted.groupBy("host", "name_norm").agg(F.sum("n").alias("n")).select(_pairs_of("n").alias("x")),
-        near_host_names(prep, denied, tile).select(F.expr("n_l * n_r").alias("x")),
+        (near_host_names(prep, denied, tile) if near is None else near).select(F.expr("n_l * n_r").alias("x")),
         fine.na.drop(subset=["name_norm", "country_norm"]).groupBy("name_norm", "country_norm").agg(F.sum("n").alias("n")).select(_pairs_of("n").alias("x")),
         hosted.where("country_norm is not null").select((-_pairs_of("n")).alias("x")),
     ]
@@ -223,10 +223,10 @@ def pattern_counts(distinct: DataFrame, denied: tuple[str, ...] = N.DENIED_HOSTS
     return distinct.sparkSession.createDataFrame(rows, ", ".join(f"{g} int" for g in GAMMAS) + ", n long")
 
 
-def lambda_estimate(prep: DataFrame, recall: float = 0.6, denied: tuple[str, ...] = N.DENIED_HOSTS) -> DataFrame:
+def lambda_estimate(prep: DataFrame, recall: float = 0.6, denied: tuple[str, ...] = N.DENIED_HOSTS, near: DataFrame | None = None) -> DataFrame:
     """Pairs of the deterministic rules, over their assumed recall, over all pairs."""
     total = prep.agg(F.count("*").alias("n_records"))
-    one = deterministic_count(prep, denied).join(total, F.lit(True))  # one row each
+    one = deterministic_count(prep, denied, near=near).join(total, F.lit(True))  # one row each
     return one.select("n_records", "n_pairs", F.expr("n_pairs / CAST(%r AS DOUBLE) / (CAST(n_records AS DOUBLE) * (n_records - 1) / 2)" % recall).alias("lam"))
 
 
@@ -293,15 +293,17 @@ def train(prep: DataFrame, recall: float = 0.6, denied: tuple[str, ...] = N.DENI
     mode="priors", or no evidence at all, gives the priors as a whole, never a half-trained model."""
     if mode == "priors":
         return PRIORS
-    row = lambda_estimate(prep, recall, denied).first()
+    scratch = Scratch(prep.sparkSession)
+    near = scratch.keep(near_host_names(prep, denied))
+    row = lambda_estimate(prep, recall, denied, near).first()
     if not row.n_pairs:
         return PRIORS
     lam = min(max(row.lam, FLOOR), 1 - FLOOR)
     clamp = lambda x: min(max(x, FLOOR), 1 - FLOOR)
     u = {c: (clamp(1 - x), clamp(x)) for c, x in u_exact(prep).collect()} | {"name": u_name(prep)}
     base = Model(lam, PRIORS.m, PRIORS.u | u)
-    distinct = Scratch(prep.sparkSession).keep(classes(prep))
-    sessions = ((patterns.host_patterns(distinct, denied), ("host",)), (patterns.block_patterns(distinct, ("name_norm", "country_norm")), ("name", "country")))
+    distinct = scratch.keep(classes(prep))
+    sessions = ((patterns.host_patterns(distinct, denied, near=near), ("host",)), (patterns.block_patterns(distinct, ("name_norm", "country_norm")), ("name", "country")))
     found: dict[str, list[list[float]]] = {}
     shown: set[tuple[str, int]] = set()
     for counted, held in sessions:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.operators import blocking
+from kinfold.scratch import Scratch
 
 #: Fixed: the distance for which the parts and shifts below hold.
 DISTANCE = 2
@@ -49,10 +50,13 @@ def asked(name: Column, least: int) -> Column:
 def candidates(names: DataFrame, within: tuple[str, ...], name: str = "name_norm", least: int = 6, tile: int = blocking.TILE) -> DataFrame:
     """within, name_l, name_r, n_l, n_r: what meets at a key, not yet compared; a pair may come more than once. names: within,
     name and n, each name once."""
-    rows = names.where(F.length(name) >= max(least, PARTS)).select(*within, F.col(name).alias("name"), "n")
+    scratch = Scratch(names.sparkSession)
+    rows = scratch.keep(names.where(F.length(name) >= max(least, PARTS)).select(*within, F.col(name).alias("name"), "n"))
     index = rows.select(*within, F.col("name").alias("name_l"), F.col("n").alias("n_l"), F.inline(offered(F.col("name"))))
     probe = rows.select(*within, F.col("name").alias("name_r"), F.col("n").alias("n_r"), F.inline(asked(F.col("name"), max(least, PARTS))))
-    met = blocking.tiled_join(index, probe, (*within, "length", "part", "piece"), "name_l", "name_r", tile)
+    keys = (*within, "length", "part", "piece")
+    # a name is at a key once on either side, so a few names can't crowd one
+    met = index.join(probe, list(keys)) if rows.count() <= tile else blocking.tiled_join(index, probe, keys, "name_l", "name_r", tile)
     return met.where(F.col("name_l") != F.col("name_r")).select(*within, "name_l", "name_r", "n_l", "n_r")
 
 

@@ -33,9 +33,10 @@ GATES = {2: 6, 1: 8}
 Pattern = tuple[int, int, int, int]
 
 
-def block_patterns(distinct: DataFrame, on: tuple[str, ...], without_hosts: tuple[str, ...] | None = None, tile: int = TILE, scratch: Scratch | None = None) -> dict[Pattern, int]:
+def block_patterns(distinct: DataFrame, on: tuple[str, ...], without_hosts: tuple[str, ...] | None = None, tile: int = TILE, scratch: Scratch | None = None, near: DataFrame | None = None) -> dict[Pattern, int]:
     """Pattern (name, host, country, city) to the number of record pairs that agree on `on`. distinct: classes of records with
-    their number n. without_hosts: pairs with the same host are left out unless it is one of these."""
+    their number n. without_hosts: pairs with the same host are left out unless it is one of these. near: the near names
+    within `on`, if they are known already."""
     scratch = scratch or Scratch(distinct.sparkSession)
     free = [c for c, column in EXACT.items() if column not in on]
     modes = {c: ("any", "known", "same", "listed") if c == "host" and without_hosts is not None else ("any", "known", "same") for c in free}
@@ -65,7 +66,7 @@ def block_patterns(distinct: DataFrame, on: tuple[str, ...], without_hosts: tupl
         for kind in ("any", "known"):
             found = found.unionByName(told(kind, sums.select("combo", F.expr(f"`{kind}` * (`{kind}` - 1) div 2").alias("n"))))
         names = distinct.na.drop(subset=[*on, NAME]).groupBy(*on, NAME).agg(F.sum("n").alias("n"))
-        links = near_names(scratch.keep(names.where(F.length(NAME) >= min(GATES.values()))), on, least=min(GATES.values()), tile=tile)
+        links = near_names(names, on, least=min(GATES.values()), tile=tile) if near is None else near
         short = F.least(F.length("name_l"), F.length("name_r"))
         links = links.withColumn("level", F.when((short >= GATES[2]) & (F.col("distance") == 1), 2).when((short >= GATES[1]) & (F.col("distance") == 2), 1)).where("level is not null")
         side = lambda s: groups.select(*on, F.col(NAME).alias(f"name_{s}"), F.col("combo").alias(f"combo_{s}"), *(F.col(k).alias(f"{k}_{s}") for k in keys), F.col("n").alias(f"count_{s}"))
@@ -97,8 +98,8 @@ def _patterns(total: dict[tuple[str, tuple[str, ...]], int], free: list[str], mo
     return out
 
 
-def host_patterns(distinct: DataFrame, denied: tuple[str, ...] = N.DENIED_HOSTS, tile: int = TILE) -> dict[Pattern, int]:
-    return block_patterns(distinct.where(N.eligible_host(F.col("host"), denied)), ("host",), tile=tile)
+def host_patterns(distinct: DataFrame, denied: tuple[str, ...] = N.DENIED_HOSTS, tile: int = TILE, near: DataFrame | None = None) -> dict[Pattern, int]:
+    return block_patterns(distinct.where(N.eligible_host(F.col("host"), denied)), ("host",), tile=tile, near=near)
 
 
 def candidate_patterns(distinct: DataFrame, denied: tuple[str, ...] = N.DENIED_HOSTS, tile: int = TILE) -> dict[Pattern, int]:
