@@ -5,18 +5,19 @@ global order: first those of a fixed sample of hash values (the same for all tex
 number of classes they're in, then the others by hash. Two sets that are similar enough share an element among the first
 few of each in this order (the prefix filter), so classes meet at the elements of their prefixes that others have too.
 
-Where classes meet, pairs are tested against length and position bounds, and then exactly: the sets of a class's
-candidates are put in a tree in which sets with a common beginning share a path, and the class's own set is carried down
-it with the overlap so far, leaving every subtree whose remaining length can't bring the overlap that is needed.
+Where classes meet, pairs are tested against length and position bounds, and then exactly, many at once: the sets of one
+side are put in one tree, ordered so that what many of them hold comes first and like sets share a long path. All sets of
+the other side are carried down it together, each with the overlap so far, so a shared path is compared once for all sets
+below it and all sets above; a set leaves a subtree whose remaining length, or its own, can't bring the overlap needed.
 
 At a meeting point only classes of different groups are tested: first, in a few turns, each with one class of like length, then
 what is left in full, where a pair goes on only if the parities of the sets' elements in 64 * PARITY buckets allow it: the
 buckets of unlike parity are no more than the elements that only one of the two has. So the groups are found without all
 pairs of near copies, and no link between groups is missed.
 
-The number of links is counted afterwards: every link is within a group, so all pairs of classes of a group are compared
-exactly, in blocks of BLOCK sets by BLOCK sets, of which each counts the links of its classes. Groups of up to BLOCK
-classes go many to a task. No table of pairs is made.
+The number of links is counted afterwards by the same trees: every link is within a group, so a group's classes go into
+trees of BLOCK sets and all of its sets are carried down each of them. Groups of up to BLOCK classes go many to a task. No
+table of pairs is made.
 
 Cases: null texts and texts without words have empty sets, no links, and their own id as component. A text of fewer words
 than an n-gram has its whole sequence as the one n-gram. Repeated rows and ids are rows of their own. A row with a null id is
@@ -34,26 +35,37 @@ from ..operators.components import connected_components
 from ..scratch import Scratch
 from .text import U64, Words, as_signed, chunks, mix, release, windows
 
-#: Partner sets in one tree.
-TREE_SETS = 2000
+#: Elements of all sets in one tree, on average.
+TREE_ITEMS = 1 << 19
 #: Longs that hold the parities of a set's elements, by bucket.
 PARITY = 8
-#: Sets on each side of a block of pairs that is compared at once, and elements of theirs.
-BLOCK, COLUMNS = 256, 1 << 13
+#: Sets in a tree that counts links, and of those that are carried down it together.
+BLOCK = 256
+#: Elements of a path after which bounds are tested, at first; doubled from then on.
+STEP = 32
 
 
 class PrefixTree:
-    """Ordered sets; those with a common beginning share the nodes of it."""
+    """Sets of uint64 in one order: what more of them hold comes first, ties by value. Those with a common beginning share
+    the nodes of it."""
 
-    def __init__(self, num: int, den: int):
+    def __init__(self, sets: list[np.ndarray], num: int, den: int):
         self.num, self.den = num, den
-        self.root = self._node(np.zeros(0, U64))
+        self.root = self._node(np.zeros(0, np.int64))
+        flat = np.concatenate(sets) if sets else np.zeros(0, U64)
+        self.values, at, many = np.unique(flat, return_inverse=True, return_counts=True)
+        self.rank = np.empty(len(many), np.int64)
+        self.rank[np.argsort(-many, kind="stable")] = np.arange(len(many))
+        ranks = self.rank[at]
+        end = np.cumsum([len(x) for x in sets], dtype=np.int64)
+        for name, x in enumerate(sets):
+            self._insert(np.sort(ranks[end[name] - len(x) : end[name]]), name)
 
     @staticmethod
     def _node(run: np.ndarray) -> dict:
         return {"run": run, "next": {}, "ids": [], "low": 1 << 62, "high": 0}
 
-    def insert(self, items: np.ndarray, name) -> None:
+    def _insert(self, items: np.ndarray, name: int) -> None:
         node, at, n = self.root, 0, len(items)
         while True:
             node["low"], node["high"] = min(node["low"], n), max(node["high"], n)
@@ -79,32 +91,53 @@ class PrefixTree:
                 child = upper
             node, at = child, at + same
 
-    def similar(self, items: np.ndarray) -> list:
-        """Names of the sets whose Jaccard similarity with the items is num / den or more."""
-        found, n = [], len(items)
-        stack = [(self.root, 0, 0)]
+    def similar(self, probes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The places of probes and of the tree's sets whose Jaccard similarity is num / den or more."""
+        num, den, width = self.num, self.den, max(1, len(self.values))
+        n = np.array([len(x) for x in probes], np.int64)
+        flat, who = np.concatenate(probes) if probes else np.zeros(0, U64), np.repeat(np.arange(len(n)), n)
+        at = np.minimum(np.searchsorted(self.values, flat), width - 1)
+        known = np.flatnonzero(self.values[at] == flat) if len(self.values) else np.zeros(0, np.int64)
+        who, rank = who[known], self.rank[at[known]]
+        # who holds an element, by element; and the elements of each, in order
+        by = np.argsort(rank, kind="stable")
+        holders, first = who[by], np.searchsorted(rank[by], np.arange(width + 1))
+        own = np.sort(who * width + rank)
+        ends = np.searchsorted(own, np.arange(1, len(n) + 1) * width)
+        found: list[tuple[np.ndarray, int]] = []
+        stack = [(self.root, 0, np.arange(len(n)), np.zeros(len(n), np.int64))]
         while stack:
-            node, depth, overlap = stack.pop()
-            low, high = node["low"], node["high"]
-            if self.den * high < self.num * n or self.den * n < self.num * low:
+            node, depth, alive, overlap = stack.pop()
+            low, high, run = node["low"], node["high"], node["run"]
+            fit = (den * high >= num * n[alive]) & (den * n[alive] >= num * low)
+            alive, overlap = alive[fit], overlap[fit]
+            at, step = 0, STEP
+            while len(alive) and at < len(run):
+                part = run[at : at + step]
+                at, step, depth = at + len(part), 2 * step, depth + len(part)
+                lo = first[part]
+                many = first[part + 1] - lo
+                holding = holders[np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())]
+                overlap = overlap + np.bincount(holding, minlength=len(n))[alive]
+                left = ends[alive] - np.searchsorted(own, alive * width + part[-1], "right")
+                need = -(-num * (n[alive] + np.maximum(low, -(-num * n[alive] // den))) // (num + den))
+                fit = overlap + np.minimum(high - depth, left) >= need
+                alive, overlap = alive[fit], overlap[fit]
+            if not len(alive):
                 continue
-            need = -(-self.num * (n + max(low, -(-self.num * n // self.den))) // (self.num + self.den))
-            run, over = node["run"], False
-            for i in range(0, len(run), 64):
-                part = run[i : i + 64]
-                at = np.minimum(np.searchsorted(items, part), n - 1)
-                overlap += int((items[at] == part).sum())
-                depth += len(part)
-                passed = int(np.searchsorted(items, part[-1], "right"))
-                if overlap + min(high - depth, n - passed) < need:
-                    over = True
-                    break
-            if over:
-                continue
-            if node["ids"] and (self.num + self.den) * overlap >= self.num * (n + depth):
-                found += node["ids"]
-            stack += [(child, depth, overlap) for child in node["next"].values()]
-        return found
+            if node["ids"]:
+                hit = alive[(num + den) * overlap >= num * (n[alive] + depth)]
+                found += [(hit, name) for name in node["ids"]]
+            stack += [(child, depth, alive, overlap) for child in node["next"].values()]
+        none = np.zeros(0, np.int64)
+        return np.concatenate([none, *(hit for hit, _ in found)]), np.repeat(np.array([name for _, name in found], np.int64), [len(hit) for hit, _ in found])
+
+
+def _unpacked(t: pa.Table, column: str) -> list[np.ndarray]:
+    items = t.column(column).combine_chunks()
+    items = items.chunk(0) if isinstance(items, pa.ChunkedArray) else items
+    flat, at = items.values.to_numpy().view(U64), items.offsets.to_numpy()
+    return [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 def _sets(docs: DataFrame, key: str, text: str, k: int, num: int, den: int, sample: int | None) -> DataFrame:
@@ -140,27 +173,27 @@ def _sets(docs: DataFrame, key: str, text: str, k: int, num: int, den: int, samp
     return source.mapInArrow(run, f"id {kind}, t long, n int, c long, items array<long>" + ", more array<long>, bits array<long>" * (sample is not None))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets (c, items) are similar."""
-    counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / TREE_SETS).cast("int").alias("trees"))
-    split = pairs.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("trees")).cast("int").alias("tree"))
-    partners = split.join(sets.select(F.col("c").alias("b"), "items"), "b")
-    own = counts.select("a", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("tree")).join(sets.select(F.col("c").alias("a"), "items"), "a")
+def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) of the sets (c, size, items): all similar ones of the pairs, and others that the same trees show."""
+    sized = pairs.join(sets.select(F.col("c").alias("b"), "size"), "b").groupBy("a").agg(F.sum("size").alias("size"))
+    sized = scratch.keep(sized.withColumn("trees", F.ceil(F.col("size") / TREE_ITEMS).cast("int")))
+    # the partners of most fit in a part of a tree: those of several share one
+    small = max(1, -(-(sized.where("trees = 1").agg(F.sum("size")).first()[0] or 0) // TREE_ITEMS))
+    placed = sized.select("a", "trees", F.when(F.col("trees") == 1, F.pmod(F.xxhash64("a"), F.lit(small))).otherwise(F.col("a")).alias("g"), (F.col("trees") == 1).alias("shared"))
+    by = ["shared", "g", "tree"]
+    split = pairs.join(placed, "a").select("shared", "g", F.pmod(F.xxhash64("b"), F.col("trees")).cast("int").alias("tree"), "b").distinct()
+    stored = split.join(sets.select(F.col("c").alias("b"), "items"), "b").select(*(F.col(x).alias(f"{x}_") for x in by), "b", F.col("items").alias("items_"))
+    probes = placed.select("a", "shared", "g", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("tree")).join(sets.select(F.col("c").alias("a"), "items"), "a").select(*by, "a", "items")
 
     def test(partner: pa.Table, probe: pa.Table) -> pa.Table:
-        out: list[int] = []
+        x = y = np.zeros(0, np.int64)
         if partner.num_rows and probe.num_rows:
-            tree = PrefixTree(num, den)
-            items = partner.column("left_items").combine_chunks()
-            flat, at = items.values.to_numpy().view(U64), items.offsets.to_numpy()
-            for i, name in enumerate(partner.column("b").to_pylist()):
-                tree.insert(flat[at[i] : at[i + 1]], name)
-            out = tree.similar(probe.column("items")[0].values.to_numpy().view(U64))
-        a = probe.column("a")[0].as_py() if probe.num_rows else None
-        return pa.table({"a": pa.array([a] * len(out), pa.int64()), "b": pa.array(out, pa.int64())})
+            i, j = PrefixTree(_unpacked(partner, "items_"), num, den).similar(_unpacked(probe, "items"))
+            x, y = probe.column("a").to_numpy()[i], partner.column("b").to_numpy()[j]
+        return pa.table({"a": pa.array(x[x != y]), "b": pa.array(y[x != y])})
 
-    partners = partners.select(F.col("a").alias("left_a"), F.col("tree").alias("left_tree"), "b", F.col("items").alias("left_items"))
-    return partners.groupBy("left_a", "left_tree").cogroup(own.groupBy("a", "tree")).applyInArrow(test, "a long, b long")
+    # names of its own for each side: both come from the same tables
+    return stored.groupBy(*(f"{x}_" for x in by)).cogroup(probes.groupBy(*by)).applyInArrow(test, "a long, b long")
 
 
 def _merged(fresh: DataFrame, labels: DataFrame | None, scratch: Scratch) -> DataFrame:
@@ -175,36 +208,10 @@ def _merged(fresh: DataFrame, labels: DataFrame | None, scratch: Scratch) -> Dat
     return base.join(roots.select(F.col("node").alias("label"), F.col("label").alias("root")), "label", "left").select("c", F.coalesce("root", "label").alias("label"))
 
 
-def similar_matrix(left: list[np.ndarray], right: list[np.ndarray], num: int, den: int) -> np.ndarray:
-    """Which sets of left and right have Jaccard similarity num / den or more."""
-    n, m = np.array([len(x) for x in left], np.int64), np.array([len(x) for x in right], np.int64)
-    x, y = np.concatenate(left), np.concatenate(right)
-    both = np.intersect1d(x, y)
-    shared = np.zeros((len(n), len(m)), np.int64)
-
-    def cells(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        row, column = np.repeat(np.arange(len(sizes)), sizes), np.minimum(np.searchsorted(both, flat), max(0, len(both) - 1))
-        inside = np.flatnonzero(both[column] == flat) if len(both) else np.zeros(0, np.int64)
-        inside = inside[np.argsort(column[inside], kind="stable")]
-        return row[inside], column[inside]
-
-    (r, a), (q, b) = cells(x, n), cells(y, m)
-    for first in range(0, len(both), COLUMNS):
-        width = min(COLUMNS, len(both) - first)
-        sides = []
-        for row, column, many in ((r, a, len(n)), (q, b, len(m))):
-            lo, hi = np.searchsorted(column, [first, first + width])
-            side = np.zeros((many, width), np.float32)
-            side[row[lo:hi], column[lo:hi] - first] = 1
-            sides.append(side)
-        shared += (sides[0] @ sides[1].T).astype(np.int64)
-    return (num + den) * shared >= num * (n[:, None] + m)
-
-
 def _degrees(labels: DataFrame, sets: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
     """c, n_links of all classes with links: how many other classes each is similar to."""
     many = labels.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("m"))
-    members = scratch.keep(labels.join(many, "label").join(sets, "c"), hashes=True)
+    members = scratch.keep(labels.join(many, "label").join(sets.drop("size"), "c"), hashes=True)
     small = max(1, -(-members.where("m = 1").count() // BLOCK))
     alone = F.col("m") == 1
     chunk = F.when(alone, F.lit(0)).otherwise(F.pmod(F.xxhash64("c"), F.col("m")).cast("int"))
@@ -212,24 +219,19 @@ def _degrees(labels: DataFrame, sets: DataFrame, num: int, den: int, scratch: Sc
     left = placed.select("g", "alone", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("m") - 1)).alias("j"), "label", "c", "items")
     right = placed.where("own > 0").select("g", "alone", F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("i"), F.col("own").alias("j"), "label", "c", "items")
 
-    def unpack(t: pa.Table) -> list[np.ndarray]:
-        items = t.column("items").combine_chunks()
-        items = items.chunk(0) if isinstance(items, pa.ChunkedArray) else items
-        flat, at = items.values.to_numpy(), items.offsets.to_numpy()
-        return [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-
     def count(a: pa.Table, b: pa.Table) -> pa.Table:
         names, n = [], []
         if a.num_rows and a.column("i")[0].as_py() == a.column("j")[0].as_py():
-            own, c, label = unpack(a), a.column("c").to_numpy(), a.column("label").to_numpy()
+            own, c, label = _unpacked(a, "items"), a.column("c").to_numpy(), a.column("label").to_numpy()
             order = np.argsort(label, kind="stable")
             for at in np.split(order, np.flatnonzero(np.diff(label[order])) + 1):
                 group = [own[x] for x in at]
-                names.append(c[at]), n.append(similar_matrix(group, group, num, den).sum(1) - 1)
+                which, _ = PrefixTree(group, num, den).similar(group)
+                names.append(c[at]), n.append(np.bincount(which, minlength=len(at)) - 1)
         elif a.num_rows and b.num_rows:
-            links = similar_matrix(unpack(a), unpack(b), num, den)
+            right, left = PrefixTree(_unpacked(a, "items"), num, den).similar(_unpacked(b, "items"))
             names += [a.column("c").to_numpy(), b.column("c").to_numpy()]
-            n += [links.sum(1), links.sum(0)]
+            n += [np.bincount(left, minlength=a.num_rows), np.bincount(right, minlength=b.num_rows)]
         none = np.zeros(0, np.int64)
         return pa.table({"c": pa.array(np.concatenate([none, *names])), "n": pa.array(np.concatenate([none, *n]).astype(np.int64))})
 
@@ -280,7 +282,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5,
     known = texts.join(wanted.where("id is not null").select("id").distinct().hint("shuffle_hash"), "id", "left_semi")
     others = texts.where("id is null").withColumn("t", F.xxhash64("text")).join(wanted.where("id is null").select("t").distinct(), "t", "left_semi").dropDuplicates(["t"])
     full = _sets(known.unionByName(others.select("id", "text")), "id", "text", k, num, den, None)
-    full = scratch.keep(full.join(meet.select("c").distinct(), "c", "left_semi").dropDuplicates(["c"]).select("c", "items"), hashes=True)
+    full = scratch.keep(full.join(meet.select("c").distinct(), "c", "left_semi").dropDuplicates(["c"]).select("c", F.size("items").cast("long").alias("size"), "items"), hashes=True)
     scratch.free()
 
     # at the first element that two sets share all of the overlap is still to come; pairs are met there or nowhere
@@ -314,7 +316,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5,
         spent += [pairs]
         if pairs.isEmpty():
             continue
-        fresh = scratch.keep(_verified(pairs, full, num, den))
+        fresh = scratch.keep(_verified(pairs, full, num, den, scratch).distinct())
         scratch.free()
         tested = tested.unionByName(pairs)
         if not fresh.isEmpty():

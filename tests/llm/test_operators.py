@@ -88,15 +88,37 @@ def test_trie_join_counts_all_links(spark, monkeypatch):
         assert {r.doc_id: r.n_links for r in got.collect()} == want
 
 
-@given(st.lists(st.frozensets(st.integers(0, 30), min_size=1, max_size=25), min_size=1, max_size=12))
-@settings(max_examples=60, deadline=None)
-def test_prefix_tree(sets):
-    tree = trie_join.PrefixTree(4, 5)
-    rows = [np.array(sorted(s), np.uint64) for s in sets]
-    for i, r in enumerate(rows):
-        tree.insert(r, i)
-    for s, r in zip(sets, rows, strict=True):
-        assert sorted(tree.similar(r)) == [i for i, t in enumerate(sets) if 5 * len(s & t) >= 4 * len(s | t)]
+@given(st.lists(st.frozensets(st.integers(0, 30), min_size=1, max_size=25), max_size=12), st.lists(st.frozensets(st.integers(0, 30), min_size=1, max_size=25), max_size=12), st.sampled_from([(4, 5), (90, 100), (1, 2)]), st.sampled_from([1, 4, 32]))
+@settings(max_examples=150, deadline=None)
+def test_prefix_tree(sets, others, share, step):
+    num, den = share
+    others = [*others, *sets[:3]]
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(trie_join, "STEP", step)
+        rows = lambda x: [np.array(sorted(s), np.uint64) for s in x]
+        probes, found = trie_join.PrefixTree(rows(sets), num, den).similar(rows(others))
+    got = sorted(zip(probes.tolist(), found.tolist(), strict=True))
+    assert got == [(i, j) for i, s in enumerate(others) for j, t in enumerate(sets) if den * len(s & t) >= num * len(s | t)]
+
+
+def test_prefix_tree_shares_paths():
+    """Near copies: the tree holds what all of them have once, and so do a walk's comparisons."""
+    base = np.arange(1000, dtype=np.uint64)
+    sets = [np.sort(np.append(np.delete(base, i), np.uint64(5000 + i))) for i in range(50)]
+    tree, n, stack = trie_join.PrefixTree(sets, 4, 5), 0, []
+    stack.append(tree.root)
+    while stack:
+        node = stack.pop()
+        n += len(node["run"])
+        stack += node["next"].values()
+    assert n < 1000 + 50 * 60
+    assert len(tree.similar(sets)[0]) == 50 * 50
+
+
+def test_trie_join_in_small_trees(docs, monkeypatch):
+    monkeypatch.setattr(trie_join, "TREE_ITEMS", 40)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in trie_join.groups(docs, k=3, num=90, den=100).collect())
+    assert got == jaccard_groups([(r[0], r[1]) for r in DOCS], 3, 90, 100)
 
 
 def test_line_dedup(docs, none):
