@@ -10,7 +10,7 @@ side are put in one tree, ordered so that what many of them hold comes first and
 the other side are carried down it together, each with the overlap so far, so a shared path is compared once for all sets
 below it and all sets above; a set leaves a subtree whose remaining length, or its own, can't bring the overlap needed.
 
-At a meeting point only classes of different groups are tested: first, in a few turns, each with one class of like length, then
+At a meeting point only classes of different groups are tested: first, in two turns, each with one class of like length, then
 what is left in full, where a pair goes on only if the parities of the sets' elements in 64 * PARITY buckets allow it: the
 buckets of unlike parity are no more than the elements that only one of the two has. So the groups are found without all
 pairs of near copies, and no link between groups is missed.
@@ -41,6 +41,8 @@ TREE_ITEMS = 1 << 19
 PARITY = 8
 #: Sets in a tree that counts links, and of those that are carried down it together.
 BLOCK = 256
+#: Turns of hubs: the place of the bands of like length, None for one band of all; "all" tests what they leave.
+TURNS = (0.0, None, "all")
 #: Elements of a path after which bounds are tested, at first; doubled from then on.
 STEP = 32
 
@@ -291,7 +293,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5,
     tested = docs.sparkSession.createDataFrame([], "a long, b long")
     labels, spent = None, [reps, meet]
     width = np.log(den / num)
-    for turn, shift in enumerate((0.0, 0.5, None, None, None, "all")):
+    for turn, shift in enumerate(TURNS):
         now = meet.withColumn("label", F.col("c")) if labels is None else meet.join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
         mixed = now.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("h")
         now = scratch.keep(now.join(mixed, "h"))
