@@ -20,6 +20,13 @@ def golden_entities(records: DataFrame, scored: DataFrame, threshold: float = 0.
     return joined.select("record_id", F.concat(F.lit("g"), F.coalesce("label", "record_id")).alias("golden_entity_id"))
 
 
+def golden_of_links(members: DataFrame, links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """As golden_entities, from links.match_links: records of a class with a link, or a loop, are one entity; of others each is its own."""
+    labels = connected_components(links, scratch)
+    joined = members.join(labels, F.col("class_id") == F.col("node"), "left")
+    return joined.select("record_id", F.concat(F.lit("g"), F.coalesce("label", "record_id")).alias("golden_entity_id"))
+
+
 def cluster_stats(golden: DataFrame) -> DataFrame:
     sizes = golden.groupBy("golden_entity_id").agg(F.count("*").alias("n"))
     return sizes.agg(F.count("*").alias("cluster_n"), F.count_if(F.col("n") == 1).alias("singleton_n"), F.coalesce(F.max("n"), F.lit(0)).alias("max_size"))

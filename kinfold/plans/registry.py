@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kinfold.functions import normalize as N
 from kinfold.operators import entities as E
+from kinfold.operators import links
 from kinfold.operators import matching as M
 from kinfold.operators import quality as Q
 from kinfold.operators import sampling as S
@@ -36,7 +37,8 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _golden(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.golden_entities(_prep(spark, sf_dir), _scored(spark, sf_dir))
+    """From links of classes: no pair of records is made."""
+    return E.golden_of_links(*links.match_links(_kept(spark, sf_dir), M.FIXED, denied=DENIED))
 
 
 def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
