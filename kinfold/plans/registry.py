@@ -183,7 +183,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "gamma_patterns": lambda s, d: M.gamma_patterns(M.compare(M.candidate_pairs(_kept(s, d), DENIED))),
     "class_patterns": _patterns,
     "score_pairs_fixed": lambda s, d: _ids(_scored(s, d), F.round("match_weight", 6).alias("match_weight"), F.round("match_probability", 6).alias("match_probability"), "disposition"),
-    "disposition_histogram": lambda s, d: M.histogram(_scored(s, d)),
+    "disposition_histogram": lambda s, d: M.histogram(M.score(_patterns(s, d), M.FIXED), F.col("n")),
     "pattern_histogram": lambda s, d: M.histogram(M.score(_patterns(s, d), M.FIXED), F.col("n")),
     "review_queue": lambda s, d: _ids(_scored(s, d).where("disposition = 'review'"), F.round("match_probability", 6).alias("match_probability")),
     "em_parameters": lambda s, d: M.parameters(M.train(_kept(s, d), denied=DENIED), s),
