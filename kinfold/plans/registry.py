@@ -180,7 +180,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "u_exact": lambda s, d: M.u_exact(_prep(s, d)).withColumn("u", F.round("u", 9)),
     "u_name_levels": lambda s, d: M.u_name_levels(_kept(s, d)).withColumn("share", F.round("share", 9)),
     "comparison_vectors": lambda s, d: _ids(M.compare(M.candidate_pairs(_kept(s, d), DENIED)), *M.GAMMAS),
-    "gamma_patterns": lambda s, d: M.gamma_patterns(M.compare(M.candidate_pairs(_kept(s, d), DENIED))),
+    "gamma_patterns": _patterns,
     "class_patterns": _patterns,
     "score_pairs_fixed": lambda s, d: _ids(_scored(s, d), F.round("match_weight", 6).alias("match_weight"), F.round("match_probability", 6).alias("match_probability"), "disposition"),
     "disposition_histogram": lambda s, d: M.histogram(M.score(_patterns(s, d), M.FIXED), F.col("n")),
