@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 SLICE = 86_400
 #: A tree over time: each step up takes so many times the span of the step below, and so many steps are used.
 FAN, STEPS = 16, 9
+#: The step of the smallest nodes of a long range at most: 256 seconds.
+LEAF = 2
 
 
 def _slice(ts: Column, seconds: int) -> Column:
@@ -61,16 +63,37 @@ def nodes_of_range(start: Column, end: Column) -> Column:
     return F.flatten(F.array(*parts))
 
 
+def _seconds(ts: Column) -> Column:
+    return F.floor(F.unix_micros(ts.cast("timestamp")) / 1_000_000).cast("long")
+
+
+def laid(ranges: DataFrame, start: str, end: str) -> DataFrame:
+    """ranges by their nodes (step, place). Nodes at either end are of the leaf step, a 16th of the range or less and 256 seconds at
+    most, and taken whole: what lies in them is still to be checked."""
+    low, high = _seconds(F.col(start)), _seconds(F.col(end))
+    length = high - low
+    leaf = F.lit(0)
+    for step in range(1, LEAF + 1):
+        leaf = F.when(length >= FAN ** (step + 1), F.lit(step)).otherwise(leaf)
+    unit = F.pow(F.lit(float(FAN)), leaf)
+    place = lambda x: F.floor(x / unit).cast("long")
+    nodes = F.transform(nodes_of_range(place(low), place(high) + 1), lambda x: F.struct((x["step"] + leaf).cast("int").alias("step"), x["place"].alias("place")))
+    return ranges.select("*", F.inline(nodes))
+
+
 def interval_join(points: DataFrame, ranges: DataFrame, key: str, ts: str, start: str, end: str) -> DataFrame:
     """Each point with each range of its key that holds it: start <= ts < end, to the microsecond. Columns besides the key must
-    differ. Null keys and times, and ranges without length, meet nothing.
+    differ. Null keys and times, and ranges without length, meet nothing. ranges are read twice.
 
     A range is cut into the nodes of a tree over time (a few for each step, however long it is), and a point asks for the one
-    node of each step that it lies in: equality of key and node, no comparison of all points with all ranges of a key."""
-    seconds = lambda c: F.floor(F.unix_micros(c.cast("timestamp")) / 1_000_000).cast("long")
+    node of each step that ranges have: equality of key and node, no comparison of all points with all ranges of a key."""
     held = ranges.where((F.col(start) < F.col(end)) & F.col(key).isNotNull())
-    # the seconds in which it begins and ends are taken whole, and checked
-    laid = held.select("*", F.inline(nodes_of_range(seconds(F.col(start)), seconds(F.col(end)) + 1)))
-    asked = points.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(STEPS - 1))))
-    asked = asked.withColumn("place", F.floor(seconds(F.col(ts)) / F.pow(F.lit(FAN), F.col("step"))).cast("long"))
-    return asked.join(laid, [key, "step", "place"]).where((F.col(ts) >= F.col(start)) & (F.col(ts) < F.col(end))).drop("step", "place")
+    length = _seconds(F.col(end)) - _seconds(F.col(start))
+    row = held.agg(F.coalesce(F.min(length), F.lit(0)).alias("least"), F.coalesce(F.max(length), F.lit(0)).alias("most")).first()
+    first = max(k for k in range(LEAF + 1) if not k or row.least >= FAN ** (k + 1))
+    # with the parts of leaves that stand out at either end
+    steps = [k for k in range(first, STEPS + LEAF) if k <= LEAF or FAN**k <= row.most + 2 * FAN**LEAF]
+    held = laid(held, start, end)
+    asked = points.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).withColumn("step", F.explode(F.array(*(F.lit(x) for x in steps))))
+    asked = asked.withColumn("place", F.floor(_seconds(F.col(ts)) / F.pow(F.lit(float(FAN)), F.col("step"))).cast("long"))
+    return asked.join(held, [key, "step", "place"]).where((F.col(ts) >= F.col(start)) & (F.col(ts) < F.col(end))).drop("step", "place")

@@ -59,6 +59,15 @@ def test_interval_join(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_ranges_of_a_day_are_few_nodes(spark):
+    """32 nodes on average, of three steps, so a point is there three times."""
+    rng = random.Random(9)
+    days = [(t, t + timedelta(days=1), i) for i, (_, t) in enumerate(times(400, 10))] + [(T0, T0 + timedelta(seconds=rng.randrange(1, 3000)), -1)]
+    df = spark.createDataFrame(days, "a timestamp, b timestamp, i long")
+    nodes = temporal.laid(df, "a", "b").where("i >= 0")
+    assert {r.step for r in nodes.select("step").distinct().collect()} == {2, 3, 4} and nodes.count() <= 400 * 40
+
+
 EVENTS = "user_id long, ts timestamp, value double"
 
 
