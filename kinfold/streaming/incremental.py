@@ -1,4 +1,5 @@
-"""Matching of records as they come: each batch meets itself and all records before it, and golden ids are merged."""
+"""Matching of records as they come: each batch meets itself and all records before it, and golden ids are merged. Where the
+model has graphs (links.py), a batch takes time by the records in the store, whatever blocks hold; else it makes pairs."""
 
 from __future__ import annotations
 
@@ -9,6 +10,7 @@ from kinfold.functions import normalize as N
 from kinfold.operators import blocking
 from kinfold.operators import matching as M
 from kinfold.operators.components import connected_components
+from kinfold.operators.links import match_links
 from kinfold.scratch import Scratch
 from kinfold.sources.tables import stream_files
 
@@ -66,14 +68,23 @@ def absorb(batch: DataFrame, number: int, store: Store, model: M.Model, threshol
     stored = store.records(number)
     fresh = M.prepare(batch, prefix).select(*M.PAIR_COLUMNS).where("record_id is not null").dropDuplicates(["record_id"])
     new = scratch.keep(fresh.join(stored.select("record_id"), "record_id", "left_anti"))
-    scored = M.score(M.compare(candidates(new, stored, denied)), model)
-    edges = scratch.keep(scored.where(F.col("match_probability") >= threshold).select("record_id_l", "record_id_r"))
     # a new record is its own entity at first, a stored one is what its label has become
     ends = connected_components(store.merges(number)).select(F.col("node").alias("label"), F.col("label").alias("end"))
     label = stored.select("record_id", "label").join(ends, "label", "left").select("record_id", F.coalesce("end", "label").alias("of"))
-    for s in "lr":
-        edges = edges.join(label.select(F.col("record_id").alias(f"record_id_{s}"), F.col("of").alias(f"of_{s}")), f"record_id_{s}", "left")
-    links = edges.select(F.coalesce("of_l", "record_id_l").alias("src"), F.coalesce("of_r", "record_id_r").alias("dst")).where("src <> dst").distinct()
+    every = scratch.keep(new.unionByName(stored.select(*M.PAIR_COLUMNS)))
+    found = match_links(every, model, threshold, denied, scratch=scratch)
+    if found is None:
+        scored = M.score(M.compare(candidates(new, stored, denied)), model)
+        edges = scored.where(F.col("match_probability") >= threshold).select(F.col("record_id_l").alias("a"), F.col("record_id_r").alias("b"))
+    else:
+        # links among stored records are known, and go as soon as labels are put for them
+        members, linked = found
+        whole = linked.select(F.explode(F.array("src", "dst")).alias("class_id")).distinct()
+        edges = linked.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(members.join(whole, "class_id").select(F.col("record_id").alias("a"), F.col("class_id").alias("b")))
+    edges = scratch.keep(edges.where("a <> b"))
+    for s in "ab":
+        edges = edges.join(label.select(F.col("record_id").alias(s), F.col("of").alias(f"of_{s}")), s, "left")
+    links = edges.select(F.coalesce("of_a", "a").alias("src"), F.coalesce("of_b", "b").alias("dst")).where("src <> dst").distinct()
     store.write("merges", scratch.keep(links), number)
     store.write("records", new.withColumn("label", F.col("record_id")), number)
     scratch.close()
