@@ -1,14 +1,15 @@
 r"""Line dedup: an exact set-similarity join of lines, in DataFrame functions only.
 
 A line's set holds the hashes of its distinct words (between spaces). Words are ordered by rarity, from the corpus counts
-of SKETCH buckets of word hashes, ties by hash: one order for all lines. Lines of equal sets are one class, which stands
-at its first place (id, text, line number).
+of buckets of word hashes (as many as the corpus may have words), ties by hash: one order for all lines. Lines of equal
+sets are one class, which has a number and stands at its first place (id, text, line number).
 
 Classes meet at the words of their prefixes (n - ceil(t n) + 1 words of n), and a pair goes on if its lengths, its positions
 in the order and the parities of its hashes in 64 bits allow the overlap that is needed. Two similar sets share l words
 among their first n - ceil(t n) + l, so where more than DIRECT classes meet at a word they meet at pairs of words instead,
 with the next word that both have (LEVELS words at most). Where that is still too many, mostly at copies of one line, each
-class is tested against the first one of like length, and those still unsettled against all earlier ones.
+class is tested against the first one of like length, and those still unsettled against all earlier ones. What meets is
+made from the classes each time: of the rows only those of one meeting are on disk, in its shuffle, and no others.
 
 The pairs left are compared exactly. A line is removed if a line at an earlier place has Jaccard >= num / den with it,
 whether or not that one is removed itself. Sets so small that no other set is similar (of one to three words at 4 / 5)
@@ -30,14 +31,15 @@ from pyspark.sql import functions as F
 
 from ..scratch import Scratch
 
-#: Buckets of words that are counted, and the classes of rarity for each doubling of a count (127 at most, in a byte).
-SKETCH, STEPS = 1 << 22, 3
+#: Buckets of words that are counted, for SKETCH_BYTES of text and at most (a byte each in every executor): the words of a
+#: corpus grow with some 0.6th power of it. And the classes of rarity for each doubling of a count (127 at most, in a byte).
+SKETCH, SKETCH_BYTES, SKETCH_MOST, SKETCH_POWER, STEPS = 1 << 22, 1 << 29, 1 << 25, 0.7, 3
 RARITY_SHIFT = 56
 #: Classes that meet at a key at most, else the key gets one more word, up to LEVELS.
 DIRECT, LEVELS = 256, 2
 MIN_WORDS = 1
-#: Documents whose numbers are broadcast at most, and removed lines; beyond that they are joined by a shuffle.
-BROADCAST_DOCS, BROADCAST_LINES = 500_000, 1_000_000
+#: Documents whose numbers are broadcast at most, removed lines and crowded keys; beyond that they are joined by a shuffle.
+BROADCAST_DOCS, BROADCAST_LINES, BROADCAST_KEYS = 500_000, 1_000_000, 1_000_000
 OUT = ("n_lines", "n_removed", "removed_share")
 
 
@@ -67,14 +69,19 @@ def _beyond(count: int) -> int:
     return (math.floor(math.log2(count + 1) * STEPS) + 1) << RARITY_SHIFT
 
 
-def _sketch(df: DataFrame) -> DataFrame:
+def _buckets(size: int) -> int:
+    """How many for so many bytes of text: a power of 2. Too few, and every word shares one with frequent words."""
+    more = math.ceil(SKETCH_POWER * math.log2(max(1.0, size / SKETCH_BYTES)))
+    return min(SKETCH_MOST, SKETCH << more)
+
+
+def _sketch(df: DataFrame, buckets: int) -> DataFrame:
     """One row: the class of rarity of each bucket of words, a byte each.
 
     A bucket's count is that of its words or more, so _beyond() tells for sure that a word is in few lines."""
     words = df.select(F.explode(F.split("text", "\n")).alias("line")).select(F.explode(_words(F.col("line"))).alias("w"))
-    # SKETCH rows, whatever the input
-    every = df.sparkSession.range(SKETCH).select(F.col("id").alias("b"), F.lit(0).alias("n"))
-    counts = words.select(F.xxhash64("w").bitwiseAND(F.lit(SKETCH - 1)).alias("b"), F.lit(1).alias("n")).union(every)
+    every = df.sparkSession.range(buckets).select(F.col("id").alias("b"), F.lit(0).alias("n"))
+    counts = words.select(F.xxhash64("w").bitwiseAND(F.lit(buckets - 1)).alias("b"), F.lit(1).alias("n")).union(every)
     counts = counts.groupBy("b").agg(_rarity(F.sum("n")).cast("tinyint").alias("r"))
     joined = lambda c: F.transform(F.sort_array(F.collect_list(c)), lambda x: x["r"])
     blocks = counts.groupBy(F.shiftright("b", 12).alias("b_")).agg(joined(F.struct("b", "r")).alias("r"))
@@ -91,7 +98,7 @@ def _sized(df: DataFrame, limit: int) -> DataFrame:
 
 
 class _Pairs:
-    """What two rows (key, c, nr, bits, id) of classes must fulfil; nr holds the length and the position in the order."""
+    """What two rows (key, c, nr, bits) of classes must fulfil; nr holds the length and the position in the order."""
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
@@ -109,93 +116,95 @@ class _Pairs:
         return bits & length & position
 
     def all_of(self, rows: DataFrame) -> DataFrame:
-        """c, c_, differ and same of all pairs within a key: c is the later class; with `same` ids, which is not known."""
-        rows = rows.select("key", "c", "nr", "bits", "id")
-        both = rows.alias("a").join(rows.alias("b"), "key").where((F.col("a.c") < F.col("b.c")) & self.like("a", "b"))
-        # null ids come first
-        x, y = F.col("a.id"), F.col("b.id")
-        turn = F.coalesce(x > y, x.isNotNull())
-        return self.pair(both, turn, x.eqNullSafe(y))
+        """c, c_ (of the smaller number) and differ of all pairs within a key."""
+        rows = rows.select("key", "c", "nr", "bits")
+        both = rows.alias("a").join(rows.alias("b"), "key").where((F.col("a.c") > F.col("b.c")) & self.like("a", "b"))
+        return self.pair(both)
 
     @staticmethod
-    def pair(both: DataFrame, turn: Column, same: Column) -> DataFrame:
-        later, earlier = F.when(turn, F.col("a.c")).otherwise(F.col("b.c")), F.when(turn, F.col("b.c")).otherwise(F.col("a.c"))
-        return both.select(later.alias("c"), earlier.alias("c_"), F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))).alias("differ"), same.alias("same"))
+    def pair(both: DataFrame) -> DataFrame:
+        return both.select(F.col("a.c").alias("c"), F.col("b.c").alias("c_"), F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))).alias("differ"))
 
 
 def _longer(rows: DataFrame, level: int) -> DataFrame:
     """Keys of one more word: each that may be the next one shared. A tail begins after a key's last word."""
-    reach = F.size("tail") - (LEVELS - level)  # the words that count on this level
-    parts = F.transform(F.slice("tail", 1, F.greatest(F.lit(0), reach)), lambda w, i: F.struct(F.xxhash64("key", w).alias("key"), F.slice("tail", i + 2, F.size("tail")).alias("tail")))
-    return rows.select(F.explode(parts).alias("x"), "c", "nr", "bits", "first").select("x.key", "c", "nr", "bits", "first", "x.tail")
+    reach = F.greatest(F.lit(0), F.size("tail") - (LEVELS - level))  # the words that count on this level
+    rows = rows.select("key", "c", "nr", "bits", "tail", F.posexplode(F.slice("tail", F.lit(1), reach)).alias("at", "w"))
+    return rows.select(F.xxhash64("key", "w").alias("key"), "c", "nr", "bits", F.slice("tail", F.col("at") + 2, F.size("tail")).alias("tail"))
 
 
 def removed_lines(df: DataFrame, num: int = 4, den: int = 5, min_words: int = MIN_WORDS, scratch: Scratch | None = None) -> DataFrame:
     """Of a table of id, doc (a hash of the text) and text: id, doc, pos (from 0) of the lines that are removed."""
     scratch, spark = scratch or Scratch(df.sparkSession), df.sparkSession
     met = _Pairs(num, den)
-    sketch = scratch.keep(_sketch(df))
+    buckets = _buckets(df.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    sketch = scratch.keep(_sketch(df, buckets))
     # the optimiser puts the subquery's value, one array held by each executor, where `rarity` is used
-    ordered = F.expr(f"transform(s, h -> shiftleft(cast(rarity[cast(h & {SKETCH - 1}L as int)] as bigint), {RARITY_SHIFT}) | shiftrightunsigned(h, {64 - RARITY_SHIFT}))")
+    ordered = F.expr(f"transform(s, h -> shiftleft(cast(rarity[cast(h & {buckets - 1}L as int)] as bigint), {RARITY_SHIFT}) | shiftrightunsigned(h, {64 - RARITY_SHIFT}))")
     sets = _lines(df).select("id", "doc", "pos", F.explode(F.array(_set(F.col("line")))).alias("s")).withColumn("n", F.size("s"))
     # explode() of the one array keeps what follows from computing it twice
     sets = sets.where(F.col("n") >= max(1, min_words)).withColumn("rarity", sketch.scalar()).select("id", "doc", "pos", "n", F.sort_array(ordered).alias("all"))
     sets = sets.select("id", "doc", "pos", "n", F.explode(F.array("all")).alias("s"))
     parity = F.expr("aggregate(s, 0L, (a, h) -> a ^ shiftleft(1L, cast(h & 63L as int)))")
-    wide = scratch.keep(sets.select("id", "doc", "pos", "n", F.xxhash64("s").alias("c"), F.slice("s", F.lit(1), _prefix(F.col("n"), num, den) + (LEVELS - 1)).alias("prefix"), parity.alias("bits")), hashes=True)
+    wide = scratch.keep(sets.select("id", "doc", "pos", "n", F.xxhash64("s").alias("h"), F.slice("s", F.lit(1), _prefix(F.col("n"), num, den) + (LEVELS - 1)).alias("prefix"), parity.alias("bits")), hashes=True)
     scratch.drop(sketch)
     scratch.free()
-    # of each class its first place and the rest, which all have alike: one shuffle
-    reps = scratch.keep(wide.groupBy("c").agg(F.min(F.struct("id", "doc", "pos")).alias("first"), F.count("*").alias("many"), *(F.first(x).alias(x) for x in ("n", "prefix", "bits"))), hashes=True)
-    lines = scratch.keep(wide.select("id", "doc", "pos", "c"))
+    # of each class its first place and the rest, which all have alike: one shuffle; its number takes less room than its hash
+    reps = wide.groupBy("h").agg(F.min(F.struct("id", "doc", "pos")).alias("first"), F.count("*").alias("many"), *(F.first(x).alias(x) for x in ("n", "prefix", "bits")))
+    reps = scratch.keep(reps.withColumn("c", F.monotonically_increasing_id()), hashes=True)
+    lines = scratch.keep(wide.select("id", "doc", "pos", "h"))
     scratch.drop(wide)
     scratch.free()
 
     # a set of n words can be similar to another one only if it is to one of n + 1 words that holds it
     paired = reps.where(F.col("n").cast("long") * den >= (F.col("n") + 1).cast("long") * num)
     # a word that the corpus has once brings no lines together
-    meet = paired.select("c", "n", "bits", "first", "prefix", F.posexplode("prefix").alias("r", "key")).where((F.col("r") < _prefix(F.col("n"), num, den)) & (F.col("key") >= _beyond(1)))
+    meet = paired.select("c", "n", "bits", "prefix", F.posexplode("prefix").alias("r", "key")).where((F.col("r") < _prefix(F.col("n"), num, den)) & (F.col("key") >= _beyond(1)))
     nr = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("r").cast("long")).alias("nr")
+    rows = meet.select("key", "c", nr, "bits", F.slice("prefix", F.col("r") + 2, F.size("prefix")).alias("tail"))
     # only words beyond DIRECT in the sketch can be in more lines than that
-    pairs = [met.all_of(meet.where(F.col("key") < _beyond(DIRECT)).select("key", "c", nr, "bits", "first.id"))]
-    rows = meet.where(F.col("key") >= _beyond(DIRECT)).select("key", "c", nr, "bits", "first", F.slice("prefix", F.col("r") + 2, F.size("prefix")).alias("tail"))
+    counted, pairs = rows.where(F.col("key") >= _beyond(DIRECT)), []
     for level in range(1, LEVELS + 1):
-        rows = scratch.keep(_longer(rows, level) if level > 1 else rows)
-        crowded = rows.groupBy("key").agg(F.count("*").alias("f")).where(F.col("f") > DIRECT).select("key", F.lit(True).alias("hot"))
-        rows = scratch.keep(rows.join(crowded, "key", "left"))
-        pairs.append(met.all_of(rows.where("hot is null").withColumn("id", F.col("first.id"))))
-        rows = rows.where("hot").drop("hot")
-        if rows.isEmpty():
+        crowded = scratch.keep(counted.groupBy("key").agg(F.count("*").alias("f")).where(F.col("f") > DIRECT).select("key"), hashes=True)
+        scratch.free()
+        keys = _sized(crowded, BROADCAST_KEYS)
+        # before the next meeting: this one's shuffle is free then
+        pairs.append(scratch.keep(met.all_of(rows.join(keys, "key", "left_anti")).distinct()))
+        scratch.free()
+        rows = counted.join(keys, "key", "left_semi")
+        if level < LEVELS and not crowded.isEmpty():
+            rows = counted = _longer(rows, level + 1)
+        else:
             break
-    hot = scratch.keep(rows.select("key", "c", "nr", "bits", "first", F.floor(F.log(F.shiftright("nr", 32).cast("double")) / F.lit(math.log(den / num))).alias("band")))
+    band = F.floor(F.log(F.shiftright("nr", 32).cast("double")) / F.lit(math.log(den / num))).alias("band")
+    hot = scratch.keep(rows.select("key", "c", "nr", "bits", band).join(reps.select("c", "first"), "c"))
     hubs = hot.groupBy("key", "band").agg(F.min(F.struct("first", "c", "nr", "bits")).alias("hub")).select("key", "band", "hub.*")
     earlier = (F.col("a.first") > F.col("b.first")) & met.like("a", "b")
-    star = met.pair(hot.alias("a").join(hubs.alias("b"), ["key", "band"]).where(earlier), F.lit(True), F.lit(False))
+    star = met.pair(hot.alias("a").join(hubs.alias("b"), ["key", "band"]).where(earlier))
     # of a class's hubs the likeliest
-    pairs.append(star.groupBy("c").agg(F.min(F.struct("differ", "c_")).alias("x")).select("c", "x.c_", "x.differ", F.lit(False).alias("same")))
+    star = star.groupBy("c").agg(F.min(F.struct("differ", "c_")).alias("x")).select("c", "x.c_", "x.differ")
+    # the prefixes aren't needed any more
+    reps, used = scratch.keep(reps.select("h", "c", "first", "many")), reps
     found = pairs[0]
     for more in pairs[1:]:
         found = found.union(more)
-    found = scratch.keep(found.distinct())
-    del pairs, star
-    # the prefixes aren't needed any more
-    reps, used = scratch.keep(reps.select("c", "first", "many")), reps
-    scratch.drop(used)
-    scratch.free()
     one, two = (reps.select(F.col("c").alias(c), F.struct("first", "c").alias(x)) for c, x in (("c", "x"), ("c_", "y")))
-    turned = found.where("same").join(one, "c").join(two, "c_").select(F.greatest("x", "y")["c"].alias("c"), F.least("x", "y")["c"].alias("c_"), "differ")
-    tested = scratch.keep(found.where("not same").select("c", "c_", "differ").union(turned))
+    turned = found.distinct().join(one, "c").join(two, "c_").select(F.greatest("x", "y")["c"].alias("c"), F.least("x", "y")["c"].alias("c_"), "differ")
+    tested = scratch.keep(turned.union(star).distinct())
+    scratch.drop(used, *pairs)
+    del pairs, found, turned, star
+    scratch.free()
     sets = _Sets(df, reps, num, den, scratch)
     settled = sets.later(tested)
-    left = met.pair(hot.join(settled, "c", "left_anti").alias("a").join(hot.alias("b"), "key").where(earlier), F.lit(True), F.lit(False)).select("c", "c_", "differ").distinct()
+    left = met.pair(hot.join(settled, "c", "left_anti").alias("a").join(hot.alias("b"), "key").where(earlier)).distinct()
     left = scratch.keep(left.join(tested, ["c", "c_"], "left_anti"))
     if not left.isEmpty():
         settled = scratch.keep(settled.union(sets.later(left)).distinct())
     # classes of one line that nothing earlier is like don't matter
-    marked = reps.select("c", "first", "many").join(settled.withColumn("all_of", F.lit(True)), "c", "left").where("all_of or many > 1").drop("many")
-    out = lines.join(marked, "c").where(F.coalesce("all_of", F.lit(False)) | (F.struct("id", "doc", "pos") > F.col("first"))).select("id", "doc", "pos")
+    marked = reps.join(settled.withColumn("all_of", F.lit(True)), "c", "left").where("all_of or many > 1").drop("many")
+    out = lines.join(marked, "h").where(F.coalesce("all_of", F.lit(False)) | (F.struct("id", "doc", "pos") > F.col("first"))).select("id", "doc", "pos")
     out = scratch.keep(out.distinct())
-    scratch.drop(lines, reps, hot, found, tested, settled, left)
+    scratch.drop(lines, reps, hot, crowded, tested, settled, left)
     scratch.free()
     return out
 

@@ -187,6 +187,28 @@ def test_line_dedup_beyond_direct_meetings(spark, monkeypatch):
         assert all(r.n_lines == (0 if r.text is None else r.n_removed + r.text.count("\n") + (r.text != "" or r.n_removed == 0)) for r in got)
 
 
+def test_line_dedup_writes_no_rows_of_meetings(spark, monkeypatch):
+    """However many words share a bucket, what is written are classes and pairs, and the buckets grow with the text."""
+    lines = [f"w{i} w{i + 1} w{i + 2} w{i % 3} a b c d e f" for i in range(60)]
+    df = spark.createDataFrame([(i, "\n".join(lines[i * 6 : i * 6 + 6] + [f"{lines[i]} g"])) for i in range(10)], "doc_id long, text string")
+    want = {r.doc_id: r.text for r in line_dedup.dedup(df).collect()}
+    keep, kept = line_dedup.Scratch.keep, []
+
+    def seen(self, frame, *args, **kwargs):
+        kept.append(frame.columns)
+        return keep(self, frame, *args, **kwargs)
+
+    monkeypatch.setattr(line_dedup.Scratch, "keep", seen)
+    monkeypatch.setattr(line_dedup, "SKETCH", 2)
+    monkeypatch.setattr(line_dedup, "DIRECT", 2)
+    assert {r.doc_id: r.text for r in line_dedup.dedup(df).collect()} == want
+    assert want[9] != "\n".join(lines[54:60] + [f"{lines[9]} g"])
+    assert kept and not any("tail" in columns for columns in kept)
+    monkeypatch.undo()
+    sizes = [line_dedup._buckets(x) for x in (0, 1 << 29, 6 << 30, 1 << 50)]
+    assert sizes == sorted(sizes) and sizes[0] == sizes[1] == line_dedup.SKETCH and sizes[2] >= 4 * sizes[1] and sizes[3] == line_dedup.SKETCH_MOST
+
+
 def test_pipeline_keeps_what_only_one_document_has(spark):
     line = "this line is in all of the documents"
     rows = [(1, line), (2, "\n".join([line] * 20 + ["some own words at the end"])), (3, f"{line}\n\t\n{line}"), (4, "")]
