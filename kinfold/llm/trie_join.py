@@ -175,8 +175,25 @@ def _sets(docs: DataFrame, key: str, text: str, k: int, num: int, den: int, samp
     return source.mapInArrow(run, f"id {kind}, t long, n int, c long, items array<long>" + ", more array<long>, bits array<long>" * (sample is not None))
 
 
+def _spanning(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of the least of each component and each other member, from the links (x, y) of classes."""
+    nodes, ends = np.unique(np.concatenate([x, y]), return_inverse=True)
+    i, j = ends[: len(x)], ends[len(x) :]
+    label = np.arange(len(nodes))
+    while len(i) and (label[i] != label[j]).any():
+        low = np.minimum(label[i], label[j])
+        # also the roots, so what was joined stays joined
+        for at in (label[i], label[j]):
+            np.minimum.at(label, at, low)
+        while (label != label[label]).any():
+            label = label[label]
+    other = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[label[other]], nodes[other]
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
-    """Links (a, b) of the sets (c, size, items): all similar ones of the pairs, and others that the same trees show."""
+    """Pairs (a, b) of the sets (c, size, items) with the same components as all links of the given pairs, and others that the
+    same trees show: of each tree a star for each group, as a tree shows a link for each two of many near copies."""
     sized = pairs.join(sets.select(F.col("c").alias("b"), "size"), "b").groupBy("a").agg(F.sum("size").alias("size"))
     sized = scratch.keep(sized.withColumn("trees", F.ceil(F.col("size") / TREE_ITEMS).cast("int")))
     # the partners of most fit in a part of a tree: those of several share one
@@ -191,8 +208,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, scratch: Sc
         x = y = np.zeros(0, np.int64)
         if partner.num_rows and probe.num_rows:
             i, j = PrefixTree(_unpacked(partner, "items_"), num, den).similar(_unpacked(probe, "items"))
-            x, y = probe.column("a").to_numpy()[i], partner.column("b").to_numpy()[j]
-        return pa.table({"a": pa.array(x[x != y]), "b": pa.array(y[x != y])})
+            x, y = _spanning(probe.column("a").to_numpy()[i], partner.column("b").to_numpy()[j])
+        return pa.table({"a": pa.array(x), "b": pa.array(y)})
 
     # names of its own for each side: both come from the same tables
     return stored.groupBy(*(f"{x}_" for x in by)).cogroup(probes.groupBy(*by)).applyInArrow(test, "a long, b long")

@@ -115,6 +115,25 @@ def test_prefix_tree_shares_paths():
     assert len(tree.similar(sets)[0]) == 50 * 50
 
 
+def test_links_of_a_tree_as_stars():
+    """Of n near copies a tree shows n * n links; n - 1 pairs have the same components."""
+    x, y = (z.ravel() for z in np.meshgrid(np.arange(50), np.arange(50)))
+    a, b = trie_join._spanning(x, y)
+    assert set(a) == {0} and sorted(b) == list(range(1, 50))
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 30, 90, 200):
+        x, y = rng.integers(0, 120, n), rng.integers(0, 120, n)
+        group = {i: {i} for i in range(120)}
+        for i, j in zip(x, y, strict=True):
+            both = group[i] | group[j]
+            group |= dict.fromkeys(both, both)
+        want = sorted((min(g), i) for i, g in group.items() if min(g) != i)
+        assert sorted(zip(*trie_join._spanning(x, y), strict=True)) == want
+    chain = np.random.default_rng(3).permutation(2000)
+    a, b = trie_join._spanning(chain[:-1], chain[1:])
+    assert set(a) == {0} and len(b) == 1999
+
+
 def test_trie_join_in_small_trees(docs, monkeypatch):
     monkeypatch.setattr(trie_join, "TREE_ITEMS", 40)
     got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in trie_join.groups(docs, k=3, num=90, den=100).collect())
