@@ -2,7 +2,8 @@ r"""Line dedup: an exact set-similarity join of lines, in DataFrame functions on
 
 A line's set holds the hashes of its distinct words (between spaces). Words are ordered by rarity, from the corpus counts
 of buckets of word hashes (as many as the corpus may have words), ties by hash: one order for all lines. Lines of equal
-sets are one class, which has a number and stands at its first place (id, text, line number).
+sets are one class, which stands at its first place (id, text, line number); classes are numbered in the order of
+these places, so of a pair the larger number is the later one, and no pair is joined with places to find that out.
 
 Classes meet at the words of their prefixes (n - ceil(t n) + 1 words of n), and a pair goes on if its lengths, its positions
 in the order and the parities of its hashes in 64 bits allow the overlap that is needed. Two similar sets share l words
@@ -116,7 +117,7 @@ class _Pairs:
         return bits & length & position
 
     def all_of(self, rows: DataFrame) -> DataFrame:
-        """c, c_ (of the smaller number) and differ of all pairs within a key."""
+        """c, c_ (the earlier one) and differ of all pairs within a key."""
         rows = rows.select("key", "c", "nr", "bits")
         both = rows.alias("a").join(rows.alias("b"), "key").where((F.col("a.c") > F.col("b.c")) & self.like("a", "b"))
         return self.pair(both)
@@ -149,21 +150,31 @@ def removed_lines(df: DataFrame, num: int = 4, den: int = 5, min_words: int = MI
     wide = scratch.keep(sets.select("id", "doc", "pos", "n", F.xxhash64("s").alias("h"), F.slice("s", F.lit(1), _prefix(F.col("n"), num, den) + (LEVELS - 1)).alias("prefix"), parity.alias("bits")), hashes=True)
     scratch.drop(sketch)
     scratch.free()
-    # of each class its first place and the rest, which all have alike: one shuffle; its number takes less room than its hash
-    reps = wide.groupBy("h").agg(F.min(F.struct("id", "doc", "pos")).alias("first"), F.count("*").alias("many"), *(F.first(x).alias(x) for x in ("n", "prefix", "bits")))
-    reps = scratch.keep(reps.withColumn("c", F.monotonically_increasing_id()), hashes=True)
+    # a class's number takes less room than its hash, and grows with its first place
+    classes = wide.groupBy("h").agg(F.min(F.struct("id", "doc", "pos")).alias("first"), F.count("*").alias("many")).orderBy("first")
+    classes = scratch.keep(classes.withColumn("c", F.monotonically_increasing_id()), hashes=True)
+    scratch.free()
+    # the rest all lines of a class have alike
+    reps = wide.groupBy("h").agg(*(F.first(x).alias(x) for x in ("n", "prefix", "bits")))
+    reps = scratch.keep(reps.join(classes.select("h", "c"), "h").drop("h"), hashes=True)
     lines = scratch.keep(wide.select("id", "doc", "pos", "h"))
     scratch.drop(wide)
     scratch.free()
 
     # a set of n words can be similar to another one only if it is to one of n + 1 words that holds it
     paired = reps.where(F.col("n").cast("long") * den >= (F.col("n") + 1).cast("long") * num)
-    # a word that the corpus has once brings no lines together
-    meet = paired.select("c", "n", "bits", "prefix", F.posexplode("prefix").alias("r", "key")).where((F.col("r") < _prefix(F.col("n"), num, den)) & (F.col("key") >= _beyond(1)))
-    nr = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("r").cast("long")).alias("nr")
-    rows = meet.select("key", "c", nr, "bits", F.slice("prefix", F.col("r") + 2, F.size("prefix")).alias("tail"))
-    # only words beyond DIRECT in the sketch can be in more lines than that
-    counted, pairs = rows.where(F.col("key") >= _beyond(DIRECT)), []
+    in_prefix = _prefix(F.col("n"), num, den)
+
+    def beyond(count: int) -> DataFrame:
+        """Rows of the words that are in more lines than that by the sketch."""
+        # words are in order, so where the last one isn't none is, and nothing is made of the prefix
+        some = paired.where(F.get("prefix", in_prefix - 1) >= _beyond(count))
+        meet = some.select("c", "n", "bits", "prefix", F.posexplode("prefix").alias("r", "key")).where((F.col("r") < in_prefix) & (F.col("key") >= _beyond(count)))
+        nr = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("r").cast("long")).alias("nr")
+        return meet.select("key", "c", nr, "bits", F.slice("prefix", F.col("r") + 2, F.size("prefix")).alias("tail"))
+
+    # a word that the corpus has once brings no lines together, and only those beyond DIRECT can be in more lines than that
+    rows, counted, pairs = beyond(1), beyond(DIRECT), []
     for level in range(1, LEVELS + 1):
         crowded = scratch.keep(counted.groupBy("key").agg(F.count("*").alias("f")).where(F.col("f") > DIRECT).select("key"), hashes=True)
         scratch.free()
@@ -177,34 +188,31 @@ def removed_lines(df: DataFrame, num: int = 4, den: int = 5, min_words: int = MI
         else:
             break
     band = F.floor(F.log(F.shiftright("nr", 32).cast("double")) / F.lit(math.log(den / num))).alias("band")
-    hot = scratch.keep(rows.select("key", "c", "nr", "bits", band).join(reps.select("c", "first"), "c"))
-    hubs = hot.groupBy("key", "band").agg(F.min(F.struct("first", "c", "nr", "bits")).alias("hub")).select("key", "band", "hub.*")
-    earlier = (F.col("a.first") > F.col("b.first")) & met.like("a", "b")
+    hot = scratch.keep(rows.select("key", "c", "nr", "bits", band))
+    hubs = hot.groupBy("key", "band").agg(F.min(F.struct("c", "nr", "bits")).alias("hub")).select("key", "band", "hub.*")
+    earlier = (F.col("a.c") > F.col("b.c")) & met.like("a", "b")
     star = met.pair(hot.alias("a").join(hubs.alias("b"), ["key", "band"]).where(earlier))
     # of a class's hubs the likeliest
     star = star.groupBy("c").agg(F.min(F.struct("differ", "c_")).alias("x")).select("c", "x.c_", "x.differ")
-    # the prefixes aren't needed any more
-    reps, used = scratch.keep(reps.select("h", "c", "first", "many")), reps
-    found = pairs[0]
-    for more in pairs[1:]:
+    found = star
+    for more in pairs:
         found = found.union(more)
-    one, two = (reps.select(F.col("c").alias(c), F.struct("first", "c").alias(x)) for c, x in (("c", "x"), ("c_", "y")))
-    turned = found.distinct().join(one, "c").join(two, "c_").select(F.greatest("x", "y")["c"].alias("c"), F.least("x", "y")["c"].alias("c_"), "differ")
-    tested = scratch.keep(turned.union(star).distinct())
-    scratch.drop(used, *pairs)
-    del pairs, found, turned, star
+    tested = scratch.keep(found.distinct())
+    # the prefixes aren't needed any more
+    scratch.drop(reps, *pairs)
+    del pairs, found, star
     scratch.free()
-    sets = _Sets(df, reps, num, den, scratch)
+    sets = _Sets(df, classes, num, den, scratch)
     settled = sets.later(tested)
     left = met.pair(hot.join(settled, "c", "left_anti").alias("a").join(hot.alias("b"), "key").where(earlier)).distinct()
     left = scratch.keep(left.join(tested, ["c", "c_"], "left_anti"))
     if not left.isEmpty():
         settled = scratch.keep(settled.union(sets.later(left)).distinct())
     # classes of one line that nothing earlier is like don't matter
-    marked = reps.join(settled.withColumn("all_of", F.lit(True)), "c", "left").where("all_of or many > 1").drop("many")
+    marked = classes.join(settled.withColumn("all_of", F.lit(True)), "c", "left").where("all_of or many > 1").drop("many")
     out = lines.join(marked, "h").where(F.coalesce("all_of", F.lit(False)) | (F.struct("id", "doc", "pos") > F.col("first"))).select("id", "doc", "pos")
     out = scratch.keep(out.distinct())
-    scratch.drop(lines, reps, hot, crowded, tested, settled, left)
+    scratch.drop(lines, classes, hot, crowded, tested, settled, left)
     scratch.free()
     return out
 
@@ -212,13 +220,13 @@ def removed_lines(df: DataFrame, num: int = 4, den: int = 5, min_words: int = MI
 class _Sets:
     """The exact comparison of pairs of classes; words come from the texts again."""
 
-    def __init__(self, df: DataFrame, reps: DataFrame, num: int, den: int, scratch: Scratch):
+    def __init__(self, df: DataFrame, classes: DataFrame, num: int, den: int, scratch: Scratch):
         self.df, self.num, self.den, self.scratch = df, num, den, scratch
-        self.reps = reps.select("c", "first")
+        self.classes = classes.select("c", "first")
 
     def later(self, pairs: DataFrame) -> DataFrame:
         """c of those that are similar to c_ in a pair (c, c_, differ) of theirs."""
-        wanted = self.scratch.keep(pairs.select(F.explode(F.array("c", "c_")).alias("c")).distinct().join(self.reps, "c"))
+        wanted = self.scratch.keep(pairs.select(F.explode(F.array("c", "c_")).alias("c")).distinct().join(self.classes, "c"))
         sets = self.scratch.keep(self._sets(wanted), hashes=True)
         self.scratch.free()
         # one similar earlier class is enough: first the likeliest of each, then all the others of those still unsettled

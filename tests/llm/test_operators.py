@@ -228,6 +228,29 @@ def test_line_dedup_writes_no_rows_of_meetings(spark, monkeypatch):
     assert sizes == sorted(sizes) and sizes[0] == sizes[1] == line_dedup.SKETCH and sizes[2] >= 4 * sizes[1] and sizes[3] == line_dedup.SKETCH_MOST
 
 
+def test_line_dedup_numbers_classes_in_order_of_place(spark, monkeypatch):
+    """A pair tells by its numbers which is the later one, so neither pairs nor rows of meetings are joined with places."""
+    lines = [f"w{i // 4} x{i // 4} y{i // 4} a b c d e f g{i % 4}" for i in range(80)]
+    df = spark.createDataFrame([(i, "\n".join(lines[i::10])) for i in range(10)], "doc_id long, text string").repartition(3)
+    keep, kept = line_dedup.Scratch.keep, []
+
+    def seen(self, frame, *args, **kwargs):
+        kept.append((frame.columns, keep(self, frame, *args, **kwargs)))
+        return kept[-1][1]
+
+    monkeypatch.setattr(line_dedup.Scratch, "keep", seen)
+    monkeypatch.setattr(line_dedup.Scratch, "drop", lambda self, *frames: None)
+    for direct in (2, 1000):
+        kept.clear()
+        monkeypatch.setattr(line_dedup, "DIRECT", direct)
+        assert sum(r.n_removed for r in line_dedup.dedup(df).collect()) == 60
+        (classes,) = (frame.collect() for columns, frame in kept if {"h", "first", "c"} <= set(columns))
+        assert [r.c for r in sorted(classes, key=lambda r: r.first)] == sorted(r.c for r in classes) and len(classes) == 80
+        pairs = [frame for columns, frame in kept if columns == ["c", "c_", "differ"]]
+        assert sum(frame.count() for frame in pairs) and not any(frame.where("c <= c_").count() for frame in pairs)
+        assert not any({"key", "first"} <= set(columns) for columns, _ in kept)
+
+
 def test_pipeline_keeps_what_only_one_document_has(spark):
     line = "this line is in all of the documents"
     rows = [(1, line), (2, "\n".join([line] * 20 + ["some own words at the end"])), (3, f"{line}\n\t\n{line}"), (4, "")]
