@@ -58,12 +58,15 @@ def self_pairs(df: DataFrame, on: tuple[str, ...], columns: tuple[str, ...], key
 
 def tiled_join(left: DataFrame, right: DataFrame, on: tuple[str, ...], left_key: str, right_key: str, tile: int = TILE) -> DataFrame:
     """The equi-join of left and right, with keys whose rows would make more than a tile times a tile of pairs cut on both
-    sides. Both are read more than once. Names besides `on` must differ."""
-    both = block_counts(left, on).withColumnRenamed("n", "_m").join(block_counts(right, on), list(on))
+    sides. Both are read more than once. Names besides `on` must differ. Sides are often made by explode(), which Spark takes to
+    be as small as what it reads, so none is broadcast: every task would hold it whole."""
+    # one table of counts for both sides
+    counts = lambda df, m, n: df.na.drop(subset=list(on)).select(*on, F.lit(m).cast("long").alias("_m"), F.lit(n).cast("long").alias("n"))
+    both = counts(left, 1, 0).unionByName(counts(right, 0, 1)).groupBy(*on).agg(F.sum("_m").alias("_m"), F.sum("n").alias("n"))
     cut, n_cut = _small_enough(both.where(F.col("_m").cast("double") * F.col("n") > tile * tile).select(*on, _tiles_of(F.col("_m"), tile).alias("_a"), _tiles_of(F.col("n"), tile).alias("_b")))
     if not n_cut:
-        return left.join(right, list(on))
+        return left.join(right.hint("merge"), list(on))
     numbers = lambda c: F.explode(F.sequence(F.lit(0), F.coalesce(c, F.lit(1)) - 1))
     one = _numbered(left, cut, on, "_a", left_key, "_i").withColumn("_j", numbers("_b")).drop("_a", "_b")
     other = _numbered(right, cut, on, "_b", right_key, "_j").withColumn("_i", numbers("_a")).drop("_a", "_b")
-    return one.join(other, [*on, "_i", "_j"]).drop("_i", "_j")
+    return one.join(other.hint("merge"), [*on, "_i", "_j"]).drop("_i", "_j")

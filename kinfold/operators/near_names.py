@@ -4,6 +4,9 @@ A name is cut into three parts. Two edits leave one of them as it was, and move
 shorter one offers its three parts, with their places, as keys, and the longer one asks for what it has at those places and
 beside them: 24 keys at most, however many names there are. What meets is compared by Levenshtein distance. Names are taken
 once each with their number of records, so copies cost nothing.
+
+What meets are numbers of names at hashes of keys: three numbers a row, however long keys and names are. Two edits change the
+parity of four letters at most, which is seen from the rows; the few pairs left get their names by their numbers.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ DISTANCE = 2
 PARTS = DISTANCE + 1
 #: By how many letters one name is longer: the places by which an untouched part can have moved.
 SHIFTS = {0: (-1, 0, 1), 1: (0, 1), 2: (0, 1, 2)}
+#: Bits of the parities that an edit changes at most: another letter instead of one.
+EDIT_BITS = 2
 
 
 def _key(name: Column, length: Column, part: int, start: Column, size: Column) -> Column:
@@ -47,17 +52,25 @@ def asked(name: Column, least: int) -> Column:
     return F.array_distinct(F.array_compact(F.array(*keys)))
 
 
+def _bits(name: Column) -> Column:
+    """How often each letter occurs, as parities of 64 hashes of letters."""
+    letter = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.xxhash64(x).bitwiseAND(F.lit(63)).cast("int"))
+    return F.aggregate(F.split(name, ""), F.lit(0).cast("long"), lambda bits, x: bits.bitwiseXOR(letter(x)))
+
+
 def candidates(names: DataFrame, within: tuple[str, ...], name: str = "name_norm", least: int = 6, tile: int = blocking.TILE) -> DataFrame:
-    """within, name_l, name_r, n_l, n_r: what meets at a key, not yet compared; a pair may come more than once. names: within,
-    name and n, each name once."""
+    """within, name_l, name_r, n_l, n_r: what meets at a key, not yet compared. names: within, name and n, each name once."""
     scratch = Scratch(names.sparkSession)
-    rows = scratch.keep(names.where(F.length(name) >= max(least, PARTS)).select(*within, F.col(name).alias("name"), "n"))
-    index = rows.select(*within, F.col("name").alias("name_l"), F.col("n").alias("n_l"), F.inline(offered(F.col("name"))))
-    probe = rows.select(*within, F.col("name").alias("name_r"), F.col("n").alias("n_r"), F.inline(asked(F.col("name"), max(least, PARTS))))
-    keys = (*within, "length", "part", "piece")
+    rows = names.na.drop(subset=list(within)).where(F.length(name) >= max(least, PARTS)).select(*within, F.col(name).alias("name"), "n")
+    rows = scratch.keep(rows.withColumn("i", F.monotonically_increasing_id()).withColumn("bits", _bits(F.col("name"))))
+    side = lambda keys, s: rows.select(F.explode(F.transform(keys, lambda k: F.xxhash64(*within, k))).alias("key"), F.col("i").alias(f"i_{s}"), F.col("bits").alias(f"bits_{s}"))
+    index, probe = side(offered(F.col("name")), "l"), side(asked(F.col("name"), max(least, PARTS)), "r")
     # a name is at a key once on either side, so a few names can't crowd one
-    met = index.join(probe, list(keys)) if rows.count() <= tile else blocking.tiled_join(index, probe, keys, "name_l", "name_r", tile)
-    return met.where(F.col("name_l") != F.col("name_r")).select(*within, "name_l", "name_r", "n_l", "n_r")
+    met = index.join(probe, "key") if rows.count() <= tile else blocking.tiled_join(index, probe, ("key",), "i_l", "i_r", tile)
+    met = met.where((F.col("i_l") != F.col("i_r")) & (F.bit_count(F.col("bits_l").bitwiseXOR(F.col("bits_r"))) <= EDIT_BITS * DISTANCE)).select("i_l", "i_r").distinct()
+    # `within` once more: two keys may have one hash
+    named = lambda s: rows.select(*within, *(F.col(c).alias(f"{c}_{s}") for c in ("i", "name", "n")))
+    return met.join(named("l"), "i_l").join(named("r"), ["i_r", *within]).select(*within, "name_l", "name_r", "n_l", "n_r")
 
 
 def near_names(names: DataFrame, within: tuple[str, ...], name: str = "name_norm", least: int = 6, tile: int = blocking.TILE) -> DataFrame:

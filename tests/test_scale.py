@@ -103,6 +103,23 @@ def test_near_names_of_a_large_host_compare_few(spark):
     assert near_names.near_names(df, ("host",)).count() >= 300 and met < len(names) * (len(names) - 1) // 2 // 100
 
 
+def test_near_names_meet_as_numbers(spark, monkeypatch):
+    """Rows that meet are as narrow for long names and hosts, and names that only share a part are told apart by their letters."""
+    names = [f"{'long ' * 20}{a}{'name ' * 20}" for a in ("abcdefgh", "abcdefgi", "zyxwvuts")] + ["x", None]
+    df = spark.createDataFrame([(h, n, 1) for h in ("h" * 100, "g", None) for n in names], "host string, name_norm string, n long")
+    met, join = [], blocking.tiled_join
+
+    def seen(left, right, *args):
+        met.extend((left, right))
+        return join(left, right, *args)
+
+    monkeypatch.setattr(blocking, "tiled_join", seen)
+    got = near_names.near_names(df, ("host",), tile=2).collect()
+    assert sorted((r.host, r.name_l, r.name_r, r.distance) for r in got) == [(h, names[0], names[1], 1) for h in ("g", "h" * 100)]
+    assert len(met) == 2 and all({t for _, t in side.dtypes} == {"bigint"} for side in met)
+    assert near_names.candidates(df, ("host",), tile=2).select("name_l", "name_r").distinct().count() == 2
+
+
 @pytest.mark.parametrize("tile", [4, blocking.TILE])
 def test_deterministic_pairs_and_their_number(prep, tile):
     want = plain(prep, lambda a, b: (same_host(a, b) and near(a, b)) or same_name(a, b))
