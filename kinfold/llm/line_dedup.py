@@ -167,9 +167,7 @@ def removed_lines(df: DataFrame, num: int = 4, den: int = 5, min_words: int = MI
 
     def beyond(count: int) -> DataFrame:
         """Rows of the words that are in more lines than that by the sketch."""
-        # words are in order, so where the last one isn't none is, and nothing is made of the prefix
-        some = paired.where(F.get("prefix", in_prefix - 1) >= _beyond(count))
-        meet = some.select("c", "n", "bits", "prefix", F.posexplode("prefix").alias("r", "key")).where((F.col("r") < in_prefix) & (F.col("key") >= _beyond(count)))
+        meet = paired.select("c", "n", "bits", "prefix", F.posexplode("prefix").alias("r", "key")).where((F.col("r") < in_prefix) & (F.col("key") >= _beyond(count)))
         nr = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("r").cast("long")).alias("nr")
         return meet.select("key", "c", nr, "bits", F.slice("prefix", F.col("r") + 2, F.size("prefix")).alias("tail"))
 

@@ -251,6 +251,21 @@ def test_line_dedup_numbers_classes_in_order_of_place(spark, monkeypatch):
         assert not any({"key", "first"} <= set(columns) for columns, _ in kept)
 
 
+def test_line_dedup_counts_the_words_of_all_prefixes(spark, monkeypatch):
+    """The count of crowded words takes each prefix whole at any size, instead of those that a frequent word lets through."""
+    df = spark.createDataFrame([(i, f"w{i} x{i} a b c d e f g") for i in range(20)], "doc_id long, text string")
+    keep, plans = line_dedup.Scratch.keep, []
+
+    def seen(self, frame, *args, **kwargs):
+        if frame.columns == ["key"]:
+            plans.append(frame._jdf.queryExecution().optimizedPlan().toString())
+        return keep(self, frame, *args, **kwargs)
+
+    monkeypatch.setattr(line_dedup.Scratch, "keep", seen)
+    assert sum(r.n_removed for r in line_dedup.dedup(df).collect()) == 0
+    assert plans and all("posexplode(prefix" in plan and "prefix#" in plan and not re.search(r"prefix#\d+\[", plan) for plan in plans)
+
+
 def test_pipeline_keeps_what_only_one_document_has(spark):
     line = "this line is in all of the documents"
     rows = [(1, line), (2, "\n".join([line] * 20 + ["some own words at the end"])), (3, f"{line}\n\t\n{line}"), (4, "")]
