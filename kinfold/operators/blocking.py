@@ -36,24 +36,28 @@ def _tiles_of(n: Column, tile: int) -> Column:
     return F.ceil(2 * n / tile).cast("int")
 
 
-def self_pairs(df: DataFrame, on: tuple[str, ...], columns: tuple[str, ...], key: str = "record_id", tile: int = TILE) -> DataFrame:
+def self_pairs(df: DataFrame, on: tuple[str, ...], columns: tuple[str, ...], key: str = "record_id", tile: int = TILE, needs: tuple[str, ...] = (), told: dict[str, Column] | None = None, only: Column | None = None) -> DataFrame:
     """All pairs of rows that agree on `on`, each once: `columns` with _l and _r, the smaller key on the left. df is read more
-    than once, so it should be a written table. Equal and null keys make no pair."""
-    rows = df.na.drop(subset=list(on)).select(*dict.fromkeys((*columns, *on, key)))
+    than once, so it should be a written table. Equal and null keys make no pair.
+
+    told: more columns of a pair, and only: which pairs are made, both from `columns` and `needs` of its sides (_l and _r) in a
+    way that doesn't hang on which is which, so they are known before the sides are put in order."""
+    rows = df.na.drop(subset=list(on)).select(*dict.fromkeys((*columns, *needs, *on, key)))
+    told, only = {name: c.alias(name) for name, c in (told or {}).items()}, F.lit(True) if only is None else only
     # `on` keeps its names beside the columns of the sides
     sides = [rows.select(*(F.col(c).alias(f"{c}_{s}") for c in rows.columns), *on) for s in "lr"]
     names = [f"{c}_{s}" for s in "lr" for c in columns]
     a, b = F.col(f"{key}_l"), F.col(f"{key}_r")
     cut, n_cut = _small_enough(block_counts(rows, on).where(F.col("n") > tile).select(*on, _tiles_of(F.col("n"), tile).alias("_tiles")))
     if not n_cut:
-        return sides[0].join(sides[1], list(on)).where(a < b).select(*names)
+        return sides[0].join(sides[1], list(on)).where((a < b) & only).select(*names, *told.values())
     left, right = (_numbered(side, cut, on, "_tiles", f"{key}_{s}", "_own") for side, s in zip(sides, "lr", strict=True))
     left = left.withColumn("_i", F.col("_own")).withColumn("_j", F.explode(F.sequence("_own", F.col("_tiles") - 1))).drop("_own", "_tiles")
     right = right.withColumn("_j", F.col("_own")).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_own")))).drop("_own", "_tiles")
-    met = left.join(right, [*on, "_i", "_j"]).where(((F.col("_i") < F.col("_j")) & (a != b)) | (a < b))
+    met = left.join(right, [*on, "_i", "_j"]).where((((F.col("_i") < F.col("_j")) & (a != b)) | (a < b)) & only)
     # of two different tiles either side may have the smaller key
     turned = lambda c, s: F.when(a > b, F.col(f"{c}_{'r' if s == 'l' else 'l'}")).otherwise(F.col(f"{c}_{s}")).alias(f"{c}_{s}")
-    return met.select(*(turned(c, s) for s in "lr" for c in columns))
+    return met.select(*(turned(c, s) for s in "lr" for c in columns), *told.values())
 
 
 def tiled_join(left: DataFrame, right: DataFrame, on: tuple[str, ...], left_key: str, right_key: str, tile: int = TILE) -> DataFrame:

@@ -52,7 +52,7 @@ def asked(name: Column, least: int) -> Column:
     return F.array_distinct(F.array_compact(F.array(*keys)))
 
 
-def _bits(name: Column) -> Column:
+def letter_bits(name: Column) -> Column:
     """How often each letter occurs, as parities of 64 hashes of letters."""
     letter = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.xxhash64(x).bitwiseAND(F.lit(63)).cast("int"))
     return F.aggregate(F.split(name, ""), F.lit(0).cast("long"), lambda bits, x: bits.bitwiseXOR(letter(x)))
@@ -62,7 +62,7 @@ def candidates(names: DataFrame, within: tuple[str, ...], name: str = "name_norm
     """within, name_l, name_r, n_l, n_r: what meets at a key, not yet compared. names: within, name and n, each name once."""
     scratch = Scratch(names.sparkSession)
     rows = names.na.drop(subset=list(within)).where(F.length(name) >= max(least, PARTS)).select(*within, F.col(name).alias("name"), "n")
-    rows = scratch.keep(rows.withColumn("i", F.monotonically_increasing_id()).withColumn("bits", _bits(F.col("name"))))
+    rows = scratch.keep(rows.withColumn("i", F.monotonically_increasing_id()).withColumn("bits", letter_bits(F.col("name"))))
     side = lambda keys, s: rows.select(F.explode(F.transform(keys, lambda k: F.xxhash64(*within, k))).alias("key"), F.col("i").alias(f"i_{s}"), F.col("bits").alias(f"bits_{s}"))
     index, probe = side(offered(F.col("name")), "l"), side(asked(F.col("name"), max(least, PARTS)), "r")
     # a name is at a key once on either side, so a few names can't crowd one

@@ -32,8 +32,8 @@ def _kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Scratch(spark).keep(_prep(spark, sf_dir))
 
 
-def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.score(M.compare(M.candidate_pairs(_kept(spark, sf_dir), DENIED)), M.FIXED)
+def _scored(spark: SparkSession, sf_dir: str, disposition: str | None = None) -> DataFrame:
+    return M.score(M.compared_pairs(_kept(spark, sf_dir), DENIED, model=M.FIXED, disposition=disposition), M.FIXED, digits=6)
 
 
 def _golden(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,13 +179,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "lambda_estimate": lambda s, d: M.lambda_estimate(_kept(s, d), denied=DENIED).withColumn("lam", F.round("lam", 9)),
     "u_exact": lambda s, d: M.u_exact(_prep(s, d)).withColumn("u", F.round("u", 9)),
     "u_name_levels": lambda s, d: M.u_name_levels(_kept(s, d)).withColumn("share", F.round("share", 9)),
-    "comparison_vectors": lambda s, d: _ids(M.compare(M.candidate_pairs(_kept(s, d), DENIED)), *M.GAMMAS),
+    "comparison_vectors": lambda s, d: _ids(M.compared_pairs(_kept(s, d), DENIED), *M.GAMMAS),
     "gamma_patterns": _patterns,
     "class_patterns": _patterns,
-    "score_pairs_fixed": lambda s, d: _ids(_scored(s, d), F.round("match_weight", 6).alias("match_weight"), F.round("match_probability", 6).alias("match_probability"), "disposition"),
+    "score_pairs_fixed": lambda s, d: _ids(_scored(s, d), "match_weight", "match_probability", "disposition"),
     "disposition_histogram": lambda s, d: M.histogram(M.score(_patterns(s, d), M.FIXED), F.col("n")),
     "pattern_histogram": lambda s, d: M.histogram(M.score(_patterns(s, d), M.FIXED), F.col("n")),
-    "review_queue": lambda s, d: _ids(_scored(s, d).where("disposition = 'review'"), F.round("match_probability", 6).alias("match_probability")),
+    "review_queue": lambda s, d: _ids(_scored(s, d, "review"), "match_probability"),
     "em_parameters": lambda s, d: M.parameters(M.train(_kept(s, d), denied=DENIED), s),
     "golden_entities": _golden,
     "incremental_golden": _incremental,

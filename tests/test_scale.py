@@ -58,6 +58,23 @@ def test_tiled_blocks_have_the_pairs_of_whole_blocks(prep, tile):
     assert all(r.host_l == r.host_r if r.match_key == "host" else r.name_prefix_l == r.name_prefix_r for r in pairs)
 
 
+@pytest.mark.parametrize("tile", [4, blocking.TILE])
+def test_levels_known_before_sides_are_in_order(prep, tile):
+    """The levels of all candidate pairs, and those of one disposition without the others."""
+    rows = lambda df: Counter(map(tuple, df.collect()))
+    plain = matching.compare(matching.candidate_pairs(prep, tile=tile)).select("record_id_l", "record_id_r", *matching.GAMMAS)
+    assert rows(matching.compared_pairs(prep, tile=tile)) == rows(plain)
+    of_kind = {k: matching.compared_pairs(prep, tile=tile, model=matching.FIXED, disposition=k) for k in ("match", "review")}
+    scored = matching.score(plain, matching.FIXED)
+    assert all(rows(df) == rows(scored.where(F.col("disposition") == k).select(*df.columns)) for k, df in of_kind.items())
+
+
+def test_review_queue_compares_names_once_a_pair(spark, sf_dir):
+    """A filter of dispositions was planned with a comparison of names for each of its thresholds and levels."""
+    plan = registry.QUERIES["review_queue"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("levenshtein(") <= 8
+
+
 def test_no_two_tiles_make_more_pairs_than_they_should(spark):
     df = spark.range(3000).select(F.format_string("r%05d", "id").alias("record_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("b"), F.col("id") % 97)).alias("block"))
     cut, n = blocking._small_enough(blocking.block_counts(df, ("block",)).where("n > 64").select("block", blocking._tiles_of(F.col("n"), 64).alias("_tiles")))
