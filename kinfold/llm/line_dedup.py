@@ -226,6 +226,9 @@ class _Sets:
         """c of those that are similar to c_ in a pair (c, c_, differ) of theirs."""
         wanted = self.scratch.keep(pairs.select(F.explode(F.array("c", "c_")).alias("c")).distinct().join(self.classes, "c"))
         sets = self.scratch.keep(self._sets(wanted), hashes=True)
+        if sets.count() > wanted.count():  # rows are repeated; without such ones no set is shuffled for this
+            sets, more = self.scratch.keep(sets.groupBy("c").agg(F.first("s").alias("s")), hashes=True), sets
+            self.scratch.drop(more)
         self.scratch.free()
         # one similar earlier class is enough: first the likeliest of each, then all the others of those still unsettled
         likeliest = pairs.groupBy("c").agg(F.min(F.struct("differ", "c_")).alias("x")).select("c", "x.c_")
@@ -243,8 +246,7 @@ class _Sets:
         docs = self.scratch.keep(wanted.groupBy("first.id", "first.doc").agg(F.collect_list(F.struct("first.pos", "c")).alias("at")))
         texts = self.df.alias("t").join(_sized(docs, BROADCAST_DOCS).alias("d"), F.col("t.id").eqNullSafe(F.col("d.id")) & (F.col("t.doc") == F.col("d.doc")))
         lines = texts.select("at", F.split("text", "\n").alias("lines")).select("lines", F.explode("at").alias("x"))
-        sets = lines.select("x.c", _set(F.get("lines", F.col("x.pos"))).alias("s"))
-        return sets.groupBy("c").agg(F.first("s").alias("s"))  # rows may be repeated
+        return lines.select("x.c", _set(F.get("lines", F.col("x.pos"))).alias("s"))
 
     def _similar(self, sets: DataFrame, pairs: DataFrame) -> DataFrame:
         both = pairs.join(sets, "c").join(sets.select(F.col("c").alias("c_"), F.col("s").alias("s_")), "c_")

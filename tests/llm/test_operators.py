@@ -266,6 +266,24 @@ def test_line_dedup_counts_the_words_of_all_prefixes(spark, monkeypatch):
     assert plans and all("posexplode(prefix" in plan and "prefix#" in plan and not re.search(r"prefix#\d+\[", plan) for plan in plans)
 
 
+@pytest.mark.parametrize("repeated", [False, True])
+def test_line_dedup_shuffles_sets_only_for_repeated_rows(spark, monkeypatch, repeated):
+    """Each class has its set once for the exact comparison, and without repeated rows no shuffle sees to that."""
+    rows = [(i, f"w{i // 2} x{i // 2} a b c d e f g{i % 2} h") for i in range(8)]
+    df = spark.createDataFrame(rows + rows[:2] * repeated, "doc_id long, text string")
+    keep, kept = line_dedup.Scratch.keep, []
+
+    def seen(self, frame, *args, **kwargs):
+        out = keep(self, frame, *args, **kwargs)
+        if frame.columns == ["c", "s"]:
+            kept.append((frame._jdf.queryExecution().optimizedPlan().toString().lstrip().startswith("Aggregate"), out.count(), out.select("c").distinct().count()))
+        return out
+
+    monkeypatch.setattr(line_dedup.Scratch, "keep", seen)
+    assert sum(r.n_removed for r in line_dedup.dedup(df).collect()) == 4 + repeated
+    assert [x[0] for x in kept[:2]] == [False, True][: 1 + repeated] and kept[repeated][1] == kept[repeated][2] == 8
+
+
 def test_pipeline_keeps_what_only_one_document_has(spark):
     line = "this line is in all of the documents"
     rows = [(1, line), (2, "\n".join([line] * 20 + ["some own words at the end"])), (3, f"{line}\n\t\n{line}"), (4, "")]
