@@ -7,6 +7,8 @@ pairs than two tiles have. A row is sent once for each tile of its block, that i
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from pyspark.sql import functions as F
 TILE = 2048
 #: Cut blocks that are broadcast at most: their keys and a number each; more are joined by a shuffle.
 BROADCAST_BLOCKS = 10_000
+#: Pairs that a task looks at on average, as far as MOST_TASKS allow.
+PAIRS, MOST_TASKS = 4_000_000, 8_000
 
 
 def _small_enough(df: DataFrame, limit: int = BROADCAST_BLOCKS) -> tuple[DataFrame, int]:
@@ -36,28 +40,43 @@ def _tiles_of(n: Column, tile: int) -> Column:
     return F.ceil(2 * n / tile).cast("int")
 
 
-def self_pairs(df: DataFrame, on: tuple[str, ...], columns: tuple[str, ...], key: str = "record_id", tile: int = TILE, needs: tuple[str, ...] = (), told: dict[str, Column] | None = None, only: Column | None = None) -> DataFrame:
+def _dealt(df: DataFrame, pairs: float, *keys: str) -> DataFrame:
+    """df dealt by the key so that tasks make PAIRS pairs each on average: pairs, unlike bytes, are what a task's time hangs on."""
+    return df.repartition(min(math.ceil(pairs / PAIRS), MOST_TASKS), *keys) if pairs > PAIRS else df
+
+
+def self_pairs(df: DataFrame, on: tuple[str, ...], columns: tuple[str, ...], key: str = "record_id", tile: int = TILE, needs: tuple[str, ...] = (), told: dict[str, Column] | None = None, only: Column | None = None, first: Column | None = None) -> DataFrame:
     """All pairs of rows that agree on `on`, each once: `columns` with _l and _r, the smaller key on the left. df is read more
     than once, so it should be a written table. Equal and null keys make no pair.
 
     told: more columns of a pair, and only: which pairs are made, both from `columns` and `needs` of its sides (_l and _r) in a
-    way that doesn't hang on which is which, so they are known before the sides are put in order."""
-    rows = df.na.drop(subset=list(on)).select(*dict.fromkeys((*columns, *needs, *on, key)))
-    told, only = {name: c.alias(name) for name, c in (told or {}).items()}, F.lit(True) if only is None else only
-    # `on` keeps its names beside the columns of the sides
-    sides = [rows.select(*(F.col(c).alias(f"{c}_{s}") for c in rows.columns), *on) for s in "lr"]
-    names = [f"{c}_{s}" for s in "lr" for c in columns]
+    way that doesn't hang on which is which, so they are known before the sides are put in order. first: only pairs with one
+    row or both of this kind.
+
+    Rows don't meet rows: a row meets a tile as one array, and pairs come of unpacking it, at half the cost of a join of rows."""
+    rows = df.na.drop(subset=list(on)).where(F.col(key).isNotNull())
+    rows = rows.select(*dict.fromkeys((*columns, *needs, *on, key)), (F.lit(True) if first is None else F.coalesce(first, F.lit(False))).alias("_first"))
+    counts = rows.groupBy(*on).agg(F.count("*").alias("n"), F.count_if("_first").alias("_firsts")).where("n > 1 and _firsts > 0")
+    seen = counts.agg(F.coalesce(F.sum(F.col("_firsts") * F.col("n").cast("double")), F.lit(0.0)).alias("pairs"), F.count_if(F.col("n") > tile).alias("cut")).first()
+    cut = counts.where(F.col("n") > tile).select(*on, _tiles_of(F.col("n"), tile).alias("_tiles"), _tiles_of(F.col("_firsts"), tile).alias("_lefts"))
+    have = rows.withColumns({"_tiles": F.lit(1), "_lefts": F.lit(1), "_own": F.lit(0)})
+    if seen.cut:
+        have = _numbered(rows, F.broadcast(cut) if seen.cut <= BROADCAST_BLOCKS else cut, on, "_tiles", key, "_own").withColumn("_lefts", F.coalesce("_lefts", F.lit(1)))
+    side = lambda s: F.struct(*(F.col(c).alias(f"{c}_{s}") for c in dict.fromkeys((key, *columns, *needs))), F.col("_first").alias(f"_first_{s}"))
+    # first rows have tiles of their own, which meet all tiles; without a kind each two tiles meet once
+    own, least, most = (F.col("_own"), F.col("_own"), F.col("_j")) if first is None else (F.pmod(F.xxhash64(key), F.col("_lefts")).cast("int"), F.lit(0), F.col("_lefts") - 1)
+    left = have.where("_first").select(*on, own.alias("_i"), F.explode(F.sequence(least, F.col("_tiles") - 1)).alias("_j"), side("l").alias("_l")).select(*on, "_i", "_j", "_l.*")
+    tiles = have.groupBy(*on, F.col("_own").alias("_j")).agg(F.max("_lefts").alias("_lefts"), F.collect_list(side("r")).alias("_rows"))
+    right = tiles.select(*on, "_j", F.explode(F.sequence(F.lit(0), most)).alias("_i"), "_rows")
+    keys = (*on, "_i", "_j")
+    met = _dealt(left, seen.pairs, *keys).join(_dealt(right, seen.pairs, *keys).hint("merge"), list(keys)).select(*(c for c in left.columns), F.inline("_rows"))
     a, b = F.col(f"{key}_l"), F.col(f"{key}_r")
-    cut, n_cut = _small_enough(block_counts(rows, on).where(F.col("n") > tile).select(*on, _tiles_of(F.col("n"), tile).alias("_tiles")))
-    if not n_cut:
-        return sides[0].join(sides[1], list(on)).where((a < b) & only).select(*names, *told.values())
-    left, right = (_numbered(side, cut, on, "_tiles", f"{key}_{s}", "_own") for side, s in zip(sides, "lr", strict=True))
-    left = left.withColumn("_i", F.col("_own")).withColumn("_j", F.explode(F.sequence("_own", F.col("_tiles") - 1))).drop("_own", "_tiles")
-    right = right.withColumn("_j", F.col("_own")).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_own")))).drop("_own", "_tiles")
-    met = left.join(right, [*on, "_i", "_j"]).where((((F.col("_i") < F.col("_j")) & (a != b)) | (a < b)) & only)
+    # equal keys are in one tile
+    once = F.col("_i") < F.col("_j") if first is None else ~F.col("_first_r") & (a != b)
+    met = met.where((once | (a < b)) & (F.lit(True) if only is None else only))
     # of two different tiles either side may have the smaller key
     turned = lambda c, s: F.when(a > b, F.col(f"{c}_{'r' if s == 'l' else 'l'}")).otherwise(F.col(f"{c}_{s}")).alias(f"{c}_{s}")
-    return met.select(*(turned(c, s) for s in "lr" for c in columns), *told.values())
+    return met.select(*(turned(c, s) for s in "lr" for c in columns), *(c.alias(name) for name, c in (told or {}).items()))
 
 
 def tiled_join(left: DataFrame, right: DataFrame, on: tuple[str, ...], left_key: str, right_key: str, tile: int = TILE) -> DataFrame:

@@ -24,6 +24,8 @@ PARTS = DISTANCE + 1
 SHIFTS = {0: (-1, 0, 1), 1: (0, 1), 2: (0, 1, 2)}
 #: Bits of the parities that an edit changes at most: another letter instead of one.
 EDIT_BITS = 2
+#: The same of couples of letters: another letter is in two couples, instead of two others.
+COUPLE_BITS = 4
 
 
 def _key(name: Column, length: Column, part: int, start: Column, size: Column) -> Column:
@@ -58,6 +60,12 @@ def letter_bits(name: Column) -> Column:
     return F.aggregate(F.split(name, ""), F.lit(0).cast("long"), lambda bits, x: bits.bitwiseXOR(letter(x)))
 
 
+def couple_bits(name: Column) -> Column:
+    """How often each letter with the next one occurs (the last with none), as parities of 64 hashes."""
+    couple = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), F.xxhash64(name.substr(i, F.lit(2))).bitwiseAND(F.lit(63)).cast("int"))
+    return F.when(F.length(name) > 0, F.aggregate(F.sequence(F.lit(1), F.length(name)), F.lit(0).cast("long"), lambda bits, i: bits.bitwiseXOR(couple(i))))
+
+
 def candidates(names: DataFrame, within: tuple[str, ...], name: str = "name_norm", least: int = 6, tile: int = blocking.TILE) -> DataFrame:
     """within, name_l, name_r, n_l, n_r: what meets at a key, not yet compared. names: within, name and n, each name once."""
     scratch = Scratch(names.sparkSession)
